@@ -206,13 +206,15 @@ def density_curve(df: DataFrame, value_col: str, grid_size: int = KDE_GRID_SIZE,
     start = st.select("mn").scalar() - F.lit(cut) * bw
     stop = st.select("mx").scalar() + F.lit(cut) * bw
     step = (stop - start) / F.lit(float(grid_size - 1))
-    distinct = base.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
+    distinct = base.groupBy("_x").agg(F.count(F.lit(1)).alias("_c")).select(
+        "_x", "_c", start.alias("_start"), step.alias("_step"), bw.alias("_bw"))
     idx = F.sequence(F.lit(0), F.lit(grid_size - 1))
     contrib = distinct.select(F.posexplode(F.transform(
-        idx, lambda i: F.col("_c") * F.exp(F.lit(-0.5) * F.pow((start + i * step - F.col("_x")) / bw, F.lit(2.0))))
+        idx, lambda i: F.col("_c") * F.exp(F.lit(-0.5) * F.pow(
+            (F.col("_start") + i * F.col("_step") - F.col("_x")) / F.col("_bw"), F.lit(2.0))))
     ).alias("point", "_k"))
     dens = contrib.groupBy("point").agg(F.sum("_k").alias("_s"))
-    norm = F.lit(1.0) / (n * bw * F.sqrt(F.lit(2 * 3.141592653589793)))
+    norm = F.lit(1.0) / (n * bw * F.sqrt(F.lit(2 * math.pi)))
     return dens.select("point", F.bround(start + F.col("point") * step, digits).alias("x"),
                        F.bround(F.col("_s") * norm, digits).alias("density"))
 

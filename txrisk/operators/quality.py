@@ -41,9 +41,9 @@ def _sample(df: DataFrame, cond, value, order_col: str, n: int = SAMPLE_SIZE):
     """Comma-joined first ``n`` values (by ``order_col``) of rows where ``cond``."""
     top = df.where(cond).select(F.col(order_col).alias("_o"), value.cast("string").alias("_s")) \
             .orderBy("_o").limit(n)
-    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_s"))),
-                                            lambda x: F.coalesce(x["_s"], F.lit("NULL"))), ",")
-                   .alias("sample")).scalar()
+    items = F.array_sort(F.collect_list(F.struct("_o", "_s")))
+    joined = F.array_join(F.transform(items, lambda x: F.coalesce(x["_s"], F.lit("NULL"))), ",")
+    return top.agg(F.when(F.size(items) > 0, joined).alias("sample")).scalar()
 
 
 def dq_null_keys(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transaction_id",
@@ -53,7 +53,7 @@ def dq_null_keys(df: DataFrame, ts_col: str = "timestamp", order_col: str = "tra
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     parts = [counts.select(F.lit(i).alias("col_pos"), F.lit(c).alias("column_name"), F.col(c).alias("n_missing"),
                            _sample(df, F.col(c).isNull(), F.col(id_col), order_col).alias("first_rows"))
-             for c in cols]
+             for i, c in enumerate(cols)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -45,8 +45,13 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, by=None,
     # One band per (group, prob).  Stats has one row per group.
     bands = stats.select(*by, "_n", F.posexplode(F.arrays_zip(F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
                          .alias("_pi", "_b"))
+    # The sketch brackets the target ranks only when the margin spans a few
+    # rows (n * margin >= 6); smaller groups take the whole group as the band,
+    # which then holds fewer than 3 * accuracy rows.
+    wide_enough = F.col("_n") * F.lit(margin) >= 6
     bands = bands.select(*by, "_n", "_pi",
-                         F.col("_b.lo").alias("_blo"), F.col("_b.hi").alias("_bhi"))
+                         F.when(wide_enough, F.col("_b.lo")).otherwise(F.lit(float("-inf"))).alias("_blo"),
+                         F.when(wide_enough, F.col("_b.hi")).otherwise(F.lit(float("inf"))).alias("_bhi"))
     # Ungrouped: bands has len(probs) rows, a proven bound, so it is broadcast.
     joined = base.join(bands, by) if grouped else base.join(F.broadcast(bands), by)
     # Per (group, prob): rows below the band, and value counts inside the band.
