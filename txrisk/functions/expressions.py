@@ -18,8 +18,12 @@ def col(c) -> Column:
 
 
 def round_half_even(c, digits: int) -> Column:
-    """NumPy-style rounding (banker's rounding) of a double."""
-    return F.bround(col(c), digits)
+    """NumPy ``round``: scale by 10**digits, round half to even (``rint``), scale back.
+
+    Same IEEE operations as ``np.round`` and as SQL ``round_even`` on doubles.
+    """
+    scale = F.lit(float(10 ** digits))
+    return F.rint(col(c) * scale) / scale
 
 
 def hour_of_day(ts) -> Column:
@@ -46,7 +50,7 @@ def log_amount(amount) -> Column:
 
 def risk_score(probability) -> Column:
     """0-100 score, half-even at two decimals."""
-    return F.bround(col(probability) * F.lit(100.0), 2)
+    return round_half_even(col(probability) * F.lit(100.0), 2)
 
 
 def risk_level(probability, low=DEFAULT_LOW_RISK_THRESHOLD, high=DEFAULT_HIGH_RISK_THRESHOLD) -> Column:

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.functions import expressions as X
+
 SCORE_BUCKETS = 4096
 
 
@@ -153,7 +155,7 @@ def roc_curve(df: DataFrame, label_col: str = "label", score_col: str = "probabi
         d2f = F.lead(fp).over(w) - 2 * fp + F.lag(fp).over(w)
         d2t = F.lead(tp).over(w) - 2 * tp + F.lag(tp).over(w)
         keep = F.lag(fp).over(w).isNull() | F.lead(fp).over(w).isNull() | (d2f != 0) | (d2t != 0)
-        pts = pts.where(keep)
+        pts = pts.withColumn("_keep", keep).where(F.col("_keep"))
     curve = pts.select(*by, F.col("score").alias("threshold"),
                        F.col("cum_neg_ge").alias("fps"), F.col("cum_pos_ge").alias("tps"), "n_pos", "n_neg")
     start = curve.groupBy(*by).agg(F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg")) \
@@ -188,7 +190,7 @@ def average_precision(df: DataFrame, label_col: str = "label", score_col: str =
     tp, fp = F.col("cum_pos_ge"), F.col("cum_neg_ge")
     prec = tp.cast("double") / (tp + fp).cast("double")
     agg = sc.groupBy(*by).agg(F.sum(F.col("pos") * prec).alias("_s"), F.first("n_pos").alias("_p"))
-    return agg.select(*by, F.bround(F.when(F.col("_p") > 0, F.col("_s") / F.col("_p")).otherwise(F.lit(0.0)),
+    return agg.select(*by, X.round_half_even(F.when(F.col("_p") > 0, F.col("_s") / F.col("_p")).otherwise(F.lit(0.0)),
                                     digits).alias("average_precision"))
 
 

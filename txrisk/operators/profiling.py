@@ -172,7 +172,7 @@ def correlation_matrix(df: DataFrame, cols, digits: int = 9) -> DataFrame:
     i = F.col("_i").cast("int")
     return long.select(F.element_at(names_a, i + 1).alias("col_a"),
                        F.element_at(names_b, i + 1).alias("col_b"),
-                       F.bround("corr", digits).alias("corr"))
+                       X.round_half_even("corr", digits).alias("corr"))
 
 
 def anomaly_rate_by(df: DataFrame, col: str = "device_type", label_col: str = "is_anomaly") -> DataFrame:
@@ -215,8 +215,8 @@ def density_curve(df: DataFrame, value_col: str, grid_size: int = KDE_GRID_SIZE,
     ).alias("point", "_k"))
     dens = contrib.groupBy("point").agg(F.sum("_k").alias("_s"))
     norm = F.lit(1.0) / (n * bw * F.sqrt(F.lit(2 * math.pi)))
-    return dens.select("point", F.bround(start + F.col("point") * step, digits).alias("x"),
-                       F.bround(F.col("_s") * norm, digits).alias("density"))
+    return dens.select("point", X.round_half_even(start + F.col("point") * step, digits).alias("x"),
+                       X.round_half_even(F.col("_s") * norm, digits).alias("density"))
 
 
 def dataset_kpis(df: DataFrame, label_col: str = "is_anomaly", customer_col: str = "customer_id",

@@ -70,7 +70,7 @@ def risk_summary(df: DataFrame, level_col: str = "risk_level", by=None,
     lo, hi = _thresholds(policy, low, high)
 
     def pct(c):
-        return F.bround(F.col(c) * 100.0 / F.col("total_predictions"), 2)
+        return X.round_half_even(F.col(c) * 100.0 / F.col("total_predictions"), 2)
 
     return agg.select(*by, "total_predictions", "high_risk_cases", "medium_risk_cases", "low_risk_cases",
                       pct("high_risk_cases").alias("percentage_high_risk"),
@@ -213,4 +213,4 @@ def churn_score(df: DataFrame, monthly_col: str = "monthly_charges", tenure_col:
     """Closed-form churn score: flag s > 0.5 and score round(s x 100, 2)."""
     s = X.churn_score(monthly_col, tenure_col)
     return (df.withColumn("churn_prediction", s > 0.5)
-              .withColumn("risk_score", F.bround(s * 100, 2)))
+              .withColumn("risk_score", X.round_half_even(s * 100, 2)))

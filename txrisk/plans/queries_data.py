@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from txrisk.functions import expressions as X
+
 from txrisk.operators import cleaning as CL
 from txrisk.operators import features as FE
 from txrisk.operators import profiling as PR
@@ -392,7 +394,7 @@ SELECT count(*) AS n_rows, avg(is_anomaly) AS anomaly_rate, count(DISTINCT custo
        round_even(avg(amount), 6) AS mean_amount FROM ({T_SQL})""")
 def q_dataset_kpis(spark, sf):
     k = PR.dataset_kpis(txn(spark, sf))
-    return k.withColumn("mean_amount", F.bround("mean_amount", 6))
+    return k.withColumn("mean_amount", X.round_half_even("mean_amount", 6))
 
 
 @register("sample_head", sql=f"""
