@@ -118,13 +118,16 @@ def save_metrics(df_long: DataFrame, path: str, mode: str = "append") -> str:
 
 def load_model_metrics(spark: SparkSession, path: str, model_name: str | None = None,
                        fallback=MODEL_FALLBACK) -> DataFrame:
-    """S4 (lookup): metrics of the model whose name contains ``model_name``,
-    else the first stored model in the fallback order."""
+    """S4 (lookup): metrics of the stored model named ``model_name``; else of the
+    longest stored name contained in it (keyword match); else of the first
+    stored model in the fallback order."""
     m = spark.read.schema(METRIC_SCHEMA).parquet(path)
-    prio = F.create_map(*[x for i, n in enumerate(fallback) for x in (F.lit(n), F.lit(i + 1))])
-    rank = F.when(F.lit(model_name).isNotNull() & F.col("model").contains(F.lit(model_name or "")), F.lit(0)) \
-            .otherwise(F.coalesce(prio[F.col("model")], F.lit(len(fallback) + 1)))
-    best = m.select(F.min(rank).alias("r")).scalar()
+    prio = F.create_map(*[x for i, n in enumerate(fallback) for x in (F.lit(n), F.lit(i))])
+    name = F.lit(model_name or "")
+    rank = (F.when(F.col("model") == name, F.lit(0))
+             .when(name.contains(F.col("model")), F.lit(1_000_000) - F.length("model"))
+             .otherwise(F.lit(2_000_000) + F.coalesce(prio[F.col("model")], F.lit(len(fallback)))))
+    best = m.select(F.min(rank)).scalar()
     return m.where(rank == best)
 
 
