@@ -30,7 +30,7 @@ for name, fn in q.items():
             print(json.dumps({"query": name, "error": str(e)[:400]}))
         continue
     try:
-        r = compare(spark, name, fn, o[name], sf, con)
+        r = compare(spark, name, fn, o[name], sf, con, digits=int(os.environ.get("ORACLE_DIGITS", "9")))
     except Exception as e:  # noqa: BLE001
         r = {"query": name, "match": False, "error": str(e)[:600]}
     r["sec"] = round(time.time() - t, 2)
