@@ -34,6 +34,23 @@ def clean_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def median_fill(df: DataFrame, c: str):
+    """Exact median of the parseable values of ``c`` as a scalar subquery."""
+    med = stats.exact_median(df.select(F.col(c).try_cast("double").alias("_x")), "_x")
+    return med.agg(F.max("median")).scalar()      # global aggregate: exactly one row
+
+
+def mode_fill(df: DataFrame, c: str, fallback=None):
+    """Most frequent value of ``c`` (ties -> smallest) as a scalar subquery."""
+    fill = stats.modes(df, [c]).select("mode").scalar()   # global aggregate: one row
+    return F.coalesce(fill, F.lit(fallback)) if fallback is not None else fill
+
+
+def _fill(df: DataFrame, fills: dict) -> DataFrame:
+    return df.select(*[F.coalesce(F.col(c), fills[c].cast(df.schema[c].dataType)).alias(c) if c in fills
+                       else F.col(c) for c in df.columns])
+
+
 def impute_median(df: DataFrame, cols=None) -> DataFrame:
     """Numeric columns: missing -> exact column median of the parseable values.
 
@@ -41,22 +58,11 @@ def impute_median(df: DataFrame, cols=None) -> DataFrame:
     type coercion, as in the reference order of steps.
     """
     cols = _present(df, NUMERIC_COLUMNS if cols is None else cols)
-    out = df
-    for c in cols:
-        med = stats.exact_median(df.select(F.col(c).try_cast("double").alias("_x")), "_x")
-        fill = med.agg(F.max("median")).scalar()      # global aggregate: exactly one row
-        out = out.withColumn(c, F.coalesce(F.col(c), fill.cast(df.schema[c].dataType)))
-    return out
+    return _fill(df, {c: median_fill(df, c) for c in cols})
 
 
 def _attach_modes(df: DataFrame, cols, fallback=None) -> DataFrame:
-    out = df
-    for c in cols:
-        fill = stats.modes(df, [c]).select("mode").scalar()   # global aggregate: one row
-        if fallback is not None:
-            fill = F.coalesce(fill, F.lit(fallback))
-        out = out.withColumn(c, F.coalesce(F.col(c), fill.cast(df.schema[c].dataType)))
-    return out
+    return _fill(df, {c: mode_fill(df, c, fallback) for c in cols})
 
 
 def impute_mode(df: DataFrame, cols=None) -> DataFrame:
@@ -151,12 +157,15 @@ def preprocess_transactions(raw: DataFrame, ts_col: str = "timestamp", mode: str
     """C1 -> C2 -> C3 -> C5 -> C6 -> C7 -> C8, the reference order.
 
     Median and mode are taken after de-duplication but before null-key rows are
-    dropped and before case folding.
+    dropped and before case folding.  All fill values are statistics of the
+    same de-duplicated frame, so they are independent scalar subqueries over
+    it and are applied in one projection.
     """
-    return (raw.transform(clean_duplicates)
-               .transform(impute_median)
-               .transform(impute_mode)
-               .transform(lambda d: drop_null_critical(d, ts_col))
-               .transform(lambda d: coerce_types(d, ts_col, mode))
-               .transform(standardize_categoricals)
-               .transform(filter_invalid_amounts))
+    d = clean_duplicates(raw)
+    fills = {c: median_fill(d, c) for c in _present(d, NUMERIC_COLUMNS)}
+    fills.update({c: mode_fill(d, c) for c in _present(d, CATEGORICAL_COLUMNS)})
+    return (_fill(d, fills)
+            .transform(lambda x: drop_null_critical(x, ts_col))
+            .transform(lambda x: coerce_types(x, ts_col, mode))
+            .transform(standardize_categoricals)
+            .transform(filter_invalid_amounts))
