@@ -65,35 +65,41 @@ def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds):
     payload = df.columns
     us = F.unix_micros(F.col(ts))
     valid = F.col(cust).isNotNull() & F.col(ts).isNotNull()
-    base = df.select(
-        *[F.col(c) for c in payload],
-        us.alias("_t"), F.lit(1).alias("_kind"),
+    # One scan: every row yields its arrival and (when it has a customer and a
+    # time) its expiry 30 days later; expiry rows carry no payload.
+    arrival = F.struct(us.alias("t"), F.lit(1).alias("kind"), F.lit(1).alias("sgn"))
+    expiry = F.when(valid, F.struct((us + F.lit(W)).alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("sgn")))
+    ev = df.select(
+        *payload,
         F.col(tid).cast("string").alias("_id"),
-        F.when(F.col(tid).isNotNull(), 1).otherwise(0).cast("long").alias("_dc"),
-        F.when(F.col(amount).isNotNull(), 1).otherwise(0).cast("long").alias("_dn"),
-        F.coalesce(F.col(amount).cast(AMOUNT_DECIMAL), F.lit(0).cast(AMOUNT_DECIMAL)).alias("_ds"),
         F.col(cust).alias("_cust"),
-    )
-    expiry = base.where(valid).select(
-        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in payload],
-        (F.col("_t") + F.lit(W)).alias("_t"), F.lit(0).alias("_kind"), F.col("_id"),
-        (-F.col("_dc")).alias("_dc"), (-F.col("_dn")).alias("_dn"), (-F.col("_ds")).alias("_ds"),
-        F.col("_cust"),
-    )
-    ev = base.unionByName(expiry)
+        F.when(F.col(tid).isNotNull(), 1).otherwise(0).cast("long").alias("_c1"),
+        F.when(F.col(amount).isNotNull(), 1).otherwise(0).cast("long").alias("_n1"),
+        F.coalesce(F.col(amount).cast(AMOUNT_DECIMAL), F.lit(0).cast(AMOUNT_DECIMAL)).alias("_s1"),
+        F.explode(F.filter(F.array(arrival, expiry), lambda e: e.isNotNull())).alias("_e"))
+    is_arrival = F.col("_e.kind") == 1
+    ev = ev.select(
+        *[F.when(is_arrival, F.col(c)).alias(c) for c in payload],
+        "_id", "_cust",
+        F.col("_e.t").alias("_t"), F.col("_e.kind").alias("_kind"),
+        (F.col("_c1") * F.col("_e.sgn")).alias("_dc"),
+        (F.col("_n1") * F.col("_e.sgn")).alias("_dn"),
+        (F.col("_s1") * F.col("_e.sgn")).cast("decimal(29,8)").alias("_ds"))
     # Time slice; rows without a usable time are spread by a hash salt instead.
     ev = ev.withColumn(
         "_slice",
         F.when(F.col("_t").isNotNull(), F.floor(F.col("_t") / F.lit(slice_us)))
          .otherwise(-1 - F.pmod(F.xxhash64("_id"), F.lit(1024))))
-    within = (Window.partitionBy("_cust", "_slice").orderBy("_t", "_kind", "_id")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ev = (ev.withColumn("_rc", F.sum("_dc").over(within))
-            .withColumn("_rn", F.sum("_dn").over(within))
-            .withColumn("_rs", F.sum("_ds").over(within)))
-    # Totals of earlier slices of the same customer: one row per (customer, slice).
+    # Totals per (customer, slice): a partial (map-side) aggregate, so this
+    # branch reads only the key columns and shuffles one row per slice per task.
     totals = ev.groupBy("_cust", "_slice").agg(
         F.sum("_dc").alias("_tc"), F.sum("_dn").alias("_tn"), F.sum("_ds").alias("_ts"))
+    order = Window.partitionBy("_cust", "_slice").orderBy("_t", "_kind", "_id")
+    within = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = ev.select(
+        "*",
+        F.sum("_dc").over(within).alias("_rc"), F.sum("_dn").over(within).alias("_rn"),
+        F.sum("_ds").over(within).alias("_rs"))
     before = (Window.partitionBy("_cust").orderBy("_slice")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(
@@ -103,13 +109,12 @@ def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds):
         F.coalesce(F.sum("_ts").over(before), F.lit(0).cast("decimal(38,8)")).alias("_os"))
     arrivals = ev.where(F.col("_kind") == 1)
     j = arrivals.join(offsets, ["_cust", "_slice"], "left")
-    out = j.select(
+    return j.select(
         *[F.col(c) for c in payload],
         (F.col("_rc") + F.coalesce("_oc", F.lit(0))).alias("_vc"),
         (F.col("_rs") + F.coalesce("_os", F.lit(0))).alias("_vs"),
         (F.col("_rn") + F.coalesce("_on", F.lit(0))).alias("_vn"),
     )
-    return out
 
 
 def velocity_features(df: DataFrame, customer_col: str = "customer_id", ts_col: str = "timestamp",
@@ -149,10 +154,11 @@ def engineer_features(df: DataFrame, ts_col: str = "timestamp", customer_col: st
                       location_col: str = "location", method: str = "events",
                       slice_seconds: int = 3600, order_by_time: bool = False) -> DataFrame:
     """F1-F5 composed.  Ordering by time is only applied when asked for."""
-    out = (df.transform(lambda d: temporal_features(d, ts_col))
-             .transform(lambda d: international_flag(d, location_col))
-             .transform(lambda d: velocity_features(d, customer_col, ts_col, id_col, amount_col,
+    # Row-local features are added after the velocity shuffle so they are not carried through it.
+    out = (df.transform(lambda d: velocity_features(d, customer_col, ts_col, id_col, amount_col,
                                                     method=method, slice_seconds=slice_seconds))
+             .transform(lambda d: temporal_features(d, ts_col))
+             .transform(lambda d: international_flag(d, location_col))
              .transform(lambda d: amount_ratio(d, amount_col)))
     if order_by_time:
         out = out.orderBy(ts_col, id_col)
