@@ -153,15 +153,21 @@ def clean_audit(raw: DataFrame, clean: DataFrame, amount_col: str = "amount") ->
         F.lit(len(clean.columns)).alias("columns_after"))
 
 
-def preprocess_transactions(raw: DataFrame, ts_col: str = "timestamp", mode: str = "strict") -> DataFrame:
+def preprocess_transactions(raw: DataFrame, ts_col: str = "timestamp", mode: str = "strict",
+                            materialize: bool = True) -> DataFrame:
     """C1 -> C2 -> C3 -> C5 -> C6 -> C7 -> C8, the reference order.
 
     Median and mode are taken after de-duplication but before null-key rows are
     dropped and before case folding.  All fill values are statistics of the
     same de-duplicated frame, so they are independent scalar subqueries over
-    it and are applied in one projection.
+    it and are applied in one projection.  With ``materialize`` the
+    de-duplicated frame is written once to the shared checkpoint folder, so the
+    full-row de-duplication shuffle runs once instead of once per statistic.
     """
     d = clean_duplicates(raw)
+    if materialize:   # one de-duplication shuffle; the statistics then scan single columns
+        from txrisk.session import materialize as _materialize
+        d = _materialize(d, "dedup")
     fills = {c: median_fill(d, c) for c in _present(d, NUMERIC_COLUMNS)}
     fills.update({c: mode_fill(d, c) for c in _present(d, CATEGORICAL_COLUMNS)})
     return (_fill(d, fills)

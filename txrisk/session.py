@@ -57,3 +57,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Used where several statistics are taken from one expensive intermediate: the
+    intermediate is computed once, later passes are column-pruned scans, and the
+    files survive the loss of executors (unlike a cache or a local checkpoint).
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"txrisk-{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
