@@ -206,3 +206,11 @@ s AS (
          floor(least(geo, 999) / 100) / 10.0 FROM b)
 SELECT *, CAST(probability >= 0.5 AS INTEGER) AS prediction FROM s
 """
+
+
+def closed_form_score(df: DataFrame, model: str = "amount_geo", ts_col: str = "ts",
+                      amount_col: str = "amount", location_col: str = "location") -> DataFrame:
+    """Attach ``probability`` and ``prediction`` of one closed-form model to any transaction frame."""
+    intl_odd = (~F.lower(F.col(location_col)).endswith("us")) & F.hour(F.col(ts_col)).between(*ODD_HOURS)
+    p = _score_exprs(F.col(amount_col), intl_odd)[model]
+    return df.withColumn("probability", p).withColumn("prediction", (p >= 0.5).cast("int"))
