@@ -73,3 +73,37 @@ def test_churn_score(spark):
     df = spark.createDataFrame([(10.0, 0), (100.0, 1), (50.0, 10)], "monthly_charges double, tenure int")
     out = RK.churn_score(df).collect()
     assert [(r.churn_prediction, r.risk_score) for r in out] == [(True, 99.0), (True, 99.0), (False, 50.0)]
+
+
+def _roc_bruteforce(labels, scores, drop=True):
+    import numpy as np
+    order = np.argsort(-scores, kind="mergesort")
+    s, y = scores[order], labels[order]
+    distinct = np.r_[np.where(np.diff(s))[0], y.size - 1]
+    tps = np.cumsum(y)[distinct]
+    fps = (1 + distinct) - tps
+    thr = s[distinct]
+    if drop and len(fps) > 2:
+        keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+        fps, tps, thr = fps[keep], tps[keep], thr[keep]
+    fpr = np.r_[0, fps] / max(fps[-1], 1)
+    tpr = np.r_[0, tps] / max(tps[-1], 1)
+    return fpr, tpr
+
+
+def test_roc_curve_dense_scores_match_bruteforce(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    n = 6000
+    y = rng.integers(0, 2, n)
+    # many distinct scores per bucket, plus tie runs and collinear stretches
+    s = np.round(np.clip(rng.normal(0.5 + 0.1 * y, 0.05), 0, 1), 5)
+    s[:500] = 0.5
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, probability double")
+    got = EV.roc_curve(df).orderBy("point").collect()
+    fpr, tpr = _roc_bruteforce(y, s)
+    assert [r.point for r in got] == list(range(len(fpr)))
+    assert np.allclose([r.fpr for r in got], fpr) and np.allclose([r.tpr for r in got], tpr)
+    auc = EV.roc_auc(df).collect()[0].roc_auc
+    assert auc == pytest.approx(float(np.trapezoid(_roc_bruteforce(y, s, drop=False)[1],
+                                                   _roc_bruteforce(y, s, drop=False)[0])))

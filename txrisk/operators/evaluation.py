@@ -89,7 +89,7 @@ def classification_report(df: DataFrame, label_col: str = "label", pred_col: str
 
 
 def score_counts(df: DataFrame, label_col: str = "label", score_col: str = "probability",
-                 by=None, buckets: int = SCORE_BUCKETS) -> DataFrame:
+                 by=None, buckets: int = SCORE_BUCKETS, keep_bucket: bool = False) -> DataFrame:
     """Per (group, distinct score): ``pos, neg`` and running totals in both directions.
 
     ``cum_pos_ge / cum_neg_ge`` count rows with score >= s (descending sweep),
@@ -115,7 +115,7 @@ def score_counts(df: DataFrame, label_col: str = "label", score_col: str = "prob
                      F.coalesce(F.sum("_bn").over(higher), F.lit(0)).alias("_on"))
     tots = Window.partitionBy(*by)
     out = d.join(tot, by + ["_b"]).select(
-        *by, "score", "pos", "neg",
+        *by, *(["_b"] if keep_bucket else []), "score", "pos", "neg",
         (F.col("_wp") + F.col("_op")).alias("cum_pos_ge"),
         (F.col("_wn") + F.col("_on")).alias("cum_neg_ge"))
     totals = d.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -144,28 +144,42 @@ def roc_curve(df: DataFrame, label_col: str = "label", score_col: str = "probabi
     """``point, threshold, fpr, tpr``; starts at (0, 0) with a NULL threshold.
 
     ``drop_intermediate`` drops interior points collinear with their neighbours
-    (same second difference rule as the usual ROC helpers).
+    (second differences of the cumulative counts both zero, i.e. the next
+    lower score has the same positive and negative counts).  Neighbours and
+    point numbers are found per (group, score bucket), with the values that
+    cross bucket edges taken from small per-bucket tables, so no task holds
+    all distinct scores of a group.
     """
     by = _by(by)
-    sc = score_counts(df, label_col, score_col, by)
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    pts = sc.withColumn("_i", F.row_number().over(w))
+    sc = score_counts(df, label_col, score_col, by, keep_bucket=True)
+    in_bucket = Window.partitionBy(*by, "_b").orderBy(F.desc("score"))
+    sc = sc.withColumn("_np", F.lead("pos").over(in_bucket)).withColumn("_nn", F.lead("neg").over(in_bucket))
+    heads = sc.groupBy(*by, "_b").agg(F.max_by(F.struct("pos", "neg"), "score").alias("_h"),
+                                      F.max("score").alias("_hs"))
+    lower = Window.partitionBy(*by).orderBy(F.desc("_b"))
+    heads = heads.select(*by, "_b", F.lead("_h").over(lower).alias("_nh"),
+                         F.max("_hs").over(Window.partitionBy(*by)).alias("_top"))
+    sc = sc.join(heads, by + ["_b"])
+    nxt_pos = F.coalesce(F.col("_np"), F.col("_nh.pos"))
+    nxt_neg = F.coalesce(F.col("_nn"), F.col("_nh.neg"))
     if drop_intermediate:
-        fp, tp = F.col("cum_neg_ge"), F.col("cum_pos_ge")
-        d2f = F.lead(fp).over(w) - 2 * fp + F.lag(fp).over(w)
-        d2t = F.lead(tp).over(w) - 2 * tp + F.lag(tp).over(w)
-        keep = F.lag(fp).over(w).isNull() | F.lead(fp).over(w).isNull() | (d2f != 0) | (d2t != 0)
-        pts = pts.withColumn("_keep", keep).where(F.col("_keep"))
-    curve = pts.select(*by, F.col("score").alias("threshold"),
-                       F.col("cum_neg_ge").alias("fps"), F.col("cum_pos_ge").alias("tps"), "n_pos", "n_neg")
+        keep = ((F.col("score") == F.col("_top")) | nxt_pos.isNull()
+                | (nxt_pos != F.col("pos")) | (nxt_neg != F.col("neg")))
+        sc = sc.where(keep)
+    # Point numbers: rank inside the bucket + kept points of higher buckets (+1 for the start point).
+    sc = sc.withColumn("_r", F.row_number().over(in_bucket))
+    per_bucket = sc.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    higher = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.select(*by, "_b", F.coalesce(F.sum("_k").over(higher), F.lit(0)).alias("_off"))
+    curve = sc.join(per_bucket, by + ["_b"]).select(
+        *by, (F.col("_off") + F.col("_r")).cast("int").alias("point"), F.col("score").alias("threshold"),
+        F.col("cum_neg_ge").alias("fps"), F.col("cum_pos_ge").alias("tps"), "n_pos", "n_neg")
     start = curve.groupBy(*by).agg(F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg")) \
-        .select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("fps"),
-                F.lit(0).cast("long").alias("tps"), "n_pos", "n_neg")
-    allp = curve.unionByName(start)
-    wp = Window.partitionBy(*by).orderBy(F.col("threshold").desc_nulls_first())
-    return allp.select(*by, (F.row_number().over(wp) - 1).alias("point"), "threshold",
-                       _ratio(F.col("fps"), F.col("n_neg")).alias("fpr"),
-                       _ratio(F.col("tps"), F.col("n_pos")).alias("tpr"))
+        .select(*by, F.lit(0).alias("point"), F.lit(None).cast("double").alias("threshold"),
+                F.lit(0).cast("long").alias("fps"), F.lit(0).cast("long").alias("tps"), "n_pos", "n_neg")
+    return curve.unionByName(start).select(
+        *by, "point", "threshold", _ratio(F.col("fps"), F.col("n_neg")).alias("fpr"),
+        _ratio(F.col("tps"), F.col("n_pos")).alias("tpr"))
 
 
 def pr_curve(df: DataFrame, label_col: str = "label", score_col: str = "probability", by=None) -> DataFrame:
