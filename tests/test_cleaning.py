@@ -69,3 +69,12 @@ def test_strict_timestamp_raises(spark):
     with pytest.raises(Exception):
         CL.coerce_types(raw, mode="strict").collect()
     assert CL.coerce_types(raw, mode="permissive").collect()[0].timestamp is None
+
+
+def test_density_prebin_close_to_exact(spark):
+    from txrisk.operators import profiling as PR
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(0, 1, 3000)], "x double")
+    exact = [r.density for r in PR.density_curve(df, "x").orderBy("point").collect()]
+    approx = [r.density for r in PR.density_curve(df, "x", prebin=2000).orderBy("point").collect()]
+    assert np.allclose(exact, approx, atol=1e-3)
