@@ -330,7 +330,8 @@ def q_history_context(spark, sf):
     t = A.transactions(spark, sf)
     cut = F.lit(NEW_FROM).cast("timestamp")
     path = _scratch(spark, "history")
-    IO.write_table(t.where(F.col("ts") < cut), path)
+    IO.write_table(t.where(F.col("ts") < cut).withColumn("day", F.to_date("ts").cast("string")), path,
+                   partition_by=["day"])
     history = IO.scan_history(spark, path, t.schema)
     return history_context_features(t.where(F.col("ts") >= cut), history, ts_col="ts").select(*F7_COLS)
 

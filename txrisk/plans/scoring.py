@@ -11,6 +11,8 @@ reference does.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,12 @@ def _prepare(df: DataFrame, ts_col: str) -> DataFrame:
 def history_context_features(new: DataFrame, history: DataFrame | None = None, ts_col: str = "timestamp",
                              customer_col: str = "customer_id", id_col: str = "transaction_id",
                              exclude_overlap: bool = False, window_days: int = 30,
-                             method: str = "events") -> DataFrame:
+                             method: str = "events", day_col: str = "day") -> DataFrame:
     """engineered features for the rows of ``new`` only, using ``history`` as context.
 
     ``exclude_overlap=True`` drops history rows whose id is also in the batch
-    (by default they count twice, as in the reference).
+    (by default they count twice, as in the reference).  A history table
+    partitioned by ``day_col`` (yyyy-MM-dd) is pruned to the days in reach.
     """
     batch = _prepare(new, ts_col).withColumn(NEW_FLAG, F.lit(True))
     cats = [c for c in CL.CATEGORICAL_COLUMNS if c in batch.columns]
@@ -53,8 +56,20 @@ def history_context_features(new: DataFrame, history: DataFrame | None = None, t
     # Mode imputation over the whole union (history + batch).
     modes = {c: stats.modes(combined, [c]).select("mode").scalar() for c in cats}
     if hist is not None:
-        earliest = batch.agg(F.min(ts_col)).scalar()
-        reach = hist.where(F.col(ts_col) > earliest - F.expr(f"INTERVAL {int(window_days)} DAYS"))
+        # One scalar from the (small) batch turns the 30-day reach into a literal
+        # predicate: pushed into the history scan, and a partition filter when
+        # the history is partitioned by day.
+        earliest = batch.agg(F.min(ts_col)).first()[0]
+        if earliest is None:
+            reach = hist.limit(0)
+        else:
+            cutoff = earliest - datetime.timedelta(days=int(window_days))
+            reach = history.where(F.col(ts_col) > F.lit(cutoff))
+            if day_col in history.columns:
+                reach = reach.where(F.col(day_col) >= F.lit(cutoff.date().isoformat()))
+            reach = _prepare(reach.select(*common), ts_col).withColumn(NEW_FLAG, F.lit(False))
+            if exclude_overlap:
+                reach = reach.join(new.select(id_col), id_col, "left_anti")
         reach = reach.join(batch.select(customer_col).distinct(), customer_col, "left_semi")
         work = reach.unionByName(batch, allowMissingColumns=True)
     else:

@@ -20,10 +20,10 @@ from txrisk.functions import expressions as X
 from txrisk.plans.scoring import history_context_features
 
 
-def _append_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
+def _append_epoch(df: DataFrame, path: str, epoch_id: int, partition_by=()) -> None:
     (df.withColumn("epoch", F.lit(int(epoch_id)))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("epoch").parquet(path))
+       .partitionBy(*partition_by, "epoch").parquet(path))
 
 
 def score_micro_batch(batch: DataFrame, epoch_id: int, history_path: str, output_path: str,
@@ -32,7 +32,7 @@ def score_micro_batch(batch: DataFrame, epoch_id: int, history_path: str, output
     """Features in history context -> probability -> score and tier; then grow the history."""
     spark = batch.sparkSession
     try:
-        history = spark.read.parquet(history_path).drop("epoch")
+        history = spark.read.parquet(history_path).drop("epoch")   # keeps `day` for pruning
         history.schema
     except Exception:  # noqa: BLE001 - first epoch: no history yet
         history = None
@@ -45,7 +45,8 @@ def score_micro_batch(batch: DataFrame, epoch_id: int, history_path: str, output
                         X.risk_level("probability", low, high).alias("risk_level"),
                         "customer_txn_count_30d", "customer_avg_amount_30d", "amount_ratio_to_avg")
     _append_epoch(out, output_path, epoch_id)
-    _append_epoch(batch, history_path, epoch_id)
+    # History partitioned by day, so the next batches read only the days in reach.
+    _append_epoch(batch.withColumn("day", F.to_date(ts_col).cast("string")), history_path, epoch_id, ["day"])
 
 
 def start_scoring_stream(spark: SparkSession, source_path: str, schema, history_path: str, output_path: str,
