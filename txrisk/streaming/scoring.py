@@ -36,9 +36,9 @@ def score_micro_batch(batch: DataFrame, epoch_id: int, history_path: str, output
         history.schema
     except Exception:  # noqa: BLE001 - first epoch: no history yet
         history = None
-    if history is not None:   # a replayed epoch must not see its own rows as history
-        history = history.join(batch.select("transaction_id"), "transaction_id", "left_anti")
-    feats = history_context_features(batch, history, ts_col=ts_col)
+    # exclude_overlap: a replayed epoch must not see its own rows as history
+    # (the anti join runs after the history is pruned to the 30-day reach).
+    feats = history_context_features(batch, history, ts_col=ts_col, exclude_overlap=True)
     scored = score_fn(feats)
     out = scored.select(*batch.columns, "prediction", "probability",
                         X.risk_score("probability").alias("risk_score"),
