@@ -206,7 +206,7 @@ A_RAW_COLS = ["transaction_id", "customer_id", "ts", "amount", "merchant_categor
 WITH r AS ({RAW_SQL})
 SELECT count(*) AS rows_before, (SELECT count(*) FROM ({CLEAN_SQL})) AS rows_after,
        count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r)) AS duplicates_removed,
-       sum({" + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in A_RAW_COLS)}) AS missing_values,
+       CAST(sum({" + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in A_RAW_COLS)}) AS BIGINT) AS missing_values,
        count(*) FILTER (WHERE TRY_CAST(amount AS DOUBLE) <= 0) AS invalid_amounts,
        8 AS columns_before, 8 AS columns_after
 FROM r""")

@@ -111,7 +111,7 @@ def q_one_hot(spark, sf):
 @register("split_report", sql=f"""
 WITH {SPLIT_SQL},
 w AS (SELECT 6 + {" + ".join(f"count(DISTINCT {c})" for c in CATEGORICAL)} AS n_features FROM tr)
-SELECT split, count(*) AS n_rows, avg(is_anomaly) AS anomaly_rate, max(n_features) AS n_features
+SELECT split, count(*) AS n_rows, avg(is_anomaly) AS anomaly_rate, CAST(max(n_features) AS INTEGER) AS n_features
 FROM sp, w GROUP BY split""")
 def q_split_report(spark, sf):
     sp = split_table(spark, sf)
