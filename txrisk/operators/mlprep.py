@@ -158,6 +158,17 @@ def feature_pipeline(train: DataFrame, numeric=ENGINEERED_NUMERIC, categorical=E
     return Pipeline(stages=stages).fit(cast)
 
 
+def pipeline_feature_names(model, numeric=ENGINEERED_NUMERIC, categorical=ENGINEERED_CATEGORICAL):
+    """Slot names of the ``features`` vector: numeric columns, then ``<col>_<level>``
+    per training level in alphabetical order (the reference's naming)."""
+    from pyspark.ml.feature import StringIndexerModel
+    indexer = next(st for st in model.stages if isinstance(st, StringIndexerModel))
+    names = list(numeric)
+    for c, labels in zip(categorical, indexer.labelsArray):
+        names += [f"{c}_{v}" for v in labels]
+    return names
+
+
 def apply_pipeline(model, df: DataFrame, categorical=ENGINEERED_CATEGORICAL) -> DataFrame:
     out = df
     for c in categorical:

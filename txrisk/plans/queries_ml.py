@@ -210,10 +210,10 @@ def q_best_model(spark, sf):
 
 @register("feature_drivers")
 def q_feature_drivers(spark, sf):
-    enc, _ = encoded(spark, sf)
+    enc, pipe = encoded(spark, sf)
     train = enc.where(F.col("split") == "train")
     model = MD.train_forest(train, num_trees=20, max_depth=8)
-    return MD.feature_drivers(spark, model, MD.feature_names(enc), k=10)
+    return MD.feature_drivers(spark, model, MP.pipeline_feature_names(pipe), k=10)
 
 
 def _scratch(spark, name):
