@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from txrisk.functions import expressions as X
 from txrisk.operators import cleaning as CL

@@ -1,7 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
 
-from txrisk.functions import expressions as X
 from txrisk.operators import evaluation as EV
 from txrisk.operators import risk as RK
 

@@ -1,6 +1,4 @@
 """Model operators: quality thresholds on seeded data, scoring invariants, stores."""
-import os
-
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F

@@ -1,6 +1,4 @@
 """Every registered query with a SQL oracle matches DuckDB on sf0.001."""
-import os
-
 import pytest
 
 import __spark_entry__ as E

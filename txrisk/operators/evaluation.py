@@ -9,8 +9,6 @@ single task has to hold all distinct scores of a group.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

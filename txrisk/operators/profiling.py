@@ -13,7 +13,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from txrisk.functions import expressions as X
 from txrisk.operators import stats

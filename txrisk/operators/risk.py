@@ -8,8 +8,6 @@ recommendations) stay DataFrames with optional ``by`` keys.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
