@@ -46,13 +46,25 @@ def _sample(df: DataFrame, cond, value, order_col: str, n: int = SAMPLE_SIZE):
     return top.agg(F.when(F.size(items) > 0, joined).alias("sample")).scalar()
 
 
+def _count(df: DataFrame, cond):
+    """Failing-row count as a scalar subquery.  Scalar subqueries over the same
+    input are merged by the optimizer into one aggregate, so all checks of a
+    report cost a single pass for their counts."""
+    return df.agg(F.count_if(cond)).scalar()
+
+
+def _row(spark, **cols):
+    return spark.range(1).select(*[(v if not isinstance(v, (int, str, type(None))) else F.lit(v)).alias(k)
+                                   for k, v in cols.items()])
+
+
 def dq_null_keys(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transaction_id",
                  id_col: str = "transaction_id") -> DataFrame:
     """V3: per critical column, NULL count and the first 5 affected row ids."""
+    spark = df.sparkSession
     cols = [c for c in _rename(CRITICAL_COLUMNS, ts_col) if c in df.columns]
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    parts = [counts.select(F.lit(i).alias("col_pos"), F.lit(c).alias("column_name"), F.col(c).alias("n_missing"),
-                           _sample(df, F.col(c).isNull(), F.col(id_col), order_col).alias("first_rows"))
+    parts = [_row(spark, col_pos=i, column_name=c, n_missing=_count(df, F.col(c).isNull()),
+                  first_rows=_sample(df, F.col(c).isNull(), F.col(id_col), order_col))
              for i, c in enumerate(cols)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -61,71 +73,65 @@ def dq_non_numeric(df: DataFrame, amount_col: str = "amount", order_col: str = "
                    id_col: str = "transaction_id") -> DataFrame:
     """V4: amount text that is present but not a number."""
     bad = F.col(amount_col).isNotNull() & _num(amount_col).isNull()
-    return df.agg(F.count_if(bad).alias("n_bad")).select(
-        F.lit(amount_col).alias("column_name"), "n_bad",
-        _sample(df, bad, F.col(id_col), order_col).alias("first_rows"),
-        _sample(df, bad, F.col(amount_col), order_col).alias("first_values"))
+    return _row(df.sparkSession, column_name=amount_col, n_bad=_count(df, bad),
+                first_rows=_sample(df, bad, F.col(id_col), order_col),
+                first_values=_sample(df, bad, F.col(amount_col), order_col))
 
 
 def dq_bad_timestamp(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transaction_id",
                      id_col: str = "transaction_id") -> DataFrame:
     """V5: timestamp text that is present but does not parse."""
     bad = F.col(ts_col).isNotNull() & _ts(ts_col).isNull()
-    return df.agg(F.count_if(bad).alias("n_bad")).select(
-        F.lit(ts_col).alias("column_name"), "n_bad",
-        _sample(df, bad, F.col(id_col), order_col).alias("first_rows"),
-        _sample(df, bad, F.col(ts_col), order_col).alias("first_values"))
+    return _row(df.sparkSession, column_name=ts_col, n_bad=_count(df, bad),
+                first_rows=_sample(df, bad, F.col(id_col), order_col),
+                first_values=_sample(df, bad, F.col(ts_col), order_col))
 
 
 def dq_non_positive(df: DataFrame, amount_col: str = "amount", order_col: str = "transaction_id",
                     id_col: str = "transaction_id") -> DataFrame:
     """V6: parseable amounts <= 0, with the first 5 transaction ids."""
     bad = _num(amount_col) <= 0
-    return df.agg(F.count_if(bad).alias("n_bad")).select(
-        F.lit(amount_col).alias("column_name"), "n_bad",
-        _sample(df, bad, F.col(id_col), order_col).alias("first_rows"))
+    return _row(df.sparkSession, column_name=amount_col, n_bad=_count(df, bad),
+                first_rows=_sample(df, bad, F.col(id_col), order_col))
 
 
 def dq_report(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transaction_id",
               id_col: str = "transaction_id") -> DataFrame:
-    """V7: all checks in reference order: ``check_no, check_name, column_name, n_bad, passed, first_rows``.
+    """V7: all checks in reference order: ``check_no, check_name, col_pos, column_name, n_bad,
+    first_rows, passed``.
 
     V1 (empty input) and V2 (missing required columns) come from one count and
-    the schema.  Checks on absent columns are reported as skipped (NULL).
+    the schema; checks on absent columns are left out.  All counts are merged
+    into one aggregate pass; each sample is a top-5 over the failing rows.
     """
     spark = df.sparkSession
     required = _rename(REQUIRED_COLUMNS, ts_col)
     missing = [c for c in required if c not in df.columns]
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar()
+    null_str = F.lit(None).cast("string")
     rows = [
-        spark.range(1).select(F.lit(1).alias("check_no"), F.lit("empty_input").alias("check_name"),
-                              F.lit(None).cast("string").alias("column_name"),
-                              F.when(total == 0, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_bad"),
-                              F.lit(None).cast("string").alias("first_rows")),
-        spark.range(1).select(F.lit(2).alias("check_no"), F.lit("missing_columns").alias("check_name"),
-                              F.lit(",".join(missing) if missing else None).cast("string").alias("column_name"),
-                              F.lit(len(missing)).cast("long").alias("n_bad"),
-                              F.lit(None).cast("string").alias("first_rows")),
+        _row(spark, check_no=1, check_name="empty_input", col_pos=0, column_name=null_str,
+             n_bad=F.when(total == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"), first_rows=null_str),
+        _row(spark, check_no=2, check_name="missing_columns", col_pos=0,
+             column_name=F.lit(",".join(missing) if missing else None).cast("string"),
+             n_bad=F.lit(len(missing)).cast("long"), first_rows=null_str),
     ]
     if order_col in df.columns and id_col in df.columns:
-        crit = [c for c in _rename(CRITICAL_COLUMNS, ts_col) if c in df.columns]
-        if crit:
-            rows.append(dq_null_keys(df, ts_col, order_col, id_col).select(
-                F.lit(3).alias("check_no"), F.lit("null_keys").alias("check_name"),
-                "col_pos", "column_name", F.col("n_missing").cast("long").alias("n_bad"), "first_rows"))
+        for i, c in enumerate(c for c in _rename(CRITICAL_COLUMNS, ts_col) if c in df.columns):
+            cond = F.col(c).isNull()
+            rows.append(_row(spark, check_no=3, check_name="null_keys", col_pos=i, column_name=c,
+                             n_bad=_count(df, cond), first_rows=_sample(df, cond, F.col(id_col), order_col)))
+        checks = []
         if "amount" in df.columns:
-            rows.append(dq_non_numeric(df, "amount", order_col, id_col).select(
-                F.lit(4).alias("check_no"), F.lit("non_numeric_amount").alias("check_name"),
-                "column_name", F.col("n_bad").cast("long"), "first_rows"))
+            checks.append((4, "non_numeric_amount", "amount",
+                           F.col("amount").isNotNull() & _num("amount").isNull()))
         if ts_col in df.columns:
-            rows.append(dq_bad_timestamp(df, ts_col, order_col, id_col).select(
-                F.lit(5).alias("check_no"), F.lit("bad_timestamp").alias("check_name"),
-                "column_name", F.col("n_bad").cast("long"), "first_rows"))
+            checks.append((5, "bad_timestamp", ts_col, F.col(ts_col).isNotNull() & _ts(ts_col).isNull()))
         if "amount" in df.columns:
-            rows.append(dq_non_positive(df, "amount", order_col, id_col).select(
-                F.lit(6).alias("check_no"), F.lit("non_positive_amount").alias("check_name"),
-                "column_name", F.col("n_bad").cast("long"), "first_rows"))
-    rows = [r if "col_pos" in r.columns else r.withColumn("col_pos", F.lit(0)) for r in rows]
+            checks.append((6, "non_positive_amount", "amount", _num("amount") <= 0))
+        for no, name, col, cond in checks:
+            rows.append(_row(spark, check_no=no, check_name=name, col_pos=0, column_name=col,
+                             n_bad=_count(df, cond), first_rows=_sample(df, cond, F.col(id_col), order_col)))
     out = reduce(DataFrame.unionByName, rows)
     return out.withColumn("passed", F.col("n_bad") == 0)
 
