@@ -101,8 +101,8 @@ def fixed_bin_histogram(df: DataFrame, value_col: str, bins: int = 30, lo=None,
     counts = (base.where((F.col("_x") >= lo_c) & (F.col("_x") <= hi_c))
               .groupBy(*(by or []), idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count")))
     spark = df.sparkSession
-    if by:   # every group gets all bins, generated per group (no join)
-        grid = base.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    if by:   # every group gets all bins, generated per group from the aggregated counts (no join)
+        grid = counts.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     else:
         grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = grid.join(counts, (by or []) + ["bin"], "left")

@@ -83,8 +83,8 @@ def risk_level_counts(df: DataFrame, level_col: str = "risk_level", by=None) ->
     counts = df.groupBy(*by, level_col).agg(F.count(F.lit(1)).alias("count"))
     tiers = F.array(*[F.struct(F.lit(i).alias("tier_order"), F.lit(t).alias(level_col))
                       for i, t in enumerate(TIERS)])
-    if by:
-        dims = df.select(*by).distinct().select(*by, F.inline(tiers))
+    if by:   # groups taken from the (small) aggregated counts, not from another pass over df
+        dims = counts.select(*by).distinct().select(*by, F.inline(tiers))
     else:
         dims = df.sparkSession.range(1).select(F.inline(tiers))
     j = dims.join(counts, by + [level_col], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
