@@ -65,3 +65,23 @@ def test_threat_signatures(spark):
     out = FE.threat_signatures(df).orderBy("transaction_id").collect()
     assert out[0].signatures == ["odd_hours"]
     assert out[1].signatures == ["high_value", "geographic"]
+
+
+def test_hot_customer_split_by_slices_equals_range(spark):
+    """One customer holds a third of the rows; the event form spreads it over time slices."""
+    from pyspark.sql import functions as F
+    n = 30000
+    base = spark.range(n).select(
+        F.format_string("T%07d", "id").alias("transaction_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.format_string("C%04d", F.col("id") % 500))
+         .alias("customer_id"),
+        # 90 days, second resolution, with repeated timestamps (ties)
+        F.timestamp_seconds(F.lit(1704067200) + (F.col("id") * 7919 % (90 * 86400 // 60)) * 60).alias("timestamp"),
+        F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise((F.col("id") % 1000) / 10.0).alias("amount"),
+        F.lit("x, us").alias("location"))
+    ev = FE.velocity_features(base, method="events", slice_seconds=86400)
+    rg = FE.velocity_features(base, method="range")
+    cols = ["transaction_id", "customer_txn_count_30d", "customer_avg_amount_30d"]
+    assert ev.select(*cols).exceptAll(rg.select(*cols)).count() == 0
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_cust" in plan and "_slice" in plan
