@@ -179,13 +179,13 @@ def small_search(spark, sf):
     train = MD.stratified_folds(enc.where(F.col("split") == "train").select("transaction_id", "features",
                                                                           "is_anomaly"), k=3)
     cands = MD.sample_candidates(SMALL_SPACE, n_iter=2)
-    cvm, cands = MD.tune_forest(train, cands, parallelism=2)
-    return cvm, cands, enc
+    cvm, cands = MD.tune_forest(train, cands, parallelism=2, keep_fold_models=True)
+    return cvm, cands, enc, train
 
 
 @register("tune_forest")
 def q_tune_forest(spark, sf):
-    cvm, _, enc = small_search(spark, sf)
+    cvm, _, enc, _ = small_search(spark, sf)
     test = MD.score(cvm.bestModel, enc.where(F.col("split") == "test").select("transaction_id", "features",
                                                                               "is_anomaly"))
     return EV.classification_metrics(test, label_col="is_anomaly")
@@ -193,8 +193,8 @@ def q_tune_forest(spark, sf):
 
 @register("cv_results")
 def q_cv_results(spark, sf):
-    cvm, cands, _ = small_search(spark, sf)
-    return MD.cv_results(spark, cvm, cands)
+    cvm, cands, _, folds = small_search(spark, sf)
+    return MD.cv_results(spark, cvm, cands, folds_data=folds)
 
 
 MODEL_ORDER = ["amount_only", "amount_geo", "amount_geo_coarse"]
