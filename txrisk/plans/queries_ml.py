@@ -174,12 +174,12 @@ SMALL_SPACE = {"numTrees": [10], "maxDepth": [4, 6], "minInstancesPerNode": [1],
                "featureSubsetStrategy": ["sqrt"]}
 
 
-def small_search(spark, sf):
+def small_search(spark, sf, keep_fold_models=False):
     enc, _ = encoded(spark, sf)
     train = MD.stratified_folds(enc.where(F.col("split") == "train").select("transaction_id", "features",
                                                                           "is_anomaly"), k=3)
     cands = MD.sample_candidates(SMALL_SPACE, n_iter=2)
-    cvm, cands = MD.tune_forest(train, cands, parallelism=2, keep_fold_models=True)
+    cvm, cands = MD.tune_forest(train, cands, parallelism=2, keep_fold_models=keep_fold_models)
     return cvm, cands, enc, train
 
 
@@ -193,7 +193,7 @@ def q_tune_forest(spark, sf):
 
 @register("cv_results")
 def q_cv_results(spark, sf):
-    cvm, cands, _, folds = small_search(spark, sf)
+    cvm, cands, _, folds = small_search(spark, sf, keep_fold_models=True)
     return MD.cv_results(spark, cvm, cands, folds_data=folds)
 
 
