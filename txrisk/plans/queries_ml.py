@@ -179,7 +179,7 @@ def small_search(spark, sf, keep_fold_models=False):
     train = MD.stratified_folds(enc.where(F.col("split") == "train").select("transaction_id", "features",
                                                                           "is_anomaly"), k=3)
     cands = MD.sample_candidates(SMALL_SPACE, n_iter=2)
-    cvm, cands = MD.tune_forest(train, cands, parallelism=2, keep_fold_models=keep_fold_models)
+    cvm, cands = MD.tune_forest(train, cands, keep_fold_models=keep_fold_models)
     return cvm, cands, enc, train
 
 
