@@ -43,3 +43,11 @@ def test_feature_pipeline_population_scale_and_unseen(spark):
     mean, sd = 7 / 3, math.sqrt(((1 - 7 / 3) ** 2 + (2 - 7 / 3) ** 2 + (4 - 7 / 3) ** 2) / 3)
     assert v[0] == pytest.approx((4.0 - mean) / sd)
     assert v[1:] == [0.0, 0.0]
+
+
+def test_split_keeps_unlabelled_rows_in_train(spark):
+    rows = [(f"id{i}", 0) for i in range(80)] + [(f"a{i}", 1) for i in range(20)] + [("u1", None), ("u2", None)]
+    df = spark.createDataFrame(rows, "transaction_id string, is_anomaly int")
+    out = {r.transaction_id: r.split for r in MP.stratified_split(df).collect()}
+    assert len(out) == 102 and out["u1"] == out["u2"] == "train"
+    assert sum(1 for k, v in out.items() if v == "test") == 20

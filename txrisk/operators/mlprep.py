@@ -73,18 +73,26 @@ def stratified_split(df: DataFrame, label_col: str = TARGET, id_col: str = "tran
     ``md5(id || ':' || seed)`` order (ties by id).
     """
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
-    d = df.withColumn("_h", h).withColumn(
-        "_bk", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int"))
-    bucket_counts = d.groupBy(label_col, "_bk").agg(F.count(F.lit(1)).alias("_bc"))
-    earlier = Window.partitionBy(label_col).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_counts.select(label_col, "_bk", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(label_col, "_bk").orderBy("_h", id_col)
+    # Null-safe class key (rows without a label rank in their own group and stay in train).
+    d = (df.withColumn("_h", h)
+           .withColumn("_bk", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int"))
+           .withColumn("_lk", F.coalesce(F.col(label_col).cast("string"), F.lit("\u0000")))
+           .withColumn("_hasl", F.col(label_col).isNotNull()))
+    bucket_counts = d.groupBy("_lk", "_bk").agg(F.count(F.lit(1)).alias("_bc"))
+    earlier = Window.partitionBy("_lk").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bucket_counts.select("_lk", "_bk", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_lk", "_bk").orderBy("_h", id_col)
     d = d.withColumn("_rn", F.row_number().over(within))
-    quotas = split_quotas(df, label_col, test_size).select(label_col, "test_quota")
-    j = d.join(offsets, [label_col, "_bk"]).join(quotas, label_col, "left")
+    # class -> test quota as one map-valued scalar subquery (one entry per class):
+    # no join on the label, so the majority class never lands in a single join task.
+    quotas = (split_quotas(df.where(F.col(label_col).isNotNull()), label_col, test_size)
+              .agg(F.map_from_entries(F.collect_list(F.struct(F.col(label_col), F.col("test_quota")))))
+              .scalar())
+    j = d.join(offsets, ["_lk", "_bk"])
     rank = F.col("_off") + F.col("_rn")
-    return (j.withColumn("split", F.when(rank <= F.col("test_quota"), F.lit("test")).otherwise(F.lit("train")))
-             .drop("_h", "_bk", "_rn", "_off", "test_quota"))
+    quota = F.when(F.col("_hasl"), F.coalesce(quotas[F.col(label_col)], F.lit(0))).otherwise(F.lit(0))
+    return (j.withColumn("split", F.when(rank <= quota, F.lit("test")).otherwise(F.lit("train")))
+             .drop("_h", "_bk", "_rn", "_off", "_lk", "_hasl"))
 
 
 def fit_scaler(train: DataFrame, cols=ENGINEERED_NUMERIC) -> DataFrame:
