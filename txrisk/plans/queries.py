@@ -232,10 +232,13 @@ def q_transaction_risk_table(spark, sf):
 
 
 def flagship(spark, sf):
-    """Per-transaction features joined with the score, risk score and tier."""
+    """Per-transaction features with the score, risk score and tier.
+
+    The score is row-local, so it is computed on the feature rows directly:
+    one shuffle (the velocity window) for the whole query, no join.
+    """
     f = features_of(spark, sf)
-    s = scored(spark, sf).select("transaction_id", "probability")
-    j = f.join(s, "transaction_id")
+    j = A.closed_form_score(f, model="amount_geo", ts_col="ts")
     j = RK.risk_level(RK.risk_score(j))
     return j.select("transaction_id", "customer_id", "hour_of_day", "is_international",
                     "customer_txn_count_30d", "customer_avg_amount_30d", "amount_ratio_to_avg",
