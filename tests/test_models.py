@@ -78,6 +78,10 @@ def test_score_batch_keeps_rows_and_order(spark, encoded):
     ids = [r.transaction_id for r in rows]
     assert ids == sorted(ids)
     assert all(r.probability_score == round(r.probability_score, 4) for r in rows)
+    # input columns come back as given (locations keep their case), plus the four outputs
+    assert out.columns == batch.columns + ["prediction", "probability_score", "risk_score", "risk_level"]
+    given = {r.transaction_id: r.location for r in batch.collect()}
+    assert all(given[r.transaction_id] == r.location for r in rows)
     counts = out.groupBy("risk_level").count().collect()
     assert sum(r["count"] for r in counts) == len(rows)
 

@@ -27,8 +27,10 @@ NEW_FLAG = "_is_new_txn"
 def _prepare(df: DataFrame, ts_col: str) -> DataFrame:
     out = df.withColumn(ts_col, F.col(ts_col).cast("timestamp")) if dict(df.dtypes).get(ts_col) == "string" \
         else df
-    if "amount" in out.columns:
-        out = out.withColumn("amount", F.col("amount").cast("string").try_cast("double"))
+    if dict(out.dtypes).get("amount") == "string":
+        out = out.withColumn("amount", F.col("amount").try_cast("double"))
+    elif "amount" in out.columns:
+        out = out.withColumn("amount", F.col("amount").cast("double"))
     return out
 
 
