@@ -77,3 +77,18 @@ def test_density_prebin_close_to_exact(spark):
     exact = [r.density for r in PR.density_curve(df, "x").orderBy("point").collect()]
     approx = [r.density for r in PR.density_curve(df, "x", prebin=2000).orderBy("point").collect()]
     assert np.allclose(exact, approx, atol=1e-3)
+
+
+def test_mode_unknown_for_all_missing_column(spark):
+    df = spark.createDataFrame([("a", None), ("b", None), ("a", None)], "device_type string, location string")
+    out = CL.impute_mode_unknown(df.union(spark.createDataFrame([(None, None)], df.schema))).collect()
+    assert sorted(r.device_type for r in out) == ["a", "a", "a", "b"]
+    assert {r.location for r in out} == {"unknown"}
+    assert {r.location for r in CL.impute_mode(df).collect()} == {None}
+
+
+def test_clean_audit_counts(spark):
+    rows = [("t1", "5"), ("t1", "5"), ("t2", None), ("t3", "-1")]
+    raw = spark.createDataFrame(rows, "transaction_id string, amount string")
+    a = CL.clean_audit(raw, CL.filter_invalid_amounts(CL.clean_duplicates(raw))).collect()[0]
+    assert (a.rows_before, a.rows_after, a.duplicates_removed, a.missing_values, a.invalid_amounts) == (4, 2, 1, 1, 1)
