@@ -61,8 +61,17 @@ def impute_median(df: DataFrame, cols=None) -> DataFrame:
     return _fill(df, {c: median_fill(df, c) for c in cols})
 
 
+def mode_fills(df: DataFrame, cols, fallback=None) -> dict:
+    """Fill values for several categorical columns from one pass over ``df``."""
+    if not cols:
+        return {}
+    m = stats.modes_map(df, cols)
+    return {c: (F.coalesce(m[F.lit(c)], F.lit(fallback)) if fallback is not None else m[F.lit(c)])
+            for c in cols}
+
+
 def _attach_modes(df: DataFrame, cols, fallback=None) -> DataFrame:
-    return _fill(df, {c: mode_fill(df, c, fallback) for c in cols})
+    return _fill(df, mode_fills(df, cols, fallback))
 
 
 def impute_mode(df: DataFrame, cols=None) -> DataFrame:
@@ -169,7 +178,7 @@ def preprocess_transactions(raw: DataFrame, ts_col: str = "timestamp", mode: str
         from txrisk.session import materialize as _materialize
         d = _materialize(d, "dedup")
     fills = {c: median_fill(d, c) for c in _present(d, NUMERIC_COLUMNS)}
-    fills.update({c: mode_fill(d, c) for c in _present(d, CATEGORICAL_COLUMNS)})
+    fills.update(mode_fills(d, _present(d, CATEGORICAL_COLUMNS)))
     return (_fill(d, fills)
             .transform(lambda x: drop_null_critical(x, ts_col))
             .transform(lambda x: coerce_types(x, ts_col, mode))

@@ -24,7 +24,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, by=None,
                     accuracy: int = DEFAULT_ACCURACY, prefix: str = "q") -> DataFrame:
     """One row per group: ``n`` and ``{prefix}_{i}`` = exact quantile ``probs[i]``.
 
-    NULLs are ignored.  Groups with no values are absent.
+    NULLs are ignored.  Groups with no values are absent.  ``accuracy`` sizes
+    the per-group sketch (memory ~ accuracy entries per group) against the band
+    width (~4 / accuracy of a group's rows): lower it when grouping by many
+    keys; the result stays exact either way.
     """
     by = list(by or [])
     grouped = bool(by)
@@ -105,3 +108,18 @@ def modes(df: DataFrame, cols, by=None) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def modes_map(df: DataFrame, cols):
+    """Modes of several columns in one pass, as one map-valued scalar subquery.
+
+    Each row contributes one (column, value) pair per column; the pairs are
+    counted with a partial (map-side) aggregate, the arg-max is taken per
+    column, and the result is a single ``map<column, mode>`` value.  Columns
+    with no values are absent from the map.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])
+    counts = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
+                .groupBy("k", "v").agg(F.count(F.lit(1)).alias("_cnt")))
+    best = counts.groupBy("k").agg(F.min_by("v", F.struct(-F.col("_cnt"), F.col("v"))).alias("mode"))
+    return best.agg(F.map_from_entries(F.collect_list(F.struct("k", "mode")))).scalar()

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from txrisk.functions import expressions as X
 from txrisk.operators import cleaning as CL
 from txrisk.operators import features as FE
-from txrisk.operators import stats
 
 NEW_FLAG = "_is_new_txn"
 
@@ -56,7 +55,7 @@ def history_context_features(new: DataFrame, history: DataFrame | None = None, t
         hist = None
         combined = batch
     # Mode imputation over the whole union (history + batch).
-    modes = {c: stats.modes(combined, [c]).select("mode").scalar() for c in cats}
+    modes = CL.mode_fills(combined, cats)          # one pass over history + batch
     if hist is not None:
         # One scalar from the (small) batch turns the 30-day reach into a literal
         # predicate: pushed into the history scan, and a partition filter when
