@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import (ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer,
+from pyspark.ml.feature import (ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
@@ -141,6 +141,9 @@ def feature_pipeline(train: DataFrame, numeric=ENGINEERED_NUMERIC, categorical=E
                      output_col: str = "features"):
     """M5: fitted Spark ML pipeline -> ``features`` vector (numeric z-scores + one-hot).
 
+    Missing numeric inputs are filled with the training median (Spark ML
+    ``Imputer``; its median is approximate, relative error 0.001) before scaling.
+
     ``StandardScaler`` divides by the sample sd; an ``ElementwiseProduct`` by
     sqrt(n / (n - 1)) turns that into the population sd of the reference.
     ``StringIndexer(handleInvalid="keep")`` + ``OneHotEncoder(dropLast=True)``
@@ -150,8 +153,12 @@ def feature_pipeline(train: DataFrame, numeric=ENGINEERED_NUMERIC, categorical=E
     factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
     idx_cols = [f"{c}__idx" for c in categorical]
     ohe_cols = [f"{c}__ohe" for c in categorical]
+    imp_cols = [f"__imp_{c}" for c in numeric]
     stages = [
-        VectorAssembler(inputCols=list(numeric), outputCol="__num", handleInvalid="keep"),
+        # Missing numeric inputs (an amount text that did not parse, a window with no
+        # amounts) get the training median, so no row is dropped and the fit sees no NaN.
+        Imputer(inputCols=list(numeric), outputCols=imp_cols, strategy="median"),
+        VectorAssembler(inputCols=imp_cols, outputCol="__num", handleInvalid="keep"),
         StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True),
         ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(numeric)), inputCol="__num_s",
                            outputCol="__num_z"),
@@ -160,10 +167,16 @@ def feature_pipeline(train: DataFrame, numeric=ENGINEERED_NUMERIC, categorical=E
         OneHotEncoder(inputCols=idx_cols, outputCols=ohe_cols, dropLast=True),
         VectorAssembler(inputCols=["__num_z"] + ohe_cols, outputCol=output_col),
     ]
-    cast = train
+    return Pipeline(stages=stages).fit(_model_types(train, numeric, categorical))
+
+
+def _model_types(df: DataFrame, numeric, categorical) -> DataFrame:
+    out = df
+    for c in numeric:
+        out = out.withColumn(c, F.col(c).cast("double"))
     for c in categorical:
-        cast = cast.withColumn(c, F.col(c).cast("string"))
-    return Pipeline(stages=stages).fit(cast)
+        out = out.withColumn(c, F.col(c).cast("string"))
+    return out
 
 
 def pipeline_feature_names(model, numeric=ENGINEERED_NUMERIC, categorical=ENGINEERED_CATEGORICAL):
@@ -177,11 +190,9 @@ def pipeline_feature_names(model, numeric=ENGINEERED_NUMERIC, categorical=ENGINE
     return names
 
 
-def apply_pipeline(model, df: DataFrame, categorical=ENGINEERED_CATEGORICAL) -> DataFrame:
-    out = df
-    for c in categorical:
-        out = out.withColumn(c, F.col(c).cast("string"))
-    res = model.transform(out)
+def apply_pipeline(model, df: DataFrame, categorical=ENGINEERED_CATEGORICAL,
+                   numeric=ENGINEERED_NUMERIC) -> DataFrame:
+    res = model.transform(_model_types(df, [c for c in numeric if c in df.columns], categorical))
     return res.drop(*[c for c in res.columns if c.startswith("__") or c.endswith("__idx") or c.endswith("__ohe")])
 
 
