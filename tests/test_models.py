@@ -56,7 +56,7 @@ def test_random_search_candidates_and_ranks(spark, encoded):
     folds = {r.fold: r["count"] for r in train.groupBy("fold").count().collect()}
     assert set(folds) == {0, 1, 2} and max(folds.values()) - min(folds.values()) <= 2
     small = [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 5, "maxDepth": 5}]
-    cvm, _ = MD.tune_forest(train, small, keep_fold_models=True)
+    cvm, _ = MD.tune_forest(train, small, keep_fold_models=True, num_folds=3)
     res = MD.cv_results(spark, cvm, small, folds_data=train).collect()
     assert sorted(r.rank_test_score for r in res)[0] == 1 and len(res) == 2
     for r in res:   # per-fold scores reproduce the search's mean

@@ -45,7 +45,7 @@ def training_run(spark: SparkSession, raw: DataFrame, out_dir: str, ts_col: str
     fitted = {"baseline": MD.train_logistic(enc_train),
               "random_forest": MD.train_forest(enc_train, num_trees=num_trees)}
     cvm, _ = MD.tune_forest(MD.stratified_folds(enc_train.select("transaction_id", "features", MP.TARGET),
-                                                k=folds), candidates)
+                                                k=folds), candidates, num_folds=folds)
     fitted["random_forest_tuned"] = cvm.bestModel
     MD.save_model(pipe, os.path.join(out_dir, "pipeline"))
     scored = None
