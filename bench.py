@@ -31,7 +31,13 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or (HEADLINE + MODEL_QUERIES)
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8), app_name="txrisk-bench")
+    extra = {}
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")   # optional: stage / task times via the event log
+    if log_dir:
+        os.makedirs(log_dir, exist_ok=True)
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8), app_name="txrisk-bench",
+                      extra=extra)
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir):
         QUERIES["engineer_features"](spark, warm_dir).write.format("noop").mode("overwrite").save()

@@ -105,3 +105,11 @@ def test_roc_curve_dense_scores_match_bruteforce(spark):
     auc = EV.roc_auc(df).collect()[0].roc_auc
     assert auc == pytest.approx(float(np.trapezoid(_roc_bruteforce(y, s, drop=False)[1],
                                                    _roc_bruteforce(y, s, drop=False)[0])))
+
+
+def test_score_histogram_by_group(spark):
+    rows = [("a", 1.0), ("a", 99.0), ("b", 50.0)]
+    df = spark.createDataFrame(rows, "model string, risk_score double")
+    h = RK.risk_score_histogram(df, bins=4, by=["model"]).collect()
+    assert len(h) == 8
+    assert sum(r["count"] for r in h if r.model == "a") == 2 and sum(r["count"] for r in h if r.model == "b") == 1

@@ -95,10 +95,10 @@ def risk_level_counts(df: DataFrame, level_col: str = "risk_level", by=None) ->
                     .alias("percent"))
 
 
-def risk_score_histogram(df: DataFrame, score_col: str = "risk_score", bins: int = 20) -> DataFrame:
-    """Equal-width histogram of the risk score (P19 with 20 bins)."""
+def risk_score_histogram(df: DataFrame, score_col: str = "risk_score", bins: int = 20, by=None) -> DataFrame:
+    """Equal-width histogram of the risk score (P19 with 20 bins), optionally per group."""
     from txrisk.operators.profiling import fixed_bin_histogram
-    return fixed_bin_histogram(df, score_col, bins=bins)
+    return fixed_bin_histogram(df, score_col, bins=bins, by=by)
 
 
 def batch_run_summary(df: DataFrame, pred_col: str = "prediction", level_col: str = "risk_level",
