@@ -51,3 +51,15 @@ def test_split_keeps_unlabelled_rows_in_train(spark):
     out = {r.transaction_id: r.split for r in MP.stratified_split(df).collect()}
     assert len(out) == 102 and out["u1"] == out["u2"] == "train"
     assert sum(1 for k, v in out.items() if v == "test") == 20
+
+
+def test_split_quotas_with_unlabelled_and_three_classes(spark):
+    rows = ([(f"a{i}", 0) for i in range(33)] + [(f"b{i}", 1) for i in range(33)] + [(f"c{i}", 2) for i in range(34)]
+            + [(f"u{i}", None) for i in range(7)])
+    df = spark.createDataFrame(rows, "transaction_id string, is_anomaly int")
+    got = {}
+    for r in MP.stratified_split(df).where("split = 'test'").groupBy("is_anomaly").count().collect():
+        got[r.is_anomaly] = r["count"]
+    # N = 100 labelled -> 20 test; train quotas by largest remainder: 26.4, 26.4, 27.2 -> 27, 26, 27
+    assert sum(got.values()) == 20 and None not in got
+    assert got == {0: 6, 1: 7, 2: 7}

@@ -38,25 +38,29 @@ def select_features(df: DataFrame, keys=KEYS, label_col: str = TARGET,
     return df.select(*cols)
 
 
-def split_quotas(df: DataFrame, label_col: str = TARGET, test_size: float = 0.2) -> DataFrame:
-    """Per class: ``n_class, train_quota, test_quota`` (exact integer arithmetic).
+def _quota_table(counts: DataFrame, key: str, test_size: float) -> DataFrame:
+    """Per class key: ``n_class, train_quota, test_quota`` from a small class-count table.
 
     n_test = ceil(test_size * N); train quotas are floor(n_c * n_train / N)
-    plus one for the classes with the largest remainders (ties: smaller label).
+    plus one for the classes with the largest remainders (ties: smaller key),
+    all in exact integer arithmetic.
     """
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
-    allw = Window.partitionBy()
-    n = F.sum("n_class").over(allw)
-    # ceil(test_size * N) with test_size as an exact fraction p/q
+    allw = Window.partitionBy()             # a handful of rows: one per class
     num, den = _fraction(test_size)
-    n_test = ((n * num) + den - 1) / den
-    q = counts.withColumn("_N", n).withColumn("_ntrain", F.col("_N") - F.floor(n_test).cast("long"))
+    n = F.sum("n_class").over(allw)
+    q = counts.withColumn("_N", n).withColumn("_ntrain", F.col("_N") - F.floor((n * num + den - 1) / den).cast("long"))
     prod = F.col("n_class") * F.col("_ntrain")
     q = q.withColumn("_fl", F.floor(prod / F.col("_N")).cast("long")).withColumn("_rem", prod % F.col("_N"))
     q = q.withColumn("_left", F.col("_ntrain") - F.sum("_fl").over(allw))
-    q = q.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(F.desc("_rem"), F.asc(label_col))))
+    q = q.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(F.desc("_rem"), F.asc(key))))
     q = q.withColumn("train_quota", F.col("_fl") + (F.col("_r") <= F.col("_left")).cast("long"))
-    return q.select(label_col, "n_class", "train_quota", (F.col("n_class") - F.col("train_quota")).alias("test_quota"))
+    return q.select(key, "n_class", "train_quota", (F.col("n_class") - F.col("train_quota")).alias("test_quota"))
+
+
+def split_quotas(df: DataFrame, label_col: str = TARGET, test_size: float = 0.2) -> DataFrame:
+    """Per class: ``n_class, train_quota, test_quota`` (exact integer arithmetic)."""
+    counts = df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
+    return _quota_table(counts, label_col, test_size)
 
 
 def _fraction(x: float):
@@ -70,7 +74,10 @@ def stratified_split(df: DataFrame, label_col: str = TARGET, id_col: str = "tran
     """M2: add ``split`` ('train' / 'test') with exact per-class quotas.
 
     Test rows are the first ``test_quota`` rows of each class in
-    ``md5(id || ':' || seed)`` order (ties by id).
+    ``md5(id || ':' || seed)`` order (ties by id).  The input is read by two
+    branches only: the ranked rows, and a partial-aggregated count per
+    (class, hash bucket) from which the bucket offsets *and* the class quotas
+    are derived (a table of classes x 4096 rows at most).
     """
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
     # Null-safe class key (rows without a label rank in their own group and stay in train).
@@ -78,21 +85,35 @@ def stratified_split(df: DataFrame, label_col: str = TARGET, id_col: str = "tran
            .withColumn("_bk", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int"))
            .withColumn("_lk", F.coalesce(F.col(label_col).cast("string"), F.lit("\u0000")))
            .withColumn("_hasl", F.col(label_col).isNotNull()))
-    bucket_counts = d.groupBy("_lk", "_bk").agg(F.count(F.lit(1)).alias("_bc"))
-    earlier = Window.partitionBy("_lk").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_counts.select("_lk", "_bk", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)).alias("_off"))
+    bc = d.groupBy("_lk", "_hasl", "_bk").agg(F.count(F.lit(1)).alias("_bc"))
+    # Everything below runs on the small (class, bucket) table in one branch:
+    # bucket offsets per class, and the class quotas (integer arithmetic; the
+    # whole-table windows see at most classes x 4096 rows).
+    per_class = Window.partitionBy("_lk")
+    earlier = per_class.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    allw = Window.partitionBy()
+    num, den = _fraction(test_size)
+    bc = (bc.withColumn("_off", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)))
+            .withColumn("n_class", F.sum("_bc").over(per_class))
+            .withColumn("_first", F.row_number().over(per_class.orderBy("_bk")) == 1))
+    labelled_first = F.col("_first") & F.col("_hasl")
+    n_all = F.sum(F.when(labelled_first, F.col("n_class"))).over(allw)
+    bc = bc.withColumn("_N", n_all).withColumn(
+        "_ntrain", F.col("_N") - F.floor((F.col("_N") * num + den - 1) / den).cast("long"))
+    prod = F.col("n_class") * F.col("_ntrain")
+    bc = bc.withColumn("_fl", F.floor(prod / F.col("_N")).cast("long")).withColumn("_rem", prod % F.col("_N"))
+    bc = bc.withColumn("_left", F.col("_ntrain") - F.sum(F.when(labelled_first, F.col("_fl"))).over(allw))
+    # labelled classes first, so the unlabelled group never takes a remainder seat
+    bc = bc.withColumn("_r", F.dense_rank().over(allw.orderBy(F.desc("_hasl"), F.desc("_rem"), F.asc("_lk"))))
+    offsets = bc.select("_lk", "_bk", "_off", (F.col("n_class") - F.col("_fl")
+                                               - (F.col("_r") <= F.col("_left")).cast("long")).alias("test_quota"))
     within = Window.partitionBy("_lk", "_bk").orderBy("_h", id_col)
     d = d.withColumn("_rn", F.row_number().over(within))
-    # class -> test quota as one map-valued scalar subquery (one entry per class):
-    # no join on the label, so the majority class never lands in a single join task.
-    quotas = (split_quotas(df.where(F.col(label_col).isNotNull()), label_col, test_size)
-              .agg(F.map_from_entries(F.collect_list(F.struct(F.col(label_col), F.col("test_quota")))))
-              .scalar())
     j = d.join(offsets, ["_lk", "_bk"])
     rank = F.col("_off") + F.col("_rn")
-    quota = F.when(F.col("_hasl"), F.coalesce(quotas[F.col(label_col)], F.lit(0))).otherwise(F.lit(0))
+    quota = F.when(F.col("_hasl"), F.coalesce(F.col("test_quota"), F.lit(0))).otherwise(F.lit(0))
     return (j.withColumn("split", F.when(rank <= quota, F.lit("test")).otherwise(F.lit("train")))
-             .drop("_h", "_bk", "_rn", "_off", "_lk", "_hasl"))
+             .drop("_h", "_bk", "_rn", "_off", "_lk", "_hasl", "test_quota"))
 
 
 def fit_scaler(train: DataFrame, cols=ENGINEERED_NUMERIC) -> DataFrame:
