@@ -35,7 +35,10 @@ def training_run(spark: SparkSession, raw: DataFrame, out_dir: str, ts_col: str
     """
     clean = CL.preprocess_transactions(raw, ts_col=ts_col)
     feats = FE.engineer_features(clean, ts_col=ts_col)
-    sp = MP.stratified_split(MP.select_features(feats, keys=["transaction_id", "customer_id", ts_col]))
+    # The feature table is read by several branches (split ranks, bucket counts): write it once.
+    feats = IO.read_table(spark, IO.write_table(
+        MP.select_features(feats, keys=["transaction_id", "customer_id", ts_col]), os.path.join(out_dir, "features")))
+    sp = MP.stratified_split(feats)
     sp = IO.read_table(spark, IO.write_table(sp, os.path.join(out_dir, "split")))   # cut lineage once
     train = sp.where(F.col("split") == "train")
     pipe = MP.feature_pipeline(train)
