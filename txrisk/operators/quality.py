@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +102,10 @@ def dq_report(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transa
     first_rows, passed``.
 
     V1 (empty input) and V2 (missing required columns) come from one count and
-    the schema; checks on absent columns are left out.  All counts are merged
-    into one aggregate pass; each sample is a top-5 over the failing rows.
+    the schema; checks on absent columns are left out.  One scan of the input
+    emits a narrow (check, order key, id) row per failed check; that set is
+    persisted and every count and first-5 sample is taken from it, so the
+    input is read once however many checks there are.
     """
     spark = df.sparkSession
     required = _rename(REQUIRED_COLUMNS, ts_col)
@@ -117,21 +120,25 @@ def dq_report(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transa
              n_bad=F.lit(len(missing)).cast("long"), first_rows=null_str),
     ]
     if order_col in df.columns and id_col in df.columns:
-        for i, c in enumerate(c for c in _rename(CRITICAL_COLUMNS, ts_col) if c in df.columns):
-            cond = F.col(c).isNull()
-            rows.append(_row(spark, check_no=3, check_name="null_keys", col_pos=i, column_name=c,
-                             n_bad=_count(df, cond), first_rows=_sample(df, cond, F.col(id_col), order_col)))
-        checks = []
+        checks = [(3, "null_keys", i, c, F.col(c).isNull())
+                  for i, c in enumerate(c for c in _rename(CRITICAL_COLUMNS, ts_col) if c in df.columns)]
         if "amount" in df.columns:
-            checks.append((4, "non_numeric_amount", "amount",
+            checks.append((4, "non_numeric_amount", 0, "amount",
                            F.col("amount").isNotNull() & _num("amount").isNull()))
         if ts_col in df.columns:
-            checks.append((5, "bad_timestamp", ts_col, F.col(ts_col).isNotNull() & _ts(ts_col).isNull()))
+            checks.append((5, "bad_timestamp", 0, ts_col, F.col(ts_col).isNotNull() & _ts(ts_col).isNull()))
         if "amount" in df.columns:
-            checks.append((6, "non_positive_amount", "amount", _num("amount") <= 0))
-        for no, name, col, cond in checks:
-            rows.append(_row(spark, check_no=no, check_name=name, col_pos=0, column_name=col,
-                             n_bad=_count(df, cond), first_rows=_sample(df, cond, F.col(id_col), order_col)))
+            checks.append((6, "non_positive_amount", 0, "amount", _num("amount") <= 0))
+        hits = F.array(*[F.when(cond, F.struct(F.lit(i).alias("k"))) for i, (_, _, _, _, cond) in enumerate(checks)])
+        failing = (df.select(F.col(order_col).alias("_o"), F.col(id_col).cast("string").alias("_s"),
+                             F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_h"))
+                     .select(F.col("_h.k").alias("_k"), "_o", "_s")
+                     .persist(StorageLevel.MEMORY_AND_DISK))
+        for i, (no, name, pos, col, _) in enumerate(checks):
+            mine = F.col("_k") == i
+            rows.append(_row(spark, check_no=no, check_name=name, col_pos=pos, column_name=col,
+                             n_bad=failing.agg(F.count_if(mine)).scalar(),
+                             first_rows=_sample(failing, mine, F.col("_s"), "_o")))
     out = reduce(DataFrame.unionByName, rows)
     return out.withColumn("passed", F.col("n_bad") == 0)
 
