@@ -10,10 +10,13 @@ Two physical forms are offered:
   arrival ``(+1, +amount)`` at ``t`` and as an expiry ``(-1, -amount)`` at
   ``t + 30 days``.  A running sum over ``(time, expiry-before-arrival, id)``
   then equals the trailing frame, including the tie rule.  The running sum is
-  split into (customer, time-slice) partitions, so a customer holding a large
-  share of all rows is spread over many tasks; each slice adds the total of the
-  customer's earlier slices, taken from a small per-slice aggregate.  Amounts
-  are summed as DECIMAL so subtraction is exact.
+  split into (customer, minute) partitions, so a customer holding a large
+  share of all rows is spread over many tasks.  Each minute adds the totals of
+  the customer's earlier minutes, found in two bounded steps: a prefix over
+  the minutes of the same day (<= 1,440 rows per window) plus a prefix over
+  the customer's earlier days (one row per active day), both computed on
+  partial-aggregated slice totals.  Amounts are summed as DECIMAL so
+  subtraction is exact.
 * ``method="range"``: a RANGE frame on microseconds minus a tie-correction
   window.  One partition per customer; kept as the simple reference form.
 """
@@ -59,9 +62,10 @@ def _velocity_range(df, cust, ts, tid, amount, window_days):
     return (df.withColumn("_vc", n).withColumn("_vs", s).withColumn("_vn", na))
 
 
-def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds):
+def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds, coarse_seconds):
     W = window_days * DAY_US
-    slice_us = int(slice_seconds) * 1_000_000
+    fine_us = int(slice_seconds) * 1_000_000
+    coarse_us = max(int(coarse_seconds), int(slice_seconds)) * 1_000_000
     payload = df.columns
     us = F.unix_micros(F.col(ts))
     valid = F.col(cust).isNotNull() & F.col(ts).isNotNull()
@@ -85,29 +89,41 @@ def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds):
         (F.col("_c1") * F.col("_e.sgn")).alias("_dc"),
         (F.col("_n1") * F.col("_e.sgn")).alias("_dn"),
         (F.col("_s1") * F.col("_e.sgn")).cast("decimal(29,8)").alias("_ds"))
-    # Time slice; rows without a usable time are spread by a hash salt instead.
-    ev = ev.withColumn(
-        "_slice",
-        F.when(F.col("_t").isNotNull(), F.floor(F.col("_t") / F.lit(slice_us)))
-         .otherwise(-1 - F.pmod(F.xxhash64("_id"), F.lit(1024))))
-    # Totals per (customer, slice): a partial (map-side) aggregate, so this
-    # branch reads only the key columns and shuffles one row per slice per task.
-    totals = ev.groupBy("_cust", "_slice").agg(
+    # Fine slice (window tasks) inside a coarse slice (offset tasks); rows without
+    # a usable time are spread by a hash salt instead.
+    salt = -1 - F.pmod(F.xxhash64("_id"), F.lit(1024))
+    has_t = F.col("_t").isNotNull()
+    ev = (ev.withColumn("_slice", F.when(has_t, F.floor(F.col("_t") / F.lit(fine_us))).otherwise(salt))
+            .withColumn("_coarse", F.when(has_t, F.floor(F.col("_t") / F.lit(coarse_us))).otherwise(salt)))
+    # Level 0: totals per (customer, fine slice), a partial (map-side) aggregate.
+    fine = ev.groupBy("_cust", "_coarse", "_slice").agg(
         F.sum("_dc").alias("_tc"), F.sum("_dn").alias("_tn"), F.sum("_ds").alias("_ts"))
+    # Level 1: offsets of fine slices inside their coarse slice (<= coarse/fine rows per window).
+    inside = Window.partitionBy("_cust", "_coarse").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.select(
+        "_cust", "_coarse", "_slice", "_tc", "_tn", "_ts",
+        F.coalesce(F.sum("_tc").over(inside), F.lit(0)).alias("_fc"),
+        F.coalesce(F.sum("_tn").over(inside), F.lit(0)).alias("_fn"),
+        F.coalesce(F.sum("_ts").over(inside), F.lit(0).cast("decimal(38,8)")).alias("_fs"))
+    # Level 2: offsets of coarse slices per customer (one row per active coarse slice).
+    coarse = fine.groupBy("_cust", "_coarse").agg(
+        F.sum("_tc").alias("_kc"), F.sum("_tn").alias("_kn"), F.sum("_ts").alias("_ks"))
+    before = Window.partitionBy("_cust").orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select(
+        "_cust", "_coarse",
+        F.coalesce(F.sum("_kc").over(before), F.lit(0)).alias("_cc"),
+        F.coalesce(F.sum("_kn").over(before), F.lit(0)).alias("_cn"),
+        F.coalesce(F.sum("_ks").over(before), F.lit(0).cast("decimal(38,8)")).alias("_cs"))
+    offsets = fine.join(coarse, ["_cust", "_coarse"]).select(
+        "_cust", "_slice",
+        (F.col("_fc") + F.col("_cc")).alias("_oc"), (F.col("_fn") + F.col("_cn")).alias("_on"),
+        (F.col("_fs") + F.col("_cs")).alias("_os"))
+    # Row level: running sums inside (customer, fine slice).
     order = Window.partitionBy("_cust", "_slice").orderBy("_t", "_kind", "_id")
     within = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.select(
-        "*",
-        F.sum("_dc").over(within).alias("_rc"), F.sum("_dn").over(within).alias("_rn"),
-        F.sum("_ds").over(within).alias("_rs"))
-    before = (Window.partitionBy("_cust").orderBy("_slice")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        "_cust", "_slice",
-        F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"),
-        F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_on"),
-        F.coalesce(F.sum("_ts").over(before), F.lit(0).cast("decimal(38,8)")).alias("_os"))
-    arrivals = ev.where(F.col("_kind") == 1)
+    arrivals = (ev.select("*", F.sum("_dc").over(within).alias("_rc"), F.sum("_dn").over(within).alias("_rn"),
+                          F.sum("_ds").over(within).alias("_rs"))
+                  .where(F.col("_kind") == 1))
     j = arrivals.join(offsets, ["_cust", "_slice"], "left")
     return j.select(
         *[F.col(c) for c in payload],
@@ -120,7 +136,7 @@ def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds):
 def velocity_features(df: DataFrame, customer_col: str = "customer_id", ts_col: str = "timestamp",
                       id_col: str = "transaction_id", amount_col: str = "amount",
                       window_days: int = 30, method: str = "events",
-                      slice_seconds: int = 3600) -> DataFrame:
+                      slice_seconds: int = 60, coarse_seconds: int = 86_400) -> DataFrame:
     """F3 + F4: customer_txn_count_30d and customer_avg_amount_30d.
 
     Count is over non-missing transaction ids; the mean skips missing amounts
@@ -130,7 +146,8 @@ def velocity_features(df: DataFrame, customer_col: str = "customer_id", ts_col:
     if method == "range":
         v = _velocity_range(df, customer_col, ts_col, id_col, amount_col, window_days)
     elif method == "events":
-        v = _velocity_events(df, customer_col, ts_col, id_col, amount_col, window_days, slice_seconds)
+        v = _velocity_events(df, customer_col, ts_col, id_col, amount_col, window_days, slice_seconds,
+                             coarse_seconds)
     else:
         raise ValueError(f"unknown velocity method {method!r}")
     grouped = F.col(customer_col).isNotNull() & F.col(ts_col).isNotNull()
@@ -152,7 +169,7 @@ def amount_ratio(df: DataFrame, amount_col: str = "amount") -> DataFrame:
 def engineer_features(df: DataFrame, ts_col: str = "timestamp", customer_col: str = "customer_id",
                       id_col: str = "transaction_id", amount_col: str = "amount",
                       location_col: str = "location", method: str = "events",
-                      slice_seconds: int = 3600, order_by_time: bool = False) -> DataFrame:
+                      slice_seconds: int = 60, order_by_time: bool = False) -> DataFrame:
     """F1-F5 composed.  Ordering by time is only applied when asked for."""
     # Row-local features are added after the velocity shuffle so they are not carried through it.
     out = (df.transform(lambda d: velocity_features(d, customer_col, ts_col, id_col, amount_col,
