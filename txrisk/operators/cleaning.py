@@ -40,12 +40,6 @@ def median_fill(df: DataFrame, c: str):
     return med.agg(F.max("median")).scalar()      # global aggregate: exactly one row
 
 
-def mode_fill(df: DataFrame, c: str, fallback=None):
-    """Most frequent value of ``c`` (ties -> smallest) as a scalar subquery."""
-    fill = stats.modes(df, [c]).select("mode").scalar()   # global aggregate: one row
-    return F.coalesce(fill, F.lit(fallback)) if fallback is not None else fill
-
-
 def _fill(df: DataFrame, fills: dict) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c), fills[c].cast(df.schema[c].dataType)).alias(c) if c in fills
                        else F.col(c) for c in df.columns])
