@@ -65,7 +65,8 @@ def _velocity_range(df, cust, ts, tid, amount, window_days):
 def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds, coarse_seconds):
     W = window_days * DAY_US
     fine_us = int(slice_seconds) * 1_000_000
-    coarse_us = max(int(coarse_seconds), int(slice_seconds)) * 1_000_000
+    # Coarse slices must be whole multiples of fine ones, so every fine slice nests in one coarse slice.
+    coarse_us = fine_us * max(1, -(-int(coarse_seconds) // int(slice_seconds)))
     payload = df.columns
     us = F.unix_micros(F.col(ts))
     valid = F.col(cust).isNotNull() & F.col(ts).isNotNull()
