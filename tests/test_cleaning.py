@@ -92,3 +92,12 @@ def test_clean_audit_counts(spark):
     raw = spark.createDataFrame(rows, "transaction_id string, amount string")
     a = CL.clean_audit(raw, CL.filter_invalid_amounts(CL.clean_duplicates(raw))).collect()[0]
     assert (a.rows_before, a.rows_after, a.duplicates_removed, a.missing_values, a.invalid_amounts) == (4, 2, 1, 1, 1)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_auto_bin_count_matches_numpy(spark, seed):
+    from txrisk.operators import profiling as PR
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.lognormal(3, 1, 5000), 2)
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    assert PR.auto_bin_count(df, "v") == len(np.histogram_bin_edges(x, bins="auto")) - 1

@@ -112,13 +112,34 @@ def fixed_bin_histogram(df: DataFrame, value_col: str, bins: int = 30, lo=None,
                       F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def log_amount_histogram(df: DataFrame, amount_col: str = "amount", bins=None) -> DataFrame:
-    """Equal-width histogram of log10(amount + 1); Sturges bin count by default."""
-    la = df.select(X.log_amount(amount_col).alias("log_amount"))
-    if bins is None:
-        n = la.where(F.col("log_amount").isNotNull()).count()
+def auto_bin_count(df: DataFrame, value_col: str) -> int:
+    """NumPy's ``bins="auto"`` rule: width = min(Freedman-Diaconis, Sturges), or Sturges
+    when the IQR is 0; bins = ceil(range / width).  Needs one small statistics row
+    (count, min, max and the exact quartiles)."""
+    q = stats.exact_quantiles(df, value_col, [0.25, 0.75])
+    st = df.agg(F.min(value_col).alias("lo"), F.max(value_col).alias("hi")).first()
+    qq = q.first()
+    if qq is None or st.lo is None:
+        return 1
+    n, ptp = qq.n, st.hi - st.lo
+    if ptp == 0:
+        return 1
+    sturges = ptp / (math.log2(n) + 1.0)
+    fd = 2.0 * (qq.q_1 - qq.q_0) * n ** (-1.0 / 3.0)
+    width = min(fd, sturges) if fd > 0 else sturges
+    return max(1, int(math.ceil(ptp / width)))
+
+
+def log_amount_histogram(df: DataFrame, amount_col: str = "amount", bins="auto") -> DataFrame:
+    """Equal-width histogram of log10(amount + 1); bin count by NumPy's "auto" rule
+    (the plotting default), ``"sturges"`` or an explicit number."""
+    la = df.select(X.log_amount(amount_col).alias("log_amount")).where(F.col("log_amount").isNotNull())
+    if bins == "auto":
+        bins = auto_bin_count(la, "log_amount")
+    elif bins == "sturges":
+        n = la.count()
         bins = max(1, int(math.ceil(math.log2(max(n, 1)))) + 1)
-    return fixed_bin_histogram(la, "log_amount", bins=bins)
+    return fixed_bin_histogram(la, "log_amount", bins=int(bins))
 
 
 def amount_box_stats(df: DataFrame, value_col: str = "amount", label_col: str = "is_anomaly") -> DataFrame:
