@@ -113,9 +113,10 @@ def fixed_bin_histogram(df: DataFrame, value_col: str, bins: int = 30, lo=None,
 
 
 def auto_bin_count(df: DataFrame, value_col: str) -> int:
-    """NumPy's ``bins="auto"`` rule: width = min(Freedman-Diaconis, Sturges), or Sturges
-    when the IQR is 0; bins = ceil(range / width).  Needs one small statistics row
-    (count, min, max and the exact quartiles)."""
+    """NumPy's ``bins="auto"`` rule (current NumPy): width = min(max(FD, sqrt / 2), Sturges)
+    with FD = 2 IQR n^(-1/3), sqrt = range / sqrt(n), Sturges = range / (log2 n + 1);
+    bins = ceil(range / width).  Needs one small statistics row (count, min, max and
+    the exact quartiles)."""
     q = stats.exact_quantiles(df, value_col, [0.25, 0.75])
     st = df.agg(F.min(value_col).alias("lo"), F.max(value_col).alias("hi")).first()
     qq = q.first()
@@ -126,7 +127,8 @@ def auto_bin_count(df: DataFrame, value_col: str) -> int:
         return 1
     sturges = ptp / (math.log2(n) + 1.0)
     fd = 2.0 * (qq.q_1 - qq.q_0) * n ** (-1.0 / 3.0)
-    width = min(fd, sturges) if fd > 0 else sturges
+    sqrt_w = ptp / math.sqrt(n)
+    width = min(max(fd, sqrt_w / 2), sturges)
     return max(1, int(math.ceil(ptp / width)))
 
 

@@ -301,11 +301,10 @@ SELECT g.bin, lo + g.bin * width AS bin_lo, lo + (g.bin + 1) * width AS bin_hi,
 FROM g CROSS JOIN w LEFT JOIN c ON g.bin = c.bin"""
 
 
-AUTO_BINS_SQL = """CAST(greatest(1, ceil((max(x) - min(x)) / CASE
-    WHEN 2.0 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) * pow(count(x), -1.0 / 3.0) > 0
-    THEN least(2.0 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) * pow(count(x), -1.0 / 3.0),
-               (max(x) - min(x)) / (log2(count(x)) + 1.0))
-    ELSE (max(x) - min(x)) / (log2(count(x)) + 1.0) END)) AS INTEGER)"""
+AUTO_BINS_SQL = """CAST(greatest(1, ceil((max(x) - min(x)) / least(
+    greatest(2.0 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) * pow(count(x), -1.0 / 3.0),
+             (max(x) - min(x)) / sqrt(count(x)) / 2),
+    (max(x) - min(x)) / (log2(count(x)) + 1.0)))) AS INTEGER)"""
 
 
 @register("log_amount_histogram", sql=_hist_sql(T_SQL, "log10(amount + 1)", AUTO_BINS_SQL))
