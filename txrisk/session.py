@@ -42,7 +42,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     On a cluster this is a shared folder set by the deployment and is used as
     is.  Only when it is unset (local tests) do we point it at a scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext on this session kind (e.g. a remote client)
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        return current or (fallback or tempfile.mkdtemp(prefix="txrisk-ckpt-"))
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
         if sc.getCheckpointDir() is None:
