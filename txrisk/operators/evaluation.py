@@ -9,11 +9,11 @@ single task has to hold all distinct scores of a group.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions import expressions as X
+from txrisk.session import persist_shared
 
 SCORE_BUCKETS = 4096
 
@@ -104,7 +104,7 @@ def score_counts(df: DataFrame, label_col: str = "label", score_col: str = "prob
     # Three consumers below (running sums, bucket totals, group totals); the
     # adaptive planner does not share their identical exchange, so the per-score
     # aggregate is persisted: the scored table is scanned once per query.
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    d = persist_shared(d)
     # Buckets: monotone in the score; probabilities in [0, 1] spread over `buckets`.
     d = d.withColumn("_b", F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(-1)), F.lit(buckets)))
     within = (Window.partitionBy(*by, "_b").orderBy(F.desc("score"))

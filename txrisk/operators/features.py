@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions import expressions as X
+from txrisk.session import persist_shared
 
 DAY_US = 86_400 * 1_000_000
 AMOUNT_DECIMAL = "decimal(28,8)"
@@ -106,6 +107,8 @@ def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds, coar
         F.coalesce(F.sum("_tc").over(inside), F.lit(0)).alias("_fc"),
         F.coalesce(F.sum("_tn").over(inside), F.lit(0)).alias("_fn"),
         F.coalesce(F.sum("_ts").over(inside), F.lit(0).cast("decimal(38,8)")).alias("_fs"))
+    # Read twice below (day totals, offset join): persisted so the source is not scanned again.
+    fine = persist_shared(fine)
     # Level 2: offsets of coarse slices per customer (one row per active coarse slice).
     coarse = fine.groupBy("_cust", "_coarse").agg(
         F.sum("_tc").alias("_kc"), F.sum("_tn").alias("_kn"), F.sum("_ts").alias("_ks"))

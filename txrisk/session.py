@@ -75,3 +75,25 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"txrisk-{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_PERSISTED: list = []
+
+
+def persist_shared(df):
+    """Persist an intermediate that several branches of one plan read (MEMORY_AND_DISK,
+    rebuilt from lineage if an executor is lost) and remember it for ``release_shared``."""
+    from pyspark import StorageLevel
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(out)
+    return out
+
+
+def release_shared() -> int:
+    """Unpersist every intermediate persisted by the library so far (call after the
+    results that use them have been written, e.g. at the end of a micro-batch)."""
+    n = 0
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+        n += 1
+    return n

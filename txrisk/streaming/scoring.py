@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from txrisk.functions import expressions as X
 from txrisk.plans.scoring import history_context_features
+from txrisk.session import release_shared
 
 
 def _append_epoch(df: DataFrame, path: str, epoch_id: int, partition_by=()) -> None:
@@ -47,6 +48,7 @@ def score_micro_batch(batch: DataFrame, epoch_id: int, history_path: str, output
     _append_epoch(out, output_path, epoch_id)
     # History partitioned by day, so the next batches read only the days in reach.
     _append_epoch(batch.withColumn("day", F.to_date(ts_col).cast("string")), history_path, epoch_id, ["day"])
+    release_shared()      # intermediates of this epoch are no longer needed
 
 
 def start_scoring_stream(spark: SparkSession, source_path: str, schema, history_path: str, output_path: str,
