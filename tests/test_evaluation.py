@@ -113,3 +113,13 @@ def test_score_histogram_by_group(spark):
     h = RK.risk_score_histogram(df, bins=4, by=["model"]).collect()
     assert len(h) == 8
     assert sum(r["count"] for r in h if r.model == "a") == 2 and sum(r["count"] for r in h if r.model == "b") == 1
+
+
+def test_release_shared_unpersists_library_intermediates(spark):
+    from txrisk.session import release_shared
+    release_shared()
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2)], "label int, probability double")
+    EV.roc_auc(df).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() >= 1
+    assert release_shared() >= 1
+    assert release_shared() == 0
