@@ -1,3 +1,4 @@
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ def test_stream_equals_batch_over_three_epochs(spark, sf_small):
     cuts = [F.lit(c).cast("timestamp") for c in CUTS]
     for cond in [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]:
         t.where(cond).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)          # distinct modification times: the file source orders by them
     q = start_scoring_stream(spark, src, t.schema, hist, out, ckpt, score_fn=lambda d: A.closed_form_score(d),
                              ts_col="ts", max_files_per_trigger=1)
     q.awaitTermination()

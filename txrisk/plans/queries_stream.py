@@ -7,6 +7,7 @@ previous ones.  The collected output must equal batch scoring of all rows.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ def q_stream_scoring(spark, sf):
         if hi is not None:
             part = part.where(F.col("ts") < hi)
         part.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)          # distinct modification times: the file source orders by them
     q = start_scoring_stream(spark, src, t.schema, hist, out, ckpt,
                              score_fn=lambda d: A.closed_form_score(d), ts_col="ts", max_files_per_trigger=1)
     q.awaitTermination()
