@@ -28,14 +28,19 @@ def one_model(spark, sf, model="amount_geo"):
     return scored(spark, sf).where(F.col("model") == model)
 
 
-COUNTS_SQL = f"""
-s AS ({S_SQL}),
+def _counts_sql(src: str = "s") -> str:
+    """CTEs ``{src}`` (scored rows), ``d`` (per model and score) and ``c`` (running counts)."""
+    return f"""
+{src} AS ({S_SQL}),
 d AS (SELECT model, probability AS score, count(*) FILTER (WHERE label = 1) AS pos,
-             count(*) FILTER (WHERE label <> 1) AS neg FROM s GROUP BY model, probability),
+             count(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY model, probability),
 c AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos_ge,
                 sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_neg_ge,
                 sum(pos) OVER (PARTITION BY model) AS n_pos, sum(neg) OVER (PARTITION BY model) AS n_neg FROM d)"""
 
+
+COUNTS_SQL = _counts_sql()
+
 CM_SQL = f"""
 s AS ({S_SQL}),
 m AS (SELECT model, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
@@ -132,7 +137,7 @@ def q_ap(spark, sf):
 COMPARE_SQL = f"""
 {CM_SQL},
 mm AS (SELECT model, {METRICS_SQL} FROM m),
-{COUNTS_SQL.replace('s AS (', 's2 AS (').replace('FROM s GROUP', 'FROM s2 GROUP')},
+{_counts_sql("s2")},
 au AS (SELECT model, {AUC_SQL} AS roc_auc FROM c GROUP BY model),
 cmp AS (SELECT mm.model, accuracy, precision, recall, f1 AS f1_score, roc_auc FROM mm JOIN au ON mm.model = au.model)"""
 
