@@ -24,3 +24,16 @@ def test_training_then_prediction(spark, tmp_path):
     summary = prediction_run(spark, src, out, str(tmp_path / "scored"), model_name="baseline").collect()[0]
     assert summary.processed == batch.count()
     assert summary.high_risk + summary.medium_risk + summary.low_risk == summary.processed
+    # with a stricter policy file and the clean training history as context
+    policy = tmp_path / "policy.json"
+    policy.write_text('{"low_risk_threshold": 0.01, "high_risk_threshold": 0.02}')
+    hist = str(tmp_path / "history")
+    A.transactions(spark, sf).withColumnRenamed("ts", "timestamp").write.parquet(hist)
+    strict = prediction_run(spark, src, out, str(tmp_path / "scored2"), model_name="random_forest",
+                            history_path=hist, policy_path=str(policy)).collect()[0]
+    assert strict.processed == batch.count()
+    written = spark.read.option("header", True).csv(str(tmp_path / "scored2"))
+    p = F.col("probability_score").cast("double")
+    # tiers follow the policy file (probability_score is rounded to 4 dp, so keep a margin)
+    assert written.where((p >= 0.0201) & (F.col("risk_level") != "High Risk")).count() == 0
+    assert written.where((p < 0.0099) & (F.col("risk_level") != "Low Risk")).count() == 0
