@@ -133,3 +133,22 @@ def test_policy_defaults_per_key_and_bad_file(spark, tmp_path):
     assert (r.low_risk_threshold, r.high_risk_threshold) == (0.2, 0.6)
     r = IO.risk_policy(spark, str(tmp_path / "absent.json")).collect()[0]
     assert (r.low_risk_threshold, r.high_risk_threshold) == (0.2, 0.6)
+
+
+def test_metric_store_lookup_and_fallback(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    rows = [("baseline", "f1_score", 0.9), ("random_forest", "f1_score", 0.95),
+            ("random_forest_tuned", "f1_score", 0.97)]
+    IO.save_metrics(spark.createDataFrame(rows, "model string, metric string, value double"), path, mode="overwrite")
+    pick = lambda name: {r.model for r in IO.load_model_metrics(spark, path, name).collect()}
+    assert pick("random_forest") == {"random_forest"}                 # exact name
+    assert pick("models/random_forest_tuned.joblib") == {"random_forest_tuned"}   # longest contained name
+    assert pick("something_else") == {"random_forest_tuned"}          # fallback order starts with tuned
+
+
+def test_csv_sink_round_trip(spark, tmp_path):
+    t = A.transactions(spark, "/root/testdata/sf0.001").select("transaction_id", "amount", "merchant_category")
+    out = IO.write_table(t, str(tmp_path / "t_csv"), fmt="csv", partition_by=["merchant_category"])
+    back = IO.scan_transactions(spark, out)
+    assert back.count() == t.count()
+    assert set(back.columns) == {"transaction_id", "amount", "merchant_category"}
