@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import quality
+from txrisk.llm import bpe, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, q = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[F.col(f"{q}.{c}").alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+@query()
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded, ids = bpe.encode(docs, path, pattern)
+    back, raw = bpe.decode(coded, path, pattern, ids)
+    return back.select("doc_id", F.size(ids).cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2(F.col(raw), 256).alias("decoded_sha256"))
