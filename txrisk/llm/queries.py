@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, quality, simhash
+from txrisk.llm import bpe, linededup, quality, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,31 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near-duplicates of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(text, '') AS x, md5(coalesce(text, '')) AS th
+           FROM documents),
+l AS (SELECT r, doc_id, th, unnest(string_split(x, chr(10))) AS line,
+        unnest(generate_series(0, len(string_split(x, chr(10))) - 1)) AS no FROM t),
+w AS (SELECT r, doc_id, th, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+g AS (SELECT *, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, th, no) AS pos FROM w WHERE len(w) > 0),
+f AS (SELECT w, min(pos) AS first FROM g GROUP BY w),
+v AS (SELECT w, first, 0 AS i, w AS v FROM f WHERE len(w) >= 8
+      UNION ALL SELECT w, first, i, list_concat(w[1:i - 1], w[i + 1:]) AS v
+      FROM (SELECT w, first, unnest(generate_series(1, len(w))) AS i FROM f WHERE len(w) >= 8)),
+near AS (SELECT DISTINCT a.w FROM v AS a JOIN v AS b ON a.v = b.v AND b.first < a.first
+           AND (a.i = b.i OR a.i = 0 OR b.i = 0) AND len(a.v) >= 7),
+dropped AS (SELECT DISTINCT g.r, g.no FROM g JOIN f ON g.w = f.w LEFT JOIN near ON near.w = g.w
+            WHERE g.pos > f.first OR near.w IS NOT NULL),
+kept AS (SELECT w.r, string_agg(w.line, chr(10) ORDER BY w.no) AS text FROM w LEFT JOIN dropped AS d ON d.r = w.r AND d.no = w.no
+         WHERE d.r IS NULL GROUP BY w.r),
+n AS (SELECT r, count(*) AS n FROM dropped GROUP BY r)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_dropped,
+       CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM t LEFT JOIN kept USING (r) LEFT JOIN n USING (r)""")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand, up to one word, earlier in the corpus."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done, drops = linededup.dedup_lines(docs)
+    return done.select("doc_id", F.coalesce(F.size(drops), F.lit(0)).cast("long").alias("n_dropped"), "text")
