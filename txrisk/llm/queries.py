@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, linededup, quality, simhash
+from txrisk.llm import bpe, decontaminate, linededup, quality, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done, drops = linededup.dedup_lines(docs)
     return done.select("doc_id", F.coalesce(F.size(drops), F.lit(0)).cast("long").alias("n_dropped"), "text")
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w
+           FROM documents),
+b AS (SELECT row_number() OVER () AS j, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w
+      FROM benchmark),
+dg AS (SELECT r, p, w[p:p + 3] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 3)) AS p FROM d)),
+bg AS (SELECT j, q, w[q:q + 3] AS g FROM (SELECT j, w, unnest(generate_series(1, len(w) - 3)) AS q FROM b
+                                         WHERE len(w) >= 8)),
+diag AS (SELECT DISTINCT r, j, p - q AS o FROM dg JOIN bg USING (g)),
+cell AS (SELECT r, j, o, unnest(generate_series(1, len(b.w))) AS q FROM diag JOIN b USING (j)),
+eq AS (SELECT r, j, o, q, len(b.w) AS n, CASE WHEN d.w[q + o] = b.w[q] THEN 1 ELSE 0 END AS e
+       FROM cell JOIN d USING (r) JOIN b USING (j) WHERE q + o BETWEEN 1 AND len(d.w)),
+win AS (SELECT r, j, o, q, n, sum(e) OVER x AS s, count(*) OVER x AS c FROM eq
+        WINDOW x AS (PARTITION BY r, j, o ORDER BY q ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING))
+SELECT doc_id, item_id, max(s)::BIGINT AS equal_words, min(q + o - 1)::BIGINT AS first_word
+FROM win JOIN d USING (r) JOIN b USING (j)
+WHERE c = least(13, n) AND s >= CASE WHEN n >= 13 THEN 11 ELSE n END
+GROUP BY doc_id, item_id""")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of a benchmark item, with the item."""
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
