@@ -11,7 +11,7 @@ from txrisk.session import ensure_checkpoint_dir
 
 #: White space that ends a word: blank and the five controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
-#: A key that holds more than one row in this many is joined by broadcast: at most that many keys can.
+#: A key that holds more than one row in this many is dealt over salts: at most that many keys can.
 HOT_SHARE = 2000
 
 
@@ -62,19 +62,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def join_hot(big: DataFrame, small: DataFrame, key: str, rows: int, count: str) -> DataFrame:
     """Left join of ``big`` to ``small`` (one row a key) where a few keys may hold most rows.
 
-    ``small[count]`` is the number of rows of ``big`` with that key and ``rows`` the number of
-    rows in all. Keys over one row in ``HOT_SHARE`` are fewer than ``HOT_SHARE`` by arithmetic, so
-    they are broadcast; every other key is small enough for one task of a shuffled join. Null
-    keys have no partner. Returns the columns of ``big`` and those of ``small`` but for the count.
+    ``small[count]`` is the number of rows of ``big`` with that key and ``rows`` the number of rows
+    in all. A key with more than one row in ``HOT_SHARE`` is dealt over as many salts as it has such
+    shares; its row in ``small`` is repeated for each, which makes fewer than ``HOT_SHARE`` repeats
+    in all. Only keys and numbers of salts are broadcast, for fewer than ``HOT_SHARE`` keys by
+    arithmetic. The salt follows from the row, so a task that runs again deals alike. Null keys have
+    no partner. Returns the columns of ``big`` and those of ``small`` but for key and count.
     """
     least = max(rows // HOT_SHARE, 1)
     rest = [c for c in small.columns if c not in (key, count)]
-    hot = small.filter(F.col(count) > least).select(key, F.struct(*rest).alias("_h"), F.lit(True).alias("_is"))
-    cold = small.filter(F.col(count) <= least).select(key, F.struct(*rest).alias("_c"))
-    at_hot = big.join(F.broadcast(hot), key, "left")
-    # a key that the broadcast has served is spread by a null: it takes no part in the shuffled join
-    spread = at_hot.withColumn("_k", F.when(F.col("_is").isNull(), F.col(key)))
-    served = spread.filter(F.col("_is").isNotNull()).withColumn("_c", F.lit(None).cast(cold.schema["_c"].dataType))
-    other = spread.filter(F.col("_is").isNull()).join(cold, key, "left")
-    both = served.select(*big.columns, "_h", "_c").unionByName(other.select(*big.columns, "_h", "_c"))
-    return both.select(*big.columns, *[F.coalesce(F.col("_h")[c], F.col("_c")[c]).alias(c) for c in rest])
+    salts = F.ceil(F.col(count) / F.lit(least)).cast("int")
+    hot = small.filter(F.col(count) > least).select(key, salts.alias("_salts"))
+    mark = F.xxhash64(*[F.col(c) for c in big.columns])
+    dealt = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(mark, F.when(
+        F.col(key).isNull(), F.lit(HOT_SHARE)).otherwise(F.coalesce("_salts", F.lit(1)))).cast("int"))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(spread.select(key, "_salt", *rest), [key, "_salt"], "left").select(*big.columns, *rest)

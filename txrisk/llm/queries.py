@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, decontaminate, linededup, quality, simhash
+from txrisk.llm import bpe, decontaminate, linededup, quality, simhash, warc
+from txrisk.llm.common import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +127,20 @@ GROUP BY doc_id, item_id""")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of a benchmark item, with the item."""
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+w AS (SELECT page_id, h, strlen(h)::BIGINT AS n, max(page_id) OVER (PARTITION BY h) AS m FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM m THEN m END AS refers_to
+FROM w""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to an archive and put back from it."""
+    path = shared_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    back = warc.verified(warc.read_records(spark, path))
+    size = F.octet_length("payload").cast("long")
+    return back.select("page_id", size.alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+                       "record_type", "refers_to")
