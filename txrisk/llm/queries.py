@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, decontaminate, linededup, quality, simhash, warc
+from txrisk.llm import bpe, decontaminate, linededup, quality, simhash, tokenfile, warc
 from txrisk.llm.common import shared_path
 
 QUERIES: dict = {}
@@ -144,3 +144,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("payload").cast("long")
     return back.select("page_id", size.alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
                        "record_type", "refers_to")
+
+
+@query()
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to token files and read back from them."""
+    path = shared_path(spark, "tokens")
+    tokenfile.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    back = tokenfile.read_tokens(spark, path)
+    return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))
