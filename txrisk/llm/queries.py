@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, decontaminate, linededup, quality, simhash, tokenfile, warc
+from txrisk.llm import bpe, decontaminate, lattice, linededup, quality, simhash, tokenfile, warc
 from txrisk.llm.common import shared_path
 
 QUERIES: dict = {}
@@ -154,3 +154,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = tokenfile.read_tokens(spark, path)
     return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"),
                        F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-unigram and subword-lattice log10 probabilities of every document."""
+    return lattice.score_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
