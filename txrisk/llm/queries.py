@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, decontaminate, lattice, linededup, quality, simhash, tokenfile, warc
+from txrisk.llm import bpe, decontaminate, gam, lattice, linededup, quality, simhash, tokenfile, warc
 from txrisk.llm.common import shared_path
 
 QUERIES: dict = {}
@@ -160,3 +160,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-unigram and subword-lattice log10 probabilities of every document."""
     return lattice.score_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels outside the held-out fold."""
+    return gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
