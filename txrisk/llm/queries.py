@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, decontaminate, gam, lattice, linededup, quality, simhash, tokenfile, warc
+from txrisk.llm import bpe, chat, decontaminate, gam, lattice, linededup, quality, simhash, tokenfile, warc
 from txrisk.llm.common import shared_path
 
 QUERIES: dict = {}
@@ -166,3 +166,20 @@ def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels outside the held-out fold."""
     return gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text,
+             md5(concat(strlen(coalesce('=' || role, '0')), coalesce('=' || role, '0'), coalesce('=' || text, '0'))) AS c
+           FROM conversations),
+l AS (SELECT conv_id, list(c ORDER BY turn NULLS FIRST, c) AS l FROM t GROUP BY conv_id),
+e AS (SELECT l, count(*) AS copies, min(conv_id) AS conv_id FROM l GROUP BY l),
+k AS (SELECT a.conv_id, a.copies FROM e AS a WHERE NOT EXISTS (
+        SELECT 1 FROM e AS b WHERE b.l[1] = a.l[1] AND len(b.l) > len(a.l) AND b.l[1:len(a.l)] = a.l))
+SELECT k.conv_id, coalesce(floor(t.turn / 1024)::BIGINT, -4611686018427387904) AS part, count(*) AS n_turns, any_value(k.copies) AS copies,
+       string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<| im_') || chr(10)
+                  || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY t.turn NULLS FIRST, t.c) AS text
+FROM k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL""")
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
