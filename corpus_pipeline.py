@@ -28,13 +28,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least id; of equal rows one."""
-    cols = docs.columns
     key = wide_hash(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
-    rows = docs.withColumn("_key", key)
-    named = rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key").alias("id"), "text")
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.select(F.struct(F.col("row.doc_id").isNull().alias("no_id"), "row.doc_id", "key").alias("id"), "row.text")
     found = simhash.near_duplicates(named, "id", "text", simhash.SHINGLE, simhash.MAX_BITS)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("component_id._key").alias("_key")).distinct()
-    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*cols)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("component_id.key").distinct()
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def star_components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (two columns of one type): the root is the least
-    node of its component. Nodes without a link to another are left out; null ends are ignored.
+    """(node, root) for the nodes of ``links`` (two columns of one type): the root is the least node of
+    the component. Roots themselves are left out, as are links of a node to itself or to null.
 
     Rounds grow with the logarithm of a component's size. Each round is written to the shared
     folder, so lineage stays short and lost executors cost one round at most; only two sums of

@@ -68,7 +68,6 @@ RULES = (
     Rule("shouting", "n_shout", "n_words", high=0.2),
 )
 
-_W, _L = "_quality_words", "_quality_lines"  # gone again before a frame is returned
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop", "n_shout")
 
 
@@ -110,9 +109,10 @@ def with_measures(df: DataFrame, text_col: str = "text", name: str = "quality")
         F.size(F.filter(w, lambda x: x.isin(stops))).alias("n_stop")))
     of_lines = let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda l: F.struct(
         F.size(l).alias("n_lines"), (F.size(l) - F.size(F.array_distinct(l))).alias("n_dup_lines")))
-    parts = df.select("*", of_words.alias(_W), of_lines.alias(_L))
-    measures = {**{c: F.col(_W)[c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")},
-                **{c: F.col(_L)[c] for c in ("n_lines", "n_dup_lines")},
+    by_word, by_line = fresh(df, "words"), fresh(df, "lines")
+    parts = df.select("*", of_words.alias(by_word), of_lines.alias(by_line))
+    measures = {**{c: F.col(f"`{by_word}`")[c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")},
+                **{c: F.col(f"`{by_line}`")[c] for c in ("n_lines", "n_dup_lines")},
                 "n_symbols": _count_of(text, SYMBOLS), "n_shout": _count_of(text, "!")}
     return parts.select(*[F.col(f"`{c}`") for c in df.columns],
                         F.struct(*[measures[m].cast("long").alias(m) for m in MEASURES]).alias(out)), out
