@@ -33,8 +33,9 @@ _BLANK_SQL = "(chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"
 @query(rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT r, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM t),
-g AS (SELECT r, unnest(generate_series(1, len(w) - 2)) AS p, w FROM w WHERE len(w) >= 3),
-h AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2]) AS n FROM g),
+u AS (SELECT r, unnest(w) AS w, unnest(generate_series(1, len(w))) AS p FROM w),
+g AS (SELECT r, p, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY r ORDER BY p)),
+h AS (SELECT r, p, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM g WHERE w3 IS NOT NULL),
 s AS (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS q FROM h WHERE n > 1),
 rep AS (SELECT r, sum(least(3, coalesce(q - p, 3))) AS n FROM s GROUP BY r),
 l AS (SELECT r, unnest(string_split(x, chr(10))) AS l FROM t),
@@ -86,11 +87,12 @@ l AS (SELECT r, doc_id, th, unnest(string_split(x, chr(10))) AS line,
 w AS (SELECT r, doc_id, th, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
 g AS (SELECT *, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, th, no) AS pos FROM w WHERE len(w) > 0),
 f AS (SELECT w, min(pos) AS first FROM g GROUP BY w),
-v AS (SELECT w, first, 0 AS i, w AS v FROM f WHERE len(w) >= 8
-      UNION ALL SELECT w, first, i, list_concat(w[1:i - 1], w[i + 1:]) AS v
-      FROM (SELECT w, first, unnest(generate_series(1, len(w))) AS i FROM f WHERE len(w) >= 8)),
-near AS (SELECT DISTINCT a.w FROM v AS a JOIN v AS b ON a.v = b.v AND b.first < a.first
-           AND (a.i = b.i OR a.i = 0 OR b.i = 0) AND len(a.v) >= 7),
+k AS (SELECT w, first, len(w) AS n, w[1:4] AS c FROM f WHERE len(w) >= 8
+      UNION ALL SELECT w, first, len(w), w[-4:] FROM f WHERE len(w) >= 8),
+pair AS (SELECT DISTINCT a.w, b.w AS o, a.n, b.n AS m FROM k AS a JOIN k AS b ON a.c = b.c AND b.first < a.first AND abs(a.n - b.n) <= 1),
+same AS (SELECT *, coalesce(list_position(list_transform(generate_series(1, greatest(n, m)), lambda i: w[i] IS NOT DISTINCT FROM o[i]), false), 0) AS p
+         FROM pair),
+near AS (SELECT DISTINCT w FROM same WHERE p = 0 OR w[p + 1:] = o[p + 1:] OR w[p + 1:] = o[p:] OR w[p:] = o[p + 1:]),
 dropped AS (SELECT DISTINCT g.r, g.no FROM g JOIN f ON g.w = f.w LEFT JOIN near ON near.w = g.w
             WHERE g.pos > f.first OR near.w IS NOT NULL),
 kept AS (SELECT w.r, string_agg(w.line, chr(10) ORDER BY w.no) AS text FROM w LEFT JOIN dropped AS d ON d.r = w.r AND d.no = w.no
@@ -111,13 +113,15 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(co
            FROM documents),
 b AS (SELECT row_number() OVER () AS j, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w
       FROM benchmark),
-dg AS (SELECT r, p, w[p:p + 3] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 3)) AS p FROM d)),
-bg AS (SELECT j, q, w[q:q + 3] AS g FROM (SELECT j, w, unnest(generate_series(1, len(w) - 3)) AS q FROM b
-                                         WHERE len(w) >= 8)),
-diag AS (SELECT DISTINCT r, j, p - q AS o FROM dg JOIN bg USING (g)),
-cell AS (SELECT r, j, o, unnest(generate_series(1, len(b.w))) AS q FROM diag JOIN b USING (j)),
-eq AS (SELECT r, j, o, q, len(b.w) AS n, CASE WHEN d.w[q + o] = b.w[q] THEN 1 ELSE 0 END AS e
-       FROM cell JOIN d USING (r) JOIN b USING (j) WHERE q + o BETWEEN 1 AND len(d.w)),
+dw AS (SELECT r, unnest(w) AS w, unnest(generate_series(1, len(w))) AS p FROM d),
+bw AS (SELECT j, len(w) AS n, unnest(w) AS w, unnest(generate_series(1, len(w))) AS q FROM b WHERE len(w) >= 8),
+dg AS (SELECT r, p, w, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4 FROM dw
+       WINDOW x AS (PARTITION BY r ORDER BY p)),
+bg AS (SELECT j, q, w, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4 FROM bw
+       WINDOW x AS (PARTITION BY j ORDER BY q)),
+diag AS (SELECT DISTINCT r, j, p - q AS o FROM dg JOIN bg USING (w, w2, w3, w4)),
+eq AS (SELECT diag.r, diag.j, o, bw.q, bw.n, CASE WHEN dw.w = bw.w THEN 1 ELSE 0 END AS e
+       FROM diag JOIN bw ON bw.j = diag.j JOIN dw ON dw.r = diag.r AND dw.p = bw.q + diag.o),
 win AS (SELECT r, j, o, q, n, sum(e) OVER x AS s, count(*) OVER x AS c FROM eq
         WINDOW x AS (PARTITION BY r, j, o ORDER BY q ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING))
 SELECT doc_id, item_id, max(s)::BIGINT AS equal_words, min(q + o - 1)::BIGINT AS first_word
