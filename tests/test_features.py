@@ -15,7 +15,7 @@ def _edge(spark, amounts):
                                        "amount double, location string")
 
 
-@pytest.mark.parametrize("method", ["events", "range"])
+@pytest.mark.parametrize("method", ["events", "sliced", "split", "range"])
 def test_rolling_edge(spark, method):
     out = FE.velocity_features(_edge(spark, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), method=method,
                                slice_seconds=86400 * 3).orderBy("transaction_id").collect()
@@ -23,7 +23,7 @@ def test_rolling_edge(spark, method):
     assert [r.customer_avg_amount_30d for r in out] == [1, 2, 2.5, 3, 5, 5.5]
 
 
-@pytest.mark.parametrize("method", ["events", "range"])
+@pytest.mark.parametrize("method", ["events", "sliced", "split", "range"])
 def test_rolling_missing_amount(spark, method):
     df = _edge(spark, [1.0, None, 3.0, 4.0, 5.0, 6.0])
     out = FE.engineer_features(df, method=method).orderBy("transaction_id").collect()
@@ -42,7 +42,7 @@ def test_null_customer_defaults(spark):
 
 def test_events_equals_range_on_orders(spark, sf_small):
     o = A.order_transactions(spark, sf_small)
-    a = FE.velocity_features(o, ts_col="ts", method="events", slice_seconds=86400 * 7)
+    a = FE.velocity_features(o, ts_col="ts", method="events")
     b = FE.velocity_features(o, ts_col="ts", method="range")
     cols = ["transaction_id", "customer_txn_count_30d", "customer_avg_amount_30d"]
     assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
@@ -68,7 +68,7 @@ def test_threat_signatures(spark):
 
 
 def test_hot_customer_split_by_slices_equals_range(spark):
-    """One customer holds a third of the rows; the event form spreads it over time slices."""
+    """One customer holds a third of the rows: the count finds it and it is spread over time slices."""
     from pyspark.sql import functions as F
     n = 30000
     base = spark.range(n).select(
@@ -79,9 +79,19 @@ def test_hot_customer_split_by_slices_equals_range(spark):
         F.timestamp_seconds(F.lit(1704067200) + (F.col("id") * 7919 % (90 * 86400 // 60)) * 60).alias("timestamp"),
         F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise((F.col("id") % 1000) / 10.0).alias("amount"),
         F.lit("x, us").alias("location"))
-    ev = FE.velocity_features(base, method="events", slice_seconds=86400)
+    ev = FE.velocity_features(base, method="events", slice_seconds=86400, hot_rows=5000)
     rg = FE.velocity_features(base, method="range")
     cols = ["transaction_id", "customer_txn_count_30d", "customer_avg_amount_30d"]
     assert ev.select(*cols).exceptAll(rg.select(*cols)).count() == 0
     plan = ev._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_cust" in plan and "_slice" in plan
+    assert "hashpartitioning(_cust" in plan and "_slice" in plan and "Union" in plan
+
+
+def test_velocity_plan_has_one_exchange_and_one_scan(spark, sf_small):
+    import re
+    o = A.order_transactions(spark, sf_small)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    for method in ("sliced", "events"):
+        shape = plan(FE.velocity_features(o, ts_col="ts", method=method))
+        assert len(re.findall(r"Exchange hashpartitioning", shape)) == len(re.findall(r"Exchange hashpartitioning", plan(o))) + 1
+        assert shape.count("FileScan") == plan(o).count("FileScan") and "InMemory" not in shape

@@ -4,21 +4,21 @@ The 30-day velocity features follow pandas ``rolling("30D")`` semantics: the
 frame is ``(t - 30 days, t]`` and rows with an equal timestamp that come later
 in sort order (ties broken by transaction id) are excluded.
 
-Two physical forms are offered:
-
-* ``method="events"`` (default): every transaction is emitted twice, as an
-  arrival ``(+1, +amount)`` at ``t`` and as an expiry ``(-1, -amount)`` at
-  ``t + 30 days``.  A running sum over ``(time, expiry-before-arrival, id)``
-  then equals the trailing frame, including the tie rule.  The running sum is
-  split into (customer, minute) partitions, so a customer holding a large
-  share of all rows is spread over many tasks.  Each minute adds the totals of
-  the customer's earlier minutes, found in two bounded steps: a prefix over
-  the minutes of the same day (<= 1,440 rows per window) plus a prefix over
-  the customer's earlier days (one row per active day), both computed on
-  partial-aggregated slice totals.  Amounts are summed as DECIMAL so
-  subtraction is exact.
-* ``method="range"``: a RANGE frame on microseconds minus a tie-correction
-  window.  One partition per customer; kept as the simple reference form.
+A row counts from its arrival ``(+1, +amount)`` at ``t`` to its expiry ``(-1, -amount)`` at
+``t + 30 days``; a running sum over ``(time, expiry-before-arrival, id)`` equals the trailing frame,
+including the tie rule.  Amounts are summed as DECIMAL so subtraction is exact.  All physical forms
+give the same rows:
+
+* ``method="sliced"``: running sums inside (customer, slice of ``slice_days``).  Each row goes to its
+  own slice; those of the last 30 days of a slice go to the next one too, as context.  One exchange
+  and one scan.
+* ``method="split"``: running sums inside (customer, minute), plus the totals of the customer's
+  earlier minutes of the day and of earlier days, from partial aggregates.  No task holds more than
+  a minute of one customer, at the price of more exchanges.
+* ``method="events"`` (default): a count per customer first; customers with more than ``hot_rows``
+  rows are computed ``split``, all others ``sliced``.
+* ``method="range"``: a RANGE frame on microseconds minus a tie-correction window.  One partition per
+  customer; kept as the simple reference form.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from txrisk.session import persist_shared
 
 DAY_US = 86_400 * 1_000_000
 AMOUNT_DECIMAL = "decimal(28,8)"
+#: Rows of one customer that one task may sort; customers with more are split by the minute.
+HOT_ROWS = 1_000_000
 
 ENGINEERED_NUMERIC = ["amount", "customer_txn_count_30d", "customer_avg_amount_30d",
                       "amount_ratio_to_avg", "hour_of_day", "day_of_week"]
@@ -63,7 +65,50 @@ def _velocity_range(df, cust, ts, tid, amount, window_days):
     return (df.withColumn("_vc", n).withColumn("_vs", s).withColumn("_vn", na))
 
 
-def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds, coarse_seconds):
+def _velocity_sliced(df, cust, ts, tid, amount, window_days, slice_days):
+    reach, length = window_days * DAY_US, max(slice_days, window_days) * DAY_US
+    us = F.unix_micros(F.col(ts))
+    valid = F.col(cust).isNotNull() & F.col(ts).isNotNull()
+    own = F.coalesce(F.floor(us / F.lit(length)), F.lit(0))
+    ends = (own + 1) * F.lit(length)          # of the row's own slice
+
+    def event(at, kind, sign, slice_):
+        return F.struct(at.alias("t"), F.lit(kind).alias("kind"), F.lit(sign).alias("sgn"), slice_.alias("slice"))
+
+    context = valid & (us + reach > ends)     # still counts when the next slice begins
+    events = F.array(event(us, 1, 1, own), F.when(valid & (us + reach < ends), event(us + reach, 0, -1, own)),
+                     F.when(context, event(us, 2, 1, own + 1)), F.when(context, event(us + reach, 0, -1, own + 1)))
+    ev = df.select(
+        *df.columns, F.col(tid).cast("string").alias("_id"), F.col(cust).alias("_cust"),
+        F.when(F.col(tid).isNotNull(), 1).otherwise(0).cast("long").alias("_c1"),
+        F.when(F.col(amount).isNotNull(), 1).otherwise(0).cast("long").alias("_n1"),
+        F.coalesce(F.col(amount).cast(AMOUNT_DECIMAL), F.lit(0).cast(AMOUNT_DECIMAL)).alias("_s1"),
+        F.explode(F.filter(events, lambda e: e.isNotNull())).alias("_e"))
+    here = F.col("_e.kind") == 1
+    ev = ev.select(*[F.when(here, F.col(c)).alias(c) for c in df.columns], "_cust",
+                   F.when(F.col("_e.kind") > 0, F.col("_id")).alias("_id"),
+                   F.col("_e.slice").alias("_slice"), F.col("_e.t").alias("_t"), F.col("_e.kind").alias("_kind"),
+                   (F.col("_c1") * F.col("_e.sgn")).alias("_dc"), (F.col("_n1") * F.col("_e.sgn")).alias("_dn"),
+                   (F.col("_s1") * F.col("_e.sgn")).cast("decimal(29,8)").alias("_ds"))
+    # rows without a customer or time keep defaults; they are spread, not gathered under the null key
+    spread = F.when(F.col("_cust").isNull() | F.col("_t").isNull(), F.pmod(F.xxhash64("_id"), F.lit(1024))).otherwise(F.col("_slice"))
+    run = (Window.partitionBy("_cust", "_slice").orderBy("_t", F.least("_kind", F.lit(1)), "_id")
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = ev.withColumn("_slice", spread).select("*", F.sum("_dc").over(run).alias("_vc"), F.sum("_ds").over(run).alias("_vs"),
+                                                 F.sum("_dn").over(run).alias("_vn"))
+    return out.where(F.col("_kind") == 1).select(*df.columns, "_vc", "_vs", "_vn")
+
+
+def _velocity_counted(df, cust, hot_rows, sliced, split):
+    """``split(...)`` for customers with more than ``hot_rows`` rows, ``sliced(...)`` for the others."""
+    hot = df.where(F.col(cust).isNotNull()).groupBy(cust).count().where(F.col("count") > hot_rows).select(cust)
+    if hot.isEmpty():
+        return sliced(df)
+    return sliced(df.join(hot, cust, "left_anti").select(*df.columns)).unionByName(
+        split(df.join(hot, cust, "left_semi").select(*df.columns)))
+
+
+def _velocity_split(df, cust, ts, tid, amount, window_days, slice_seconds, coarse_seconds):
     W = window_days * DAY_US
     fine_us = int(slice_seconds) * 1_000_000
     # Coarse slices must be whole multiples of fine ones, so every fine slice nests in one coarse slice.
@@ -140,18 +185,23 @@ def _velocity_events(df, cust, ts, tid, amount, window_days, slice_seconds, coar
 def velocity_features(df: DataFrame, customer_col: str = "customer_id", ts_col: str = "timestamp",
                       id_col: str = "transaction_id", amount_col: str = "amount",
                       window_days: int = 30, method: str = "events",
-                      slice_seconds: int = 60, coarse_seconds: int = 86_400) -> DataFrame:
+                      slice_seconds: int = 60, coarse_seconds: int = 86_400, slice_days: int = 90,
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """F3 + F4: customer_txn_count_30d and customer_avg_amount_30d.
 
     Count is over non-missing transaction ids; the mean skips missing amounts
     and is NULL when none remain.  Rows without a customer (or time) keep the
     defaults count 1 and mean = own amount, as a per-customer group-by would.
     """
+    cols = (customer_col, ts_col, id_col, amount_col, window_days)
+    forms = {"sliced": lambda d: _velocity_sliced(d, *cols, slice_days),
+             "split": lambda d: _velocity_split(d, *cols, slice_seconds, coarse_seconds)}
     if method == "range":
         v = _velocity_range(df, customer_col, ts_col, id_col, amount_col, window_days)
+    elif method in forms:
+        v = forms[method](df)
     elif method == "events":
-        v = _velocity_events(df, customer_col, ts_col, id_col, amount_col, window_days, slice_seconds,
-                             coarse_seconds)
+        v = _velocity_counted(df, customer_col, hot_rows, forms["sliced"], forms["split"])
     else:
         raise ValueError(f"unknown velocity method {method!r}")
     grouped = F.col(customer_col).isNotNull() & F.col(ts_col).isNotNull()
