@@ -13,7 +13,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from txrisk.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=8, app_name="txrisk-tests")
+    s = get_spark("local[4]", shuffle_partitions=8, app_name="txrisk-tests", driver_memory="8g")
     yield s
 
 

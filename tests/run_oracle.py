@@ -13,7 +13,7 @@ from txrisk.session import get_spark  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
-spark = get_spark("local[8]")
+spark = get_spark("local[8]", shuffle_partitions=8, driver_memory="8g")
 q, o = E.queries(), E.oracle_sql()
 con = duck(sf)
 bad = 0

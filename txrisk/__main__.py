@@ -26,7 +26,7 @@ def main(argv=None) -> None:
     p.add_argument("--policy", default=None, help="JSON risk policy (thresholds)")
     ap.add_argument("--master", default=None, help="Spark master (default: from the environment)")
     args = ap.parse_args(argv)
-    spark = get_spark(args.master, shuffle_partitions=200)
+    spark = get_spark(args.master)
     if args.cmd == "train":
         raw = IO.scan_transactions(spark, args.input)
         res = training_run(spark, raw, args.out, num_trees=args.trees)

@@ -63,12 +63,6 @@ def risk_level(probability, low=DEFAULT_LOW_RISK_THRESHOLD, high=DEFAULT_HIGH_RI
              .otherwise(F.lit(RISK_LEVELS[2])))
 
 
-def safe_div(num, den, default=0.0) -> Column:
-    """num / den, or ``default`` when the denominator is 0 or NULL."""
-    d = col(den)
-    return F.coalesce(col(num) / F.when(d != 0, d), F.lit(default))
-
-
 def churn_score(monthly_charges, tenure) -> Column:
     """min(monthly / max(tenure, 1) * 0.1, 0.99)."""
     return F.least(col(monthly_charges) / F.greatest(col(tenure), F.lit(1)) * F.lit(0.1), F.lit(0.99))

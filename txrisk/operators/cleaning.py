@@ -64,6 +64,14 @@ def mode_fills(df: DataFrame, cols, fallback=None) -> dict:
             for c in cols}
 
 
+def mode_fills_from_counts(counts: DataFrame, cols) -> dict:
+    """Fill values for ``cols`` from (k, v, n) value counts."""
+    if not cols:
+        return {}
+    m = stats.modes_of_counts(counts)
+    return {c: m[F.lit(c)] for c in cols}
+
+
 def _attach_modes(df: DataFrame, cols, fallback=None) -> DataFrame:
     return _fill(df, mode_fills(df, cols, fallback))
 

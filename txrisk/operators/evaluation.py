@@ -253,7 +253,11 @@ def run_level_metrics(df: DataFrame, pred_col: str = "prediction", by=None) -> D
     label = next((c for c in LABEL_CANDIDATES if c in df.columns), None)
     if label is None:
         return classification_metrics(df.withColumn("_l", F.lit(0)), "_l", pred_col, by).limit(0)
-    n_classes = df.agg(F.count_distinct(label)).scalar()
-    gated = df.where(n_classes > 1)
-    return classification_metrics(gated, label, pred_col, by).where(
-        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")) > 0)
+    if not by:
+        n_classes = df.agg(F.count_distinct(label)).scalar()
+        return classification_metrics(df.where(n_classes > 1), label, pred_col, by).where(
+            (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")) > 0)
+    # per group: the least and the greatest label differ (combined before the shuffle)
+    groups = df.groupBy(*_by(by)).agg(F.min(label).alias("_a"), F.max(label).alias("_b"))
+    several = groups.where(F.col("_a") != F.col("_b")).drop("_a", "_b")
+    return classification_metrics(df, label, pred_col, by).join(several, _by(by), "left_semi")

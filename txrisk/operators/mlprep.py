@@ -38,34 +38,9 @@ def select_features(df: DataFrame, keys=KEYS, label_col: str = TARGET,
     return df.select(*cols)
 
 
-def _quota_table(counts: DataFrame, key: str, test_size: float) -> DataFrame:
-    """Per class key: ``n_class, train_quota, test_quota`` from a small class-count table.
-
-    n_test = ceil(test_size * N); train quotas are floor(n_c * n_train / N)
-    plus one for the classes with the largest remainders (ties: smaller key),
-    all in exact integer arithmetic.
-    """
-    allw = Window.partitionBy()             # a handful of rows: one per class
-    num, den = _fraction(test_size)
-    n = F.sum("n_class").over(allw)
-    q = counts.withColumn("_N", n).withColumn("_ntrain", F.col("_N") - F.floor((n * num + den - 1) / den).cast("long"))
-    prod = F.col("n_class") * F.col("_ntrain")
-    q = q.withColumn("_fl", F.floor(prod / F.col("_N")).cast("long")).withColumn("_rem", prod % F.col("_N"))
-    q = q.withColumn("_left", F.col("_ntrain") - F.sum("_fl").over(allw))
-    q = q.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(F.desc("_rem"), F.asc(key))))
-    q = q.withColumn("train_quota", F.col("_fl") + (F.col("_r") <= F.col("_left")).cast("long"))
-    return q.select(key, "n_class", "train_quota", (F.col("n_class") - F.col("train_quota")).alias("test_quota"))
-
-
-def split_quotas(df: DataFrame, label_col: str = TARGET, test_size: float = 0.2) -> DataFrame:
-    """Per class: ``n_class, train_quota, test_quota`` (exact integer arithmetic)."""
-    counts = df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
-    return _quota_table(counts, label_col, test_size)
-
-
 def _fraction(x: float):
     from fractions import Fraction
-    fr = Fraction(str(x)).limit_denominator(10_000)
+    fr = Fraction(str(x))          # exactly what was written, e.g. 0.2 = 1/5
     return fr.numerator, fr.denominator
 
 
@@ -214,7 +189,7 @@ def pipeline_feature_names(model, numeric=ENGINEERED_NUMERIC, categorical=ENGINE
 def apply_pipeline(model, df: DataFrame, categorical=ENGINEERED_CATEGORICAL,
                    numeric=ENGINEERED_NUMERIC) -> DataFrame:
     res = model.transform(_model_types(df, [c for c in numeric if c in df.columns], categorical))
-    return res.drop(*[c for c in res.columns if c.startswith("__") or c.endswith("__idx") or c.endswith("__ohe")])
+    return res.drop(*[c for c in res.columns if c not in df.columns and c != "features"])
 
 
 def split_report(df: DataFrame, label_col: str = TARGET, n_features: int | None = None) -> DataFrame:

@@ -119,7 +119,12 @@ def modes_map(df: DataFrame, cols):
     with no values are absent from the map.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])
-    counts = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-                .groupBy("k", "v").agg(F.count(F.lit(1)).alias("_cnt")))
+    return modes_of_counts(df.select(F.inline(pairs)).where(F.col("v").isNotNull())
+                             .groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def modes_of_counts(counts):
+    """Modes from (k, v, n) counts, which may come in several parts; ties go to the smallest value."""
+    counts = counts.groupBy("k", "v").agg(F.sum("n").alias("_cnt"))
     best = counts.groupBy("k").agg(F.min_by("v", F.struct(-F.col("_cnt"), F.col("v"))).alias("mode"))
     return best.agg(F.map_from_entries(F.collect_list(F.struct("k", "mode")))).scalar()

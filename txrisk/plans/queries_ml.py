@@ -23,7 +23,7 @@ from txrisk.plans import queries as Q
 from txrisk.plans import queries_eval as QE
 from txrisk.plans.registry import register
 from txrisk.plans.scoring import history_context_features
-from txrisk.session import scratch_path
+from txrisk.session import persist_shared, scratch_path
 from txrisk.sources import adapter as A
 from txrisk.sources import io as IO
 
@@ -130,7 +130,7 @@ def q_test_metadata(spark, sf):
 # --------------------------------------------------------------- models (T)
 
 def encoded(spark, sf):
-    sp = split_table(spark, sf).cache()
+    sp = persist_shared(split_table(spark, sf))
     pipe = MP.feature_pipeline(sp.where(F.col("split") == "train"))
     return MP.apply_pipeline(pipe, sp), pipe
 
@@ -264,11 +264,8 @@ def q_score_batch(spark, sf):
 def q_scan(spark, sf):
     path = _scratch(spark, "raw-csv")
     raw = A.raw_transactions(spark, sf)
-    (raw.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).csv(path))
-    df = (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False)
-          .option("ignoreTrailingWhiteSpace", False).schema(IO.all_string_schema(raw.columns)).csv(path))
-    return df
+    IO.write_table(raw, path, fmt="csv")
+    return IO.scan_transactions(spark, path, columns=raw.columns)
 
 
 @register("write_table", sql=f"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextvars
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,14 +22,18 @@ BASE_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              app_name: str = "txrisk", extra: dict | None = None) -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
+              app_name: str = "txrisk", extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
+    """A session with this library's settings; the cluster's own partition count and driver memory
+    stay unless given here (or, for memory, in TXRISK_DRIVER_MEMORY)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("TXRISK_DRIVER_MEMORY", "16g")
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if memory := driver_memory or os.environ.get("TXRISK_DRIVER_MEMORY"):
+        conf["spark.driver.memory"] = memory
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -37,24 +44,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the cluster checkpoint folder (``spark.checkpoint.dir``).
-
-    On a cluster this is a shared folder set by the deployment and is used as
-    is.  Only when it is unset (local tests) do we point it at a scratch folder.
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - no SparkContext on this session kind (e.g. a remote client)
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        return current or (fallback or tempfile.mkdtemp(prefix="txrisk-ckpt-"))
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    path = fallback or tempfile.mkdtemp(prefix="txrisk-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    """Return the folder shared by the cluster (``spark.checkpoint.dir``), or set ``fallback``.
+
+    Only a local master, whose executors are the driver itself, gets a scratch folder of its own
+    where neither is given; a cluster without a shared folder is an error."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or fallback
+    if current is None:
+        master = sc.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="txrisk-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -77,7 +81,8 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
-_PERSISTED: list = []
+#: What the library has persisted for the work of this thread or context, and not yet released.
+_PERSISTED: contextvars.ContextVar[tuple] = contextvars.ContextVar("persisted", default=())
 
 
 def persist_shared(df):
@@ -85,15 +90,15 @@ def persist_shared(df):
     rebuilt from lineage if an executor is lost) and remember it for ``release_shared``."""
     from pyspark import StorageLevel
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(out)
+    _PERSISTED.set((*_PERSISTED.get(), out))
     return out
 
 
 def release_shared() -> int:
-    """Unpersist every intermediate persisted by the library so far (call after the
-    results that use them have been written, e.g. at the end of a micro-batch)."""
-    n = 0
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-        n += 1
-    return n
+    """Unpersist the intermediates that the library persisted for the caller's own thread or context
+    (call after the results that use them have been written); those of others stay."""
+    held = _PERSISTED.get()
+    _PERSISTED.set(())
+    for df in held:
+        df.unpersist()
+    return len(held)

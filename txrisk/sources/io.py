@@ -7,6 +7,7 @@ Parquet (optionally partitioned, e.g. by day) or CSV with a header.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,24 +30,36 @@ METRIC_SCHEMA = T.StructType([
 ])
 
 
+# Texts that stand for a missing value in a text file.
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+#: Text files keep every blank and quote of a value.
+CSV_OPTIONS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quote": '"', "escape": '"',
+               "timestampFormat": "yyyy-MM-dd HH:mm:ss", "emptyValue": ""}
+
+
 def all_string_schema(columns=RAW_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def scan_transactions(spark: SparkSession, path: str, fmt: str = "csv", columns=None) -> DataFrame:
+def scan_transactions(spark: SparkSession, path: str, fmt: str = "csv", columns=None,
+                      missing=tuple(MISSING_TEXTS), order_col: str | None = None) -> DataFrame:
     """Read a transaction file with a header, every column as text.
 
     A missing path raises ``AnalysisException`` (PATH_NOT_FOUND).  For CSV the
-    header decides the columns; pass ``columns`` to pin them.
+    header decides the columns; pass ``columns`` to pin them.  Texts that stand for
+    a missing value become NULL (``missing=()`` keeps them).  ``order_col`` adds the
+    position of each row in the input, by which results can be put back in order.
     """
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        if columns is not None:
-            return reader.schema(all_string_schema(columns)).csv(path)
-        header = spark.read.option("header", True).csv(path).columns  # schema only, no inference
-        return reader.schema(all_string_schema(header)).csv(path)
-    df = spark.read.format(fmt).load(path)
-    return df.select(*[F.col(c).cast("string") for c in df.columns])
+        reader = spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE")
+        names = columns if columns is not None else reader.csv(path).columns  # header only, no inference
+        df = reader.schema(all_string_schema(names)).csv(path)
+    else:
+        df = spark.read.format(fmt).load(path)
+    texts = [F.col(c).cast("string") for c in df.columns]
+    out = df.select(*[F.when(~t.isin(list(missing)), t).alias(c) if missing else t.alias(c) for c, t in zip(df.columns, texts)])
+    return out.withColumn(order_col, F.monotonically_increasing_id()) if order_col else out
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,
@@ -56,7 +69,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV_OPTIONS).csv(path)
     else:
         w.format(fmt).save(path)
     return path
@@ -67,7 +80,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
-        return r.option("header", True).csv(path)
+        return r.options(**CSV_OPTIONS).csv(path)
     return r.format(fmt).load(path)
 
 
@@ -97,14 +110,6 @@ def risk_policy(spark: SparkSession, path: str | None = None) -> DataFrame:
         F.coalesce("high_risk_threshold", F.lit(X.DEFAULT_HIGH_RISK_THRESHOLD)).alias("high_risk_threshold"))
 
 
-def write_policy(spark: SparkSession, path: str, low: float, high: float, model_path: str | None = None) -> str:
-    spark.range(1).select(F.lit(model_path).cast("string").alias("model_path"),
-                          F.lit(float(low)).alias("low_risk_threshold"),
-                          F.lit(float(high)).alias("high_risk_threshold")) \
-        .coalesce(1).write.mode("overwrite").json(path)
-    return path
-
-
 # Fallback order of stored models / metrics (fixed values).
 MODEL_FALLBACK = ["random_forest_tuned", "random_forest", "baseline"]
 
@@ -118,26 +123,33 @@ def save_metrics(df_long: DataFrame, path: str, mode: str = "append") -> str:
 
 def load_model_metrics(spark: SparkSession, path: str, model_name: str | None = None,
                        fallback=MODEL_FALLBACK) -> DataFrame:
-    """S4 (lookup): metrics of the stored model named ``model_name``; else of the
-    longest stored name contained in it (keyword match); else of the first
-    stored model in the fallback order."""
+    """S4 (lookup): metrics of the stored model named ``model_name``; else of the model its name
+    speaks of ("tuned": the tuned forest; "rf" or "random_forest": the forest; anything else: the
+    baseline); else, where that is not stored, of the first stored one in the fallback order."""
     m = spark.read.schema(METRIC_SCHEMA).parquet(path)
     prio = F.create_map(*[x for i, n in enumerate(fallback) for x in (F.lit(n), F.lit(i))])
-    name = F.lit(model_name or "")
-    rank = (F.when(F.col("model") == name, F.lit(0))
-             .when(name.contains(F.col("model")), F.lit(1_000_000) - F.length("model"))
-             .otherwise(F.lit(2_000_000) + F.coalesce(prio[F.col("model")], F.lit(len(fallback)))))
+    name = model_name or ""
+    meant = ("random_forest_tuned" if "tuned" in name else
+             "random_forest" if "rf" in name or "random_forest" in name else "baseline" if name else "")
+    rank = (F.when(F.col("model") == name, F.lit(0)).when(F.col("model") == meant, F.lit(1))
+             .otherwise(F.lit(2) + F.coalesce(prio[F.col("model")], F.lit(len(fallback)))))
     best = m.select(F.min(rank)).scalar()
     return m.where(rank == best)
 
 
+def stored_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``, or None if there is none yet; any other failure to read it is raised."""
+    try:
+        df = read_table(spark, path, fmt)
+        df.schema  # resolves the path
+        return df
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def scan_history(spark: SparkSession, path: str | None, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """Optional history table; absent or unreadable -> empty frame (cold start)."""
-    if path:
-        try:
-            df = read_table(spark, path, fmt)
-            df.schema
-            return df
-        except Exception:  # noqa: BLE001 - cold start, as in the reference
-            pass
-    return spark.createDataFrame([], schema)
+    """Optional history table; absent -> empty frame (cold start)."""
+    stored = stored_table(spark, path, fmt) if path else None
+    return stored if stored is not None else spark.createDataFrame([], schema)

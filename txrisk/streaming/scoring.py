@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.functions import expressions as X
-from txrisk.plans.scoring import history_context_features
+from txrisk.plans.scoring import category_counts, history_context_features
 from txrisk.session import release_shared
+from txrisk.sources.io import stored_table
 
 
 def _append_epoch(df: DataFrame, path: str, epoch_id: int, partition_by=()) -> None:
@@ -32,14 +33,17 @@ def score_micro_batch(batch: DataFrame, epoch_id: int, history_path: str, output
                       high=X.DEFAULT_HIGH_RISK_THRESHOLD) -> None:
     """Features in history context -> probability -> score and tier; then grow the history."""
     spark = batch.sparkSession
-    try:
-        history = spark.read.parquet(history_path).drop("epoch")   # keeps `day` for pruning
-        history.schema
-    except Exception:  # noqa: BLE001 - first epoch: no history yet
-        history = None
-    # exclude_overlap: a replayed epoch must not see its own rows as history
+    counts_path = f"{history_path.rstrip('/')}_category_counts"
+    history = stored_table(spark, history_path)
+    counts = stored_table(spark, counts_path)
+    if history is not None:
+        history = history.where(F.col("epoch") != int(epoch_id)).drop("epoch")   # keeps `day` for pruning
+    if counts is not None:
+        counts = counts.where(F.col("epoch") != int(epoch_id))
+    batch = batch.persist()      # read for its bounds, its features and the history
+    # exclude_overlap: rows sent again in a later epoch must not count twice
     # (the anti join runs after the history is pruned to the 30-day reach).
-    feats = history_context_features(batch, history, ts_col=ts_col, exclude_overlap=True)
+    feats = history_context_features(batch, history, ts_col=ts_col, exclude_overlap=True, history_counts=counts)
     scored = score_fn(feats)
     out = scored.select(*batch.columns, "prediction", "probability",
                         X.risk_score("probability").alias("risk_score"),
@@ -48,7 +52,10 @@ def score_micro_batch(batch: DataFrame, epoch_id: int, history_path: str, output
     _append_epoch(out, output_path, epoch_id)
     # History partitioned by day, so the next batches read only the days in reach.
     _append_epoch(batch.withColumn("day", F.to_date(ts_col).cast("string")), history_path, epoch_id, ["day"])
-    release_shared()      # intermediates of this epoch are no longer needed
+    # Value counts beside the history: a mode needs no scan of it.
+    _append_epoch(category_counts(batch), counts_path, epoch_id)
+    batch.unpersist()
+    release_shared()      # what this epoch's operators kept
 
 
 def start_scoring_stream(spark: SparkSession, source_path: str, schema, history_path: str, output_path: str,
