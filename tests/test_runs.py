@@ -24,6 +24,11 @@ def test_training_then_prediction(spark, tmp_path):
     summary = prediction_run(spark, src, out, str(tmp_path / "scored"), model_name="baseline").collect()[0]
     assert summary.processed == batch.count()
     assert summary.high_risk + summary.medium_risk + summary.low_risk == summary.processed
+    # in the order of the input, by the selected model unless told otherwise
+    prediction_run(spark, src, out, str(tmp_path / "scored_best"))
+    ids = lambda path: [r.transaction_id for r in spark.read.option("header", True).csv(path).collect()]
+    assert ids(str(tmp_path / "scored_best")) == ids(src)
+    assert spark.read.parquet(out + "/risk_summary").count() == 1
     # with a stricter policy file and the clean training history as context
     policy = tmp_path / "policy.json"
     policy.write_text('{"low_risk_threshold": 0.01, "high_risk_threshold": 0.02}')

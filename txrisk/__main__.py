@@ -21,7 +21,8 @@ def main(argv=None) -> None:
     p.add_argument("--input", required=True)
     p.add_argument("--models", required=True, help="folder written by `train`")
     p.add_argument("--output", required=True)
-    p.add_argument("--model", default="baseline", choices=["baseline", "random_forest", "random_forest_tuned"])
+    p.add_argument("--model", default=None, choices=["best", "baseline", "random_forest", "random_forest_tuned"],
+                   help="default: the selected model, else the tuned forest, else the forest")
     p.add_argument("--history", default=None, help="Parquet table of earlier clean transactions")
     p.add_argument("--policy", default=None, help="JSON risk policy (thresholds)")
     ap.add_argument("--master", default=None, help="Spark master (default: from the environment)")
