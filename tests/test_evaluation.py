@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from txrisk.operators import evaluation as EV
 from txrisk.operators import risk as RK
@@ -123,3 +124,22 @@ def test_release_shared_unpersists_library_intermediates(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() >= 1
     assert release_shared() >= 1
     assert release_shared() == 0
+
+
+def test_bottom_heavy_scores_are_split_evenly(spark):
+    """Nearly all scores of a rare-event model lie close to zero; buckets follow ranks, so none is hot."""
+    n = 6000
+    df = spark.range(n).select(F.when(F.col("id") % 41 == 0, 1).otherwise(0).alias("label"),
+                               (F.pow(F.rand(3), 12) + F.when(F.col("id") % 41 == 0, 0.01).otherwise(0.0)).alias("probability"),
+                               (F.col("id") % 2).alias("model"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    sc = EV.score_counts(df, by=["model"], buckets=16, keep_bucket=True)
+    sizes = [r["count"] for r in sc.groupBy("_b").count().collect()]
+    assert max(sizes) < 4 * n / 16
+    rows = df.collect()
+    for m in (0, 1):
+        pos = [r.probability for r in rows if r.model == m and r.label == 1]
+        neg = [r.probability for r in rows if r.model == m and r.label == 0]
+        want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+        got = EV.roc_auc(df, by=["model"]).where(F.col("model") == m).first().roc_auc
+        assert abs(got - want) < 1e-12

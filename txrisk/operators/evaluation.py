@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from txrisk.functions import expressions as X
 from txrisk.session import persist_shared
 
-SCORE_BUCKETS = 4096
 
 
 def _by(by):
@@ -88,12 +87,13 @@ def classification_report(df: DataFrame, label_col: str = "label", pred_col: str
 
 
 def score_counts(df: DataFrame, label_col: str = "label", score_col: str = "probability",
-                 by=None, buckets: int = SCORE_BUCKETS, keep_bucket: bool = False) -> DataFrame:
+                 by=None, buckets: int | None = None, keep_bucket: bool = False) -> DataFrame:
     """Per (group, distinct score): ``pos, neg`` and running totals in both directions.
 
     ``cum_pos_ge / cum_neg_ge`` count rows with score >= s (descending sweep),
     ``neg_lt`` counts negatives with score < s.  Running totals are taken per
-    (group, score bucket) and offset by the totals of higher buckets.
+    (group, score bucket) and offset by the totals of higher buckets.  ``buckets``:
+    ranges of the scores, by default the shuffle partitions.
     """
     by = _by(by)
     s = F.col(score_col).cast("double")
@@ -101,12 +101,11 @@ def score_counts(df: DataFrame, label_col: str = "label", score_col: str = "prob
            .groupBy(*by, s.alias("score"))
            .agg(F.count_if(F.col(label_col) == 1).alias("pos"),
                 F.count_if(F.col(label_col) != 1).alias("neg")))
-    # Three consumers below (running sums, bucket totals, group totals); the
-    # adaptive planner does not share their identical exchange, so the per-score
-    # aggregate is persisted: the scored table is scanned once per query.
-    d = persist_shared(d)
-    # Buckets: monotone in the score; probabilities in [0, 1] spread over `buckets`.
-    d = d.withColumn("_b", F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(-1)), F.lit(buckets)))
+    # Buckets by rank: ranges of (group, score) with about equal numbers of distinct scores, however the
+    # scores lie; their numbers rise with the score inside a group.  Two consumers below (running sums,
+    # bucket totals) must see the same buckets, so the ranged aggregate is persisted.
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = persist_shared(d.repartitionByRange(n, *by, "score").withColumn("_b", F.spark_partition_id()))
     within = (Window.partitionBy(*by, "_b").orderBy(F.desc("score"))
               .rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("_wp", F.sum("pos").over(within)).withColumn("_wn", F.sum("neg").over(within))
@@ -115,18 +114,13 @@ def score_counts(df: DataFrame, label_col: str = "label", score_col: str = "prob
               .rowsBetween(Window.unboundedPreceding, -1))
     tot = tot.select(*by, "_b",
                      F.coalesce(F.sum("_bp").over(higher), F.lit(0)).alias("_op"),
-                     F.coalesce(F.sum("_bn").over(higher), F.lit(0)).alias("_on"))
-    tots = Window.partitionBy(*by)
+                     F.coalesce(F.sum("_bn").over(higher), F.lit(0)).alias("_on"),
+                     F.sum("_bp").over(Window.partitionBy(*by)).alias("n_pos"),
+                     F.sum("_bn").over(Window.partitionBy(*by)).alias("n_neg"))
     out = d.join(tot, by + ["_b"]).select(
         *by, *(["_b"] if keep_bucket else []), "score", "pos", "neg",
         (F.col("_wp") + F.col("_op")).alias("cum_pos_ge"),
-        (F.col("_wn") + F.col("_on")).alias("cum_neg_ge"))
-    totals = d.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    if by:
-        out = out.join(totals, by)
-    else:   # single group: the totals are scalar subqueries
-        out = out.select("*", totals.select("n_pos").scalar().alias("n_pos"),
-                         totals.select("n_neg").scalar().alias("n_neg"))
+        (F.col("_wn") + F.col("_on")).alias("cum_neg_ge"), "n_pos", "n_neg")
     return out.withColumn("neg_lt", F.col("n_neg") - F.col("cum_neg_ge"))
 
 
