@@ -2,7 +2,8 @@
 
 An archive is a folder with two tables:
 
-* ``payloads`` (digest, size, payload): one row for each distinct payload, addressed by SHA-256;
+* ``payloads`` (digest, records, size, payload): one row for each distinct payload, addressed by
+  SHA-256, with the number of records that name it;
 * ``records`` (page_id, record_type, refers_to, header, digest): for each page its exact WARC
   record header, the blank line that ends it included, and the address of its payload.
 
@@ -76,7 +77,8 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     typed.select("page_id", "record_type", "refers_to", header.alias("header"), "digest").write.parquet(f"{path}/records")
 
     # one copy of each payload: copies are dropped before the shuffle, and again after it
-    sized.select("digest", "size", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    sized.groupBy("digest").agg(F.count("*").alias("records"), F.first("size").alias("size"),
+                                F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -84,11 +86,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     payload is the full one, of a revisit too."""
     records = spark.read.parquet(f"{path}/records")
     payloads = spark.read.parquet(f"{path}/payloads")
-    rows = records.groupBy("digest").agg(F.count("*").alias("rows"))
-    stored = payloads.join(rows, "digest")
-    total = records.count()
-    # the join by address; an address that many records name is served apart from the others
-    return join_hot(records, stored.select("digest", "rows", "size", "payload"), "digest", total, "rows")
+    total = payloads.agg(F.sum("records")).first()[0] or 0
+    # the join by address; an address that many records name is dealt over several tasks
+    return join_hot(records, payloads, "digest", total, "records")
 
 
 def record_bytes(record_type: Column, header: Column, payload: Column) -> Column:
