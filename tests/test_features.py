@@ -94,4 +94,4 @@ def test_velocity_plan_has_one_exchange_and_one_scan(spark, sf_small):
     for method in ("sliced", "events"):
         shape = plan(FE.velocity_features(o, ts_col="ts", method=method))
         assert len(re.findall(r"Exchange hashpartitioning", shape)) == len(re.findall(r"Exchange hashpartitioning", plan(o))) + 1
-        assert shape.count("FileScan") == plan(o).count("FileScan") and "InMemory" not in shape
+        assert shape.count("FileScan") == plan(o).count("FileScan") and "InMemoryTableScan" not in shape

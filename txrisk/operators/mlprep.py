@@ -114,14 +114,17 @@ def standard_scale(df: DataFrame, stats: DataFrame, cols=ENGINEERED_NUMERIC, suf
 
 
 def category_levels(train: DataFrame, cols=ENGINEERED_CATEGORICAL, max_levels: int = MAX_LEVELS) -> dict:
-    """Sorted distinct levels per categorical column, fetched with a checked bound."""
-    levels = {}
-    for c in cols:
-        vals = [r[0] for r in train.select(F.col(c).cast("string").alias(c)).where(F.col(c).isNotNull())
-                .distinct().orderBy(c).limit(max_levels + 1).collect()]
+    """Sorted distinct levels per categorical column, of all columns in one pass.
+
+    A column of more than ``max_levels`` levels is an error; that many a column reach the driver."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])
+    each = train.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
+    first = Window.partitionBy("k").orderBy("v")
+    rows = each.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= max_levels + 1).select("k", "v").collect()
+    levels = {c: sorted(r.v for r in rows if r.k == c) for c in cols}
+    for c, vals in levels.items():
         if len(vals) > max_levels:
             raise ValueError(f"{c}: more than {max_levels} levels; use hashing instead")
-        levels[c] = vals
     return levels
 
 

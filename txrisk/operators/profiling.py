@@ -150,7 +150,7 @@ def amount_box_stats(df: DataFrame, value_col: str = "amount", label_col: str =
     q = q.select(label_col, "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
                  F.col("q_2").alias("q3"))
     v = F.col(value_col).cast("double")
-    j = df.select(label_col, v.alias("_x")).where(F.col("_x").isNotNull()).join(q, label_col)
+    j = stats.join_groups(df.select(label_col, v.alias("_x")).where(F.col("_x").isNotNull()), q, [label_col], "_x")
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     agg = j.groupBy(label_col, "n", "q1", "median", "q3").agg(

@@ -6,7 +6,8 @@ task: an approximate sketch (``percentile_approx``) brackets each target rank
 in a narrow value band, rows are then counted per distinct value inside the
 band only, and the exact order statistic is read off a running count.  The
 band holds about ``4 / accuracy`` of the group's rows (all ties of one value
-collapse into one counted row), so memory stays bounded for any group size.
+collapse into one counted row).  Whether the band holds the target ranks is
+checked on the counts; a band that does not is an error, never a wrong value.
 
 ``modes`` returns the most frequent value with ties going to the smallest,
 from a partial-aggregated value count.
@@ -20,6 +21,17 @@ from pyspark.sql import functions as F
 DEFAULT_ACCURACY = 100_000
 
 
+#: Tasks over which one group's rows are dealt where small per-group facts are joined to them.
+SALTS = 32
+
+
+def join_groups(big: DataFrame, small: DataFrame, by, value_col: str, salts: int = SALTS) -> DataFrame:
+    """Inner join of rows to the few rows of their group, dealt over ``salts`` tasks a group by value."""
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(value_col), F.lit(salts)))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return dealt.join(spread, [*by, "_salt"]).drop("_salt")
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs, by=None,
                     accuracy: int = DEFAULT_ACCURACY, prefix: str = "q") -> DataFrame:
     """One row per group: ``n`` and ``{prefix}_{i}`` = exact quantile ``probs[i]``.
@@ -56,7 +68,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, by=None,
                          F.when(wide_enough, F.col("_b.lo")).otherwise(F.lit(float("-inf"))).alias("_blo"),
                          F.when(wide_enough, F.col("_b.hi")).otherwise(F.lit(float("inf"))).alias("_bhi"))
     # Ungrouped: bands has len(probs) rows, a proven bound, so it is broadcast.
-    joined = base.join(bands, by) if grouped else base.join(F.broadcast(bands), by)
+    joined = join_groups(base, bands, by, "_v") if grouped else base.join(F.broadcast(bands), by)
     # Per (group, prob): rows below the band, and value counts inside the band.
     tagged = joined.where(F.col("_v") <= F.col("_bhi")).select(
         *by, "_pi", "_n",
@@ -76,8 +88,13 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, by=None,
     picked = ranked.groupBy(*by, "_pi").agg(
         F.min(F.when(F.col("_cum") >= F.col("_k0") + 1, F.col("_key"))).alias("_v0"),
         F.min(F.when(F.col("_cum") >= F.col("_k1") + 1, F.col("_key"))).alias("_v1"),
-        F.first("_frac").alias("_frac"))
-    q = picked.withColumn("_q", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac"))
+        F.first("_frac").alias("_frac"),
+        # the band starts at or below the first rank and reaches the second
+        F.bool_and((F.coalesce("_below", F.lit(0)) <= F.col("_k0"))).alias("_starts"),
+        (F.max("_cum") > F.first("_k1")).alias("_reaches"))
+    value = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")
+    q = picked.withColumn("_q", F.when(F.col("_starts") & F.col("_reaches"), value).otherwise(
+        F.raise_error(F.lit("the sketch missed a target rank; raise the accuracy")).cast("double")))
     wide = q.groupBy(*by).pivot("_pi", list(range(len(probs)))).agg(F.first("_q"))
     for i in range(len(probs)):
         wide = wide.withColumnRenamed(str(i), f"{prefix}_{i}")

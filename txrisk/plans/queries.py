@@ -135,26 +135,23 @@ def q_log_amount(spark, sf):
 
 
 SIGNATURE_SRC_SQL = """
-SELECT printf('ORD%010d', o_orderkey) AS transaction_id, CAST(o_orderdate AS TIMESTAMP) AS ts,
-       o_totalprice AS amount,
-       CASE o_orderpriority WHEN '1-URGENT' THEN 'transfer' WHEN '2-HIGH' THEN 'online_retail'
-            WHEN '3-MEDIUM' THEN 'cash_withdrawal' ELSE 'grocery' END AS merchant_category,
-       CASE WHEN o_orderstatus = 'F' THEN 'Chicago, US' ELSE 'London, UK' END AS location
-FROM orders"""
+SELECT printf('EVT%010d', event_id) AS transaction_id, CAST(ts AS TIMESTAMP) AS ts, value * 100 AS amount,
+       CASE event_id % 4 WHEN 0 THEN 'transfer' WHEN 1 THEN 'online_retail' WHEN 2 THEN 'cash_withdrawal' ELSE 'grocery' END
+         AS merchant_category,
+       CASE WHEN user_id % 3 = 0 THEN 'London, UK' ELSE 'Chicago, US' END AS location
+FROM events"""
 
 
 def signature_source(spark, sf):
-    """Orders as transactions with a category (from priority) and a location (from status)."""
-    o = A.table(spark, sf, "orders")
-    return o.select(
-        F.format_string("ORD%010d", F.col("o_orderkey")).alias("transaction_id"),
-        F.col("o_orderdate").cast("timestamp").alias("ts"),
-        F.col("o_totalprice").alias("amount"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "transfer")
-         .when(F.col("o_orderpriority") == "2-HIGH", "online_retail")
-         .when(F.col("o_orderpriority") == "3-MEDIUM", "cash_withdrawal").otherwise("grocery")
-         .alias("merchant_category"),
-        F.when(F.col("o_orderstatus") == "F", "Chicago, US").otherwise("London, UK").alias("location"))
+    """Events as transactions, at all hours, with a category and a location from their numbers."""
+    e = A.table(spark, sf, "events")
+    kind = F.col("event_id") % 4
+    return e.select(
+        F.format_string("EVT%010d", F.col("event_id")).alias("transaction_id"),
+        F.col("ts").cast("timestamp").alias("ts"), (F.col("value") * 100).alias("amount"),
+        F.when(kind == 0, "transfer").when(kind == 1, "online_retail").when(kind == 2, "cash_withdrawal")
+         .otherwise("grocery").alias("merchant_category"),
+        F.when(F.col("user_id") % 3 == 0, "London, UK").otherwise("Chicago, US").alias("location"))
 
 
 @register("threat_signatures", sql=f"""

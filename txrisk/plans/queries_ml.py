@@ -324,12 +324,11 @@ F7_EXTRA = """, lower(regexp_replace(location, '^\\s+|\\s+$', '', 'g')) AS locat
 
 
 def _f7_sql(with_history: bool) -> str:
-    src = A.TRANSACTIONS_SQL if with_history else \
-        f"SELECT * FROM ({A.TRANSACTIONS_SQL}) WHERE ts >= TIMESTAMP '{NEW_FROM}'"
+    new_only = f" WHERE ts >= TIMESTAMP '{NEW_FROM}'" if with_history else ""
     return f"""
 SELECT transaction_id, customer_id, location, is_international, customer_txn_count_30d,
        customer_avg_amount_30d, amount_ratio_to_avg
-FROM ({Q._velocity_sql(src, F7_EXTRA + ", ts")}) WHERE ts >= TIMESTAMP '{NEW_FROM}'"""
+FROM ({Q._velocity_sql(A.TRANSACTIONS_SQL, F7_EXTRA + ", ts")}){new_only}"""
 
 
 F7_COLS = ["transaction_id", "customer_id", "location", "is_international", "customer_txn_count_30d",
@@ -350,9 +349,7 @@ def q_history_context(spark, sf):
 
 @register("scan_history", sql=_f7_sql(False))
 def q_scan_history(spark, sf):
-    """Cold start: the history path does not exist, so the batch is its own context."""
+    """Cold start: the history path does not exist, so the batch, the whole table, is its own context."""
     t = A.transactions(spark, sf)
-    cut = F.lit(NEW_FROM).cast("timestamp")
     history = IO.scan_history(spark, _scratch(spark, "absent-history"), t.schema)
-    batch = t.where(F.col("ts") >= cut)
-    return history_context_features(batch, history, ts_col="ts").select(*F7_COLS)
+    return history_context_features(t, history, ts_col="ts").select(*F7_COLS)
