@@ -11,8 +11,8 @@ bytes; single-byte pieces make every word possible.
 The same pass gives the base score, a unigram over whole words with half a count added.
 
 Work: words are counted in the tasks that read them and summed by a shuffle; each distinct word is
-cut and scored once. Texts meet the scores in two ways. The ``HOT_WORDS`` most frequent words of at
-most ``HOT_BYTES`` bytes, some nine tenths of all occurrences, are broadcast: at most 51 MB of words
+cut and scored once. Texts meet the scores in two ways. The most frequent words of at most ``HOT_BYTES`` bytes,
+``HOT_WORDS`` at most and some nine tenths of all occurrences, are broadcast: 51 MB of words at most
 whatever the corpus. All other words of a text go, counted, through a join by word. Results do not
 depend on which way a word takes, beyond the order of a floating-point sum.
 
@@ -151,6 +151,19 @@ def fit(docs: DataFrame, path: str) -> tuple[DataFrame, dict]:
     return table, {"train_tokens": n, "end_base": base(ends), "end_log": logs[end_piece], "end_known": int(ends > 0)}
 
 
+def _most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` words: those whose count reaches the least step of a scale (eight a doubling) that
+    so many words reach. A row a step comes to the driver, not a list from each task."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, cut = 0, None
+    for r in sorted(words.groupBy(step.alias("s")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["s"]
+    return words.filter(step >= cut) if cut is not None else words.limit(0)
+
+
 def score_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                 hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``df``."""
@@ -158,7 +171,7 @@ def score_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).withColumn(
         "held_out", held_out(F.col("doc_id")))
     words, facts = fit(docs, path)
-    often = words.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
+    often = _most_frequent(words.filter(F.octet_length("word") <= HOT_BYTES), hot_words)
     hot = spark.sparkContext.broadcast({bytes(r["word"]): (r["base"], r["log"], r["c"] > 0) for r in often.collect()})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
