@@ -13,6 +13,7 @@ from txrisk.session import ensure_checkpoint_dir
 BLANKS = " \t\n\x0b\x0c\r"
 #: A key that holds more than one row in this many is dealt over salts: at most that many keys can.
 HOT_SHARE = 2000
+SIFT_BITS = 26
 
 
 def words(text: Column) -> Column:
@@ -59,6 +60,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sift(big: DataFrame, hash_of: Column, small: DataFrame, small_hash: Column) -> DataFrame:
+    """The rows of ``big`` whose hash may be among those of ``small``: all that are, and few others.
+
+    The hashes of ``small`` are laid into a bit map of 2^``SIFT_BITS`` places, at most 2^20 longs and 16
+    MB to broadcast whatever its size, so that rows without a partner need not be shuffled. A full
+    map lets everything pass; a join must follow either way."""
+    place = lambda h: F.pmod(h, F.lit(1 << SIFT_BITS))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))
+    at = small.select(place(small_hash).alias("p"))
+    marks = at.groupBy(F.shiftright("p", 6).alias("_w")).agg(F.bit_or(bit(F.col("p"))).alias("_m"))
+    put = big.withColumn("_p", place(hash_of))
+    met = put.join(F.broadcast(marks), F.shiftright("_p", 6) == F.col("_w"))
+    return met.filter(F.col("_m").bitwiseAND(bit(F.col("_p"))) != 0).select(*big.columns)
+
+
 def join_hot(big: DataFrame, small: DataFrame, key: str, rows: int, count: str) -> DataFrame:
     """Left join of ``big`` to ``small`` (one row a key) where a few keys may hold most rows.
 

@@ -28,13 +28,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import fresh, join_hot, wide_hash, words, written
+from txrisk.llm.common import fresh, join_hot, sift, wide_hash, words, written
 
 MIN_NEAR_WORDS = 8
+#: Variants that a task gives out together.
+ROWS_AT_ONCE = 200_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -55,6 +59,46 @@ def _half_keys(w: Column) -> Column:
     return F.array(*halves(n), *halves(n - 1))
 
 
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, v, i): the line whole (i = 0) and less its word i, as 128-bit hashes.
+
+    A hash is the exclusive or of hashes of (place, word), so all variants of a line follow from sums
+    from its front and from its back: time in proportion to its words."""
+    cid, v, i, held = [], [[], []], [], 0
+
+    def flush() -> pa.RecordBatch:
+        x, y = (pa.array(np.concatenate(s).view(np.int64)) for s in v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cid)), pa.StructArray.from_arrays([x, y], ["x", "y"]),
+                                           pa.array(np.concatenate(i))], ["cid", "v", "i"])
+
+    for b in batches:
+        for c, line in zip(b["cid"].to_pylist(), b["line"].to_pylist()):
+            parts = line.split(b" ")
+            n = len(parts)
+            place = np.arange(n, dtype=np.uint64)
+            for side in (0, 1):
+                h = np.array([xxhash.xxh3_64_intdigest(p, side) for p in parts], np.uint64)
+                here, left = _mix(h, place + np.uint64(1)), _mix(h, place)      # in place; moved up by one
+                front = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(here)))
+                back = np.concatenate((np.bitwise_xor.accumulate(left[::-1])[::-1], [np.uint64(0)]))
+                v[side].append(np.concatenate((front[-1:], front[:-1] ^ back[1:])))
+            cid.append(np.full(n + 1, c, np.int64))
+            i.append(np.arange(n + 1, dtype=np.int32))
+            held += n + 1
+            if held >= ROWS_AT_ONCE:
+                yield flush()
+                cid, v, i, held = [], [[], []], [], 0
+    if cid:
+        yield flush()
+
+
+def _mix(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hash of (word hash, place): a round of multiplications and shifts."""
+    z = (h ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(29))
+
+
 def _one_edit(a: Column, b: Column) -> Column:
     """Whether word arrays ``a`` and ``b`` are one word edit apart, or equal."""
     same = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
@@ -63,28 +107,28 @@ def _one_edit(a: Column, b: Column) -> Column:
         after(a, same) == after(b, same + 1))
 
 
-def _near(lines: DataFrame, first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+def _near(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """(h): distinct lines that have an earlier line within one edit."""
     halves = lines.filter(F.col("n") >= min_words).select("h", "h64", F.explode("halves").alias("key"))
     shared = halves.groupBy("key").agg(F.min("h64").alias("a"), F.max("h64").alias("b"), F.count("*").alias("rows"))
-    shared = shared.filter(F.col("a") != F.col("b")).select("key", "rows", F.lit(True).alias("met"))
+    shared = written(shared.filter(F.col("a") != F.col("b")).select("key", "rows", F.lit(True).alias("met")), "line-halves")
     total = lines.count() * 4
+    some = sift(halves.select("h", "key"), F.col("key"), shared, F.col("key"))
+    maybe = written(join_hot(some, shared, "key", total, "rows").filter("met").select("h").distinct(), "line-maybe")
     # where each line that may have a neighbour first stands; ids follow the order of the corpus
-    maybe = join_hot(halves.select("h", "key"), shared, "key", total, "rows").filter("met").select("h").distinct()
+    where = sift(lines.select("h", "doc_id", "th", "no"), F.xxhash64("h"), maybe, F.xxhash64("h"))
+    first = where.groupBy("h").agg(F.min(F.struct("doc_id", "th", "no")).alias("at"))
     placed = written(first.join(maybe, "h").select("h", "at.*"), "line-candidates")
     ordered = written(placed.orderBy("doc_id", "th", "no").select("*", F.monotonically_increasing_id().alias("cid")),
                       "line-order")
-    wanted = ordered.groupBy("doc_id", "th").agg(F.collect_list(F.struct("no", "cid", "h")).alias("want"))
+    wanted = written(ordered.groupBy("doc_id", "th").agg(F.collect_list(F.struct("no", "cid", "h")).alias("want")), "line-wanted")
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["th"] == wanted["th"])
-    once = docs.join(wanted, same).select(F.split("text", "\n").alias("all"), "want").select(
+    some = sift(docs, F.xxhash64("doc_id", "th"), wanted, F.xxhash64("doc_id", "th"))
+    once = some.join(wanted, same).select(F.split("text", "\n").alias("all"), "want").select(
         F.explode("want").alias("c"), "all").select("c.cid", "c.h", words(F.get("all", F.col("c.no"))).alias("w"))
     cands = written(once.dropDuplicates(["cid"]), "line-words")
-
-    less = F.transform("w", lambda x, i: F.struct(
-        wide_hash(F.array_join(F.concat(F.slice("w", 1, i), F.slice("w", i + 2, F.size("w"))), " ")).alias("v"),
-        (i + 1).alias("i")))
-    whole = F.array(F.struct(wide_hash(F.array_join("w", " ")).alias("v"), F.lit(0).alias("i")))
-    keys = cands.select("cid", F.inline(F.concat(whole, less)))
+    keys = cands.select("cid", F.to_binary(F.array_join("w", " "), F.lit("utf-8")).alias("line")).mapInArrow(
+        _variants, "cid long, v struct<x: long, y: long>, i int")
     groups = written(keys.groupBy("v", "i").agg(F.min("cid").alias("m"), F.max("cid").alias("x"), F.count("*").alias("rows")),
                      "line-variants")
     of_v = groups.groupBy("v").agg(F.min(F.when(F.col("i") == 0, F.col("m"))).alias("z"),
@@ -93,9 +137,10 @@ def _near(lines: DataFrame, first: DataFrame, docs: DataFrame, min_words: int) -
         F.struct("v", "i").alias("key"), "rows", "x",
         F.when(F.col("i") == 0, F.col("d")).otherwise(F.least("m", "z")).alias("keeper"))
     # a group none of whose lines has an earlier partner has no say
-    reach = reach.filter(F.col("keeper") < F.col("x")).drop("x")
+    reach = written(reach.filter(F.col("keeper") < F.col("x")).drop("x"), "line-reach")
     total = groups.agg(F.sum("rows")).first()[0] or 0
-    hits = join_hot(keys.select("cid", F.struct("v", "i").alias("key")), reach, "key", total, "rows")
+    some = sift(keys.select("cid", F.struct("v", "i").alias("key")), F.xxhash64("key"), reach, F.xxhash64("key"))
+    hits = join_hot(some, reach, "key", total, "rows")
     pairs = hits.filter(F.col("keeper") < F.col("cid")).select("cid", "keeper").distinct()
     mine = cands.select("cid", "h", F.col("w").alias("a"))
     theirs = cands.select(F.col("cid").alias("keeper"), F.col("w").alias("b"))
@@ -128,10 +173,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "th", "no", wide_hash(text).alias("h"), F.xxhash64(text).alias("h64"), F.size("w").alias("n"),
         F.when(F.size("w") >= min_near_words, _half_keys(F.col("w"))).alias("halves")), "lines")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "th", "no")).alias("at"), F.count("*").alias("rows"))
-    near = _near(lines, first, docs, min_near_words).select("h", F.lit(True).alias("near"))
-    firsts = first.join(near, "h", "left").filter((F.col("rows") > 1) | F.col("near"))
+    near = _near(lines, docs, min_near_words).select("h", F.lit(True).alias("near"))
+    # of lines that stand once and have no neighbour nothing is dropped
+    told = written(first.filter(F.col("rows") > 1).join(near, "h", "full").withColumn("rows", F.coalesce("rows", F.lit(1))), "line-told")
     total = lines.count()
-    marked = join_hot(lines.select("doc_id", "th", "no", "h"), firsts, "h", total, "rows").filter(F.col("at").isNotNull())
+    some = sift(lines.select("doc_id", "th", "no", "h"), F.xxhash64("h"), told, F.xxhash64("h"))
+    marked = join_hot(some, told, "h", total, "rows").filter(F.col("at").isNotNull() | F.col("near"))
     here = F.struct("doc_id", "th", "no")
     gone = marked.filter(F.col("near") | ~here.eqNullSafe(F.col("at")))
     drops = written(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("no")).alias("_nos")), "line-drops")
