@@ -1,21 +1,20 @@
 """Token ids in binary files of patched frame-of-reference (PFOR) blocks.
 
 Layout: a folder of Parquet part files, written by Spark so that a task that runs again cannot leave
-a torn file. A row is a segment: the ids of consecutive documents in id order, at most
-``SEGMENT_IDS`` of them (a longer document goes on in the next segments).
+a torn file. A row is a segment: the ids of consecutive documents in id order, whole documents up to
+``SEGMENT_IDS`` ids together; a longer document is cut into segments of its own.
 
-* ``shard``, ``segment``: place of the segment in the order of the corpus; ``first``: ids of the
-  same shard before it;
-* ``n_ids`` and ``blocks``: the ids, in blocks of ``BLOCK`` = 256 (the last may be shorter), end to end;
+* ``shard``, ``first``: range of the corpus, and ids of the same shard before the segment;
+* ``n_ids`` and ``blocks``: the ids, in blocks of ``BLOCK`` = 256 (the last is filled up with its minimum);
 * ``starts``: where each block starts in ``blocks`` (little-endian unsigned 32-bit numbers), so that one
   block can be read alone;
-* ``doc_ids``, ``doc_lens``, ``doc_more``: for each document with ids here its id, its ids here, and whether
-  it goes on in the next segment.
+* ``doc_ids``, ``doc_lens``: the documents of the segment and their numbers of ids;
+* ``cut``: whether the segment is a piece of one document, which starts at ``doc_first`` in the shard.
 
 A block is: u32 minimum, u8 width, u8 number of exceptions, the values less the minimum in ``width``
-bits each (little-endian bit order; exceptions keep their low bits here), then for each exception its
-u8 place and u32 value less the minimum. The width is the smallest that holds the values up to the
-``PERCENTILE`` one, or wider where that makes the block shorter.
+bits each (little-endian bit order; exceptions keep their low bits here), then the places of the
+exceptions (u8 each) and their values less the minimum (u32 each). The width is at least that of
+the ``PERCENTILE`` value, and from there the one that makes the block shortest.
 
 Null and empty texts have just the end id. Rows with the same id stand side by side, shortest first;
 equal ones are interchangeable; null ids come first. Other columns play no part.
@@ -23,8 +22,11 @@ equal ones are interchangeable; null ids come first. Other columns play no part.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,131 +38,157 @@ from txrisk.llm.common import written
 BLOCK = 256
 SEGMENT_IDS = 1 << 16
 PERCENTILE = 0.9
-#: Words remembered by a worker before it starts afresh.
-MEMORY = 500_000
+#: Words in one generation of a worker's memory, and texts encoded together.
+MEMORY, TEXTS_AT_ONCE = 600_000, 500
 
-SEGMENT = ("shard int, segment int, first long, n_ids int, doc_ids array<long>, doc_lens array<int>, "
-           "doc_more array<boolean>, starts binary, blocks binary")
+SEGMENT = ("shard int, first long, n_ids int, doc_ids array<long>, doc_lens array<int>, cut boolean, doc_first long, "
+           "starts binary, blocks binary")
+_ARROW = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
+                    ("doc_lens", pa.list_(pa.int32())), ("cut", pa.bool_()), ("doc_first", pa.int64()),
+                    ("starts", pa.binary()), ("blocks", pa.binary())])
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
     """(blocks, starts) of an array of ids."""
-    out, starts, at = [], [], 0
-    for i in range(0, len(ids), BLOCK):
-        v = ids[i:i + BLOCK].astype(np.uint32)
-        low = int(v.min())
-        v = v - np.uint32(low)
-        bits = np.ceil(np.log2(v.astype(np.float64) + 1)).astype(np.int64)
-        least = int(np.partition(bits, int(PERCENTILE * (len(v) - 1)))[int(PERCENTILE * (len(v) - 1))])
-        over = np.bincount(bits, minlength=33)[::-1].cumsum()[::-1]        # values of at least so many bits
-        width = min(range(least, 33), key=lambda w: len(v) * w + 40 * (over[w + 1] if w < 32 else 0))
-        late = np.flatnonzero(bits > width)
-        if len(late) > 255:
-            width, late = int(bits.max()), late[:0]
-        lows = (v[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-        part = b"".join((np.uint32(low).tobytes(), bytes((width, len(late))),
-                         np.packbits(lows.astype(np.uint8).ravel(), bitorder="little").tobytes(),
-                         late.astype(np.uint8).tobytes(), v[late].astype("<u4").tobytes()))
-        starts.append(at)
-        out.append(part)
-        at += len(part)
-    return b"".join(out), np.array(starts, "<u4").tobytes()
+    if not len(ids):
+        return b"", b""
+    n = -(-len(ids) // BLOCK)
+    v = np.concatenate((ids, np.full(n * BLOCK - len(ids), ids[(n - 1) * BLOCK:].min()))).astype(np.uint32).reshape(n, BLOCK)
+    low = v.min(1)
+    v = v - low[:, None]
+    bits = np.ceil(np.log2(v.astype(np.float64) + 1)).astype(np.int64)
+    by_bits = np.bincount((bits + 34 * np.arange(n)[:, None]).ravel(), minlength=34 * n).reshape(n, 34)
+    upto = by_bits.cumsum(1)
+    size = np.arange(34) * BLOCK + 40 * (BLOCK - upto)                # bits of a block with that width
+    size[upto < PERCENTILE * BLOCK] = np.iinfo(np.int64).max
+    width = size.argmin(1)
+    packed: list[bytes] = [b""] * n
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        lows = ((v[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        data = np.packbits(lows.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
+        for r, d in zip(rows.tolist(), data):
+            packed[r] = d.tobytes()
+    row, place = np.nonzero(bits > width[:, None])
+    places, values = place.astype(np.uint8).tobytes(), v[row, place].astype("<u4").tobytes()
+    late = np.searchsorted(row, np.arange(n + 1)).tolist()
+    parts = [b"".join((m, bytes((w, b - a)), d, places[a:b], values[4 * a:4 * b])) for m, w, d, a, b in
+             zip((low[k].tobytes() for k in range(n)), width.tolist(), packed, late, late[1:])]
+    starts = np.cumsum([0, *map(len, parts[:-1])])
+    return b"".join(parts), starts.astype("<u4").tobytes()
 
 
 def unpack(blocks: bytes, starts: bytes, n_ids: int) -> np.ndarray:
     """The ids of :func:`pack`."""
-    out = np.empty(n_ids, np.uint32)
-    for k, at in enumerate(np.frombuffer(starts, "<u4").tolist()):
-        n = min(BLOCK, n_ids - k * BLOCK)
-        low = np.frombuffer(blocks, "<u4", 1, at)[0]
-        width, late = blocks[at + 4], blocks[at + 5]
-        size = (n * width + 7) // 8
-        bits = np.unpackbits(np.frombuffer(blocks, np.uint8, size, at + 6), bitorder="little", count=n * width)
-        v = bits.reshape(n, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
-        where = np.frombuffer(blocks, np.uint8, late, at + 6 + size)
-        v[where] = np.frombuffer(blocks, "<u4", late, at + 6 + size + late)
-        out[k * BLOCK:k * BLOCK + n] = v + low
-    return out
-
-
-class _Words(dict):
-    """Ids of the words met so far, forgotten when full."""
-
-    def __init__(self, path: str):
+    at = np.frombuffer(starts, "<u4").astype(np.int64)
+    raw = np.frombuffer(blocks, np.uint8)
+    out = np.empty((len(at), BLOCK), np.uint32)
+    width = raw[at + 4] if len(at) else np.empty(0, np.uint8)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        size = BLOCK * w // 8
+        bits = np.unpackbits(raw[at[rows, None] + 6 + np.arange(size)], axis=1, bitorder="little")
+        out[rows] = bits.reshape(len(rows), BLOCK, w) @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+    for k in np.flatnonzero(raw[at + 5]).tolist() if len(at) else ():
+        late, a = int(raw[at[k] + 5]), int(at[k]) + 6 + BLOCK * int(width[k]) // 8
+        out[k, raw[a:a + late]] = np.frombuffer(blocks, "<u4", late, a + late)
+    if len(at):
+        out += np.ascontiguousarray(raw[at[:, None] + np.arange(4)]).view("<u4")
+    return out.ravel()[:n_ids]
+
+
+class _Words:
+    """Ids of the words met of late, as bytes: two generations, of which the older is forgotten when the
+    younger is full."""
+
+    def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True   # their names in a text are ordinary text
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > MEMORY:
-            self.clear()
-            new = list(set(words))
-        coded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
+        self.kind, self.young, self.old = kind, {}, {}
+        self.plain, self.piece = re.compile(rb"[a-z]+").fullmatch, self.tokenizer.model.tokenize
+
+    def of(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """A table that has at least the words of ``texts``."""
+        new = set(chain.from_iterable(texts)).difference(self.young)
+        if len(self.young) + len(new) > MEMORY:
+            self.old, self.young = self.young, {}
+            new = set(chain.from_iterable(texts))
+        if self.old:
+            self.young.update((w, i) for w in new if (i := self.old.get(w)) is not None)
+            new.difference_update(self.old)
+        # letters a to z pass the normalizer and the splitter as they are: the model can be asked directly
+        plain = [w for w in new if self.plain(w)]
+        self.young.update((w, array(self.kind, [t.id for t in self.piece(w.decode())]).tobytes()) for w in plain)
+        new.difference_update(plain)
+        fresh = list(new)
+        for lo in range(0, len(fresh), 10_000):
+            part = fresh[lo:lo + 10_000]
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.young.update((w, array(self.kind, c.ids).tobytes()) for w, c in zip(part, coded))
+        return self.young
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _words(path: str, kind: str) -> _Words:
+    return _Words(path, kind)
+
+
+def id_kind(path: str, end_id: int) -> str:
+    """Array code of the narrowest unsigned number that holds every id."""
+    from tokenizers import Tokenizer
+    return "H" if max(Tokenizer.from_file(path).get_vocab_size() - 1, end_id) < 1 << 16 else "I"
 
 
-def encode_column(text: Column, path: str, end_id: int) -> Column:
-    """Ids of a text with the end id behind, as little-endian unsigned 32-bit numbers.
+def encode_column(text: Column, path: str, end_id: int, kind: str) -> Column:
+    """Ids of a text with the end id behind, as little-endian unsigned numbers (array code ``kind``).
 
-    The tokenizer drops white space and never looks across it, so a text has the ids of its words
-    one after another; each word is given to the library once as long as it is remembered."""
+    The tokenizer drops white space, never looks across it and lowers all letters, so a text has the
+    ids of its words one after another, A-Z in lower case or not; each word is given to the library
+    once as long as it is remembered."""
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, end = _words(path), np.uint32(end_id).tobytes()
+        known, end, out = _words(path, kind), array(kind, [end_id]).tobytes(), []
         for b in batches:
-            out = []
-            for raw in b.to_pylist():
-                words = raw.split() if raw else []
-                try:
-                    parts = [*map(known.__getitem__, words)]
-                except KeyError:
-                    known.learn(words)
-                    parts = [*map(known.__getitem__, words)]
-                parts.append(end)
-                out.append(b"".join(parts))
+            for lo in range(0, len(b), TEXTS_AT_ONCE):
+                texts = [raw.lower().split() if raw else [] for raw in b.slice(lo, TEXTS_AT_ONCE).to_pylist()]
+                table = known.of(texts)
+                out += [b"".join(map(table.__getitem__, t)) + end for t in texts]
             yield pa.array(out, pa.binary())
+            out = []
     return encode(text.cast("binary"))
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, doc_id, ids) in order, to segments; holds one segment of one shard at a time."""
-    schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()),
-                        ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int32())),
-                        ("doc_more", pa.list_(pa.bool_())), ("starts", pa.binary()), ("blocks", pa.binary())])
-    shard, segment, first, held = None, 0, 0, 0
-    docs, parts = [], []
-
-    def close() -> pa.RecordBatch:
-        ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+def _segments(kind: str):
+    """Rows (shard, doc_id, ids) in order, to segments; holds one segment's documents at a time."""
+    def row(shard, first, docs, ids, doc_first=None) -> pa.RecordBatch:
         blocks, starts = pack(ids)
         return pa.RecordBatch.from_pylist([{
-            "shard": shard, "segment": segment, "first": first, "n_ids": len(ids), "doc_ids": [d for d, _, _ in docs],
-            "doc_lens": [n for _, n, _ in docs], "doc_more": [m for _, _, m in docs], "starts": starts, "blocks": blocks}], schema)
+            "shard": shard, "first": first, "n_ids": len(ids), "doc_ids": [d for d, _ in docs], "doc_lens": [n for _, n in docs],
+            "cut": doc_first is not None, "doc_first": doc_first, "starts": starts, "blocks": blocks}], _ARROW)
 
-    for b in batches:
-        for s, d, raw in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist()):
-            if s != shard:
-                if docs:
-                    yield close()
-                shard, segment, first, held, docs, parts = s, 0, 0, 0, [], []
-            ids = np.frombuffer(raw, "<u4")
-            while len(ids):
-                take = min(len(ids), SEGMENT_IDS - held)
-                docs.append((d, take, take < len(ids)))
-                parts.append(ids[:take])
-                held, ids = held + take, ids[take:]
-                if held == SEGMENT_IDS:
-                    yield close()
-                    segment, first, held, docs, parts = segment + 1, first + held, 0, [], []
-    if docs:
-        yield close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, first, held, docs, parts = None, 0, 0, [], []
+        for b in batches:
+            for s, d, raw in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist()):
+                ids = np.frombuffer(raw, "<u2" if kind == "H" else "<u4")
+                if docs and (s != shard or held + len(ids) > SEGMENT_IDS):
+                    yield row(shard, first, docs, np.concatenate(parts))
+                    first, held, docs, parts = first + held, 0, [], []
+                if s != shard:
+                    shard, first = s, 0
+                if len(ids) > SEGMENT_IDS:
+                    for lo in range(0, len(ids), SEGMENT_IDS):
+                        piece = ids[lo:lo + SEGMENT_IDS]
+                        yield row(shard, first + lo, [(d, len(piece))], piece, first)
+                    first += len(ids)
+                else:
+                    docs.append((d, len(ids)))
+                    parts.append(ids)
+                    held += len(ids)
+        if docs:
+            yield row(shard, first, docs, np.concatenate(parts))
+    return run
 
 
 def write_tokens(df: DataFrame, out_path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
@@ -171,40 +199,46 @@ def write_tokens(df: DataFrame, out_path: str, tokenizer_path: str, end_id: int,
     rows that share an id can be split too. ``shards``: ranges, by default the shuffle partitions."""
     spark = df.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = id_kind(tokenizer_path, end_id)
     coded = written(df.select(F.col(f"`{id_col}`").alias("doc_id"),
-                              encode_column(F.col(f"`{text_col}`"), tokenizer_path, end_id).alias("ids"))
+                              encode_column(F.col(f"`{text_col}`"), tokenizer_path, end_id, kind).alias("ids"))
                     .select("*", F.octet_length("ids").alias("size"), F.monotonically_increasing_id().alias("row")), "token-ids")
     order = [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("row")]
     ranged = coded.repartitionByRange(n, *order).sortWithinPartitions(*order)
     shard = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
-    shard.mapInArrow(_segments, SEGMENT).write.parquet(out_path)
+    shard.mapInArrow(_segments(kind), SEGMENT).write.parquet(out_path)
 
 
 def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments in order of their shard, to documents."""
-    key, part, more = None, [], False
+    """Segments to documents, or to pieces of documents that were cut."""
     for b in batches:
-        rows = []
         for r in b.to_pylist():
-            ids, at = unpack(r["blocks"], r["starts"], r["n_ids"]), 0
-            for d, n, m in zip(r["doc_ids"], r["doc_lens"], r["doc_more"]):
-                if not more:
-                    key, part = (r["shard"], r["first"] + at, d), []
-                part.append(ids[at:at + n])
-                at, more = at + n, m
-                if not m:
-                    rows.append({"shard": key[0], "at": key[1], "doc_id": key[2],
-                                 "ids": np.concatenate(part).astype("<u4").tobytes()})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                ("shard", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())]))
+            ids = unpack(r["blocks"], r["starts"], r["n_ids"])
+            ends = np.cumsum(r["doc_lens"], dtype=np.int64)
+            begins = ends - np.array(r["doc_lens"], np.int64)
+            raw = ids.astype("<u4").tobytes()
+            n = len(ends)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r["shard"]] * n, pa.int32()), pa.array(begins + r["first"]), pa.array(r["doc_ids"], pa.int64()),
+                pa.array([r["doc_first"]] * n, pa.int64()),
+                pa.array([raw[4 * a:4 * z] for a, z in zip(begins.tolist(), ends.tolist())], pa.binary())],
+                ["shard", "at", "doc_id", "doc_first", "ids"])
+
+
+def _joined(pieces: Column) -> Column:
+    @F.arrow_udf("binary")
+    def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([b"".join(p) for p in b.to_pylist()], pa.binary())
+    return join(pieces)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document in the files: its id, how many ids come before it in the
     corpus, and its ids as little-endian unsigned 32-bit numbers.
 
-    The lengths of the shards (a row each) give the shards' starts."""
+    Segments are read where they lie; only documents longer than a segment are put together by a
+    shuffle. The lengths of the shards (a row each) give the shards' starts."""
     files = spark.read.schema(SEGMENT).parquet(path)
     lengths = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     starts, before = [], 0
@@ -212,7 +246,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         starts.append((r["shard"], before))
         before += r["n"]
     base = spark.createDataFrame(starts, "shard int, base long")
-    n = max(len(lengths), 1)
-    whole = files.repartitionByRange(n, "shard").sortWithinPartitions("shard", "segment")
-    docs = whole.mapInArrow(_docs, "shard int, at long, doc_id long, ids binary")
-    return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
+    parts = "shard int, at long, doc_id long, doc_first long, ids binary"
+    whole = files.filter(~F.col("cut")).mapInArrow(_docs, parts).select("shard", "at", "doc_id", "ids")
+    pieces = files.filter("cut").mapInArrow(_docs, parts).groupBy("shard", "doc_first", "doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
+    long = pieces.select("shard", F.col("doc_first").alias("at"), "doc_id", _joined(F.col("p.ids")).alias("ids"))
+    docs = whole.unionByName(long).join(F.broadcast(base), "shard")
+    return docs.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
