@@ -6,10 +6,14 @@ of (position, role, text), so prefixes can be summed in parts. A conversation go
 and length are those of a proper prefix of another one (anti-join); of equal conversations the one
 with the least id stays. The others, the maximal ones, are rendered.
 
-Long conversations are never gathered: turns are taken in blocks of ``BLOCK`` turn numbers, blocks are
-summed first, and a conversation beyond one block is rendered as several parts (``part`` counts them by
-turn number), each of which is one row. Only hashes are sorted and summed; texts move for
-conversations that stay.
+Long conversations are never gathered. For the hashes, turns are numbered by a range partitioning of the
+distinct turns with the counts of earlier ranges, and summed in blocks of ``BLOCK`` positions, so rows
+that share an id or a turn number (null ids are one conversation) are spread like others. A conversation
+is rendered as parts of ``BLOCK`` turn numbers (``part`` counts them, null turn numbers are one of their
+own), each of which is one row, as the SQL beside the query has it. If a part holds more than ``BLOCK``
+turns and more than ``ROW_BYTES`` bytes, which one row or task may not hold, its conversation is cut by
+position instead: ``part`` is then the block of positions, from 0. Only hashes are sorted and summed;
+texts move for conversations that stay.
 
 Turns are in order of (turn, hash of role and text), null turn numbers first. A repeated row (equal id,
 turn, role and text) counts once. Rows with a null conversation id are one conversation with a null
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from txrisk.llm.common import wide_hash, written
 
 BLOCK = 1024
+ROW_BYTES = 1 << 27
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -33,23 +38,38 @@ def _content(role: Column, text: Column) -> Column:
     return wide_hash(F.concat(F.octet_length(mark(role)).cast("string"), mark(role), mark(text)))
 
 
-def _block(turn: Column) -> Column:
+def _part(turn: Column) -> Column:
     return F.coalesce(F.floor(turn / BLOCK), F.lit(-(1 << 62)))
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """From (conv_id, turn, c): (conv_id, k, x, y, n): the hash (x, y) of the first ``k`` turns of each
-    conversation, for every k, and its number of turns."""
-    once = turns.groupBy("conv_id", "turn", "c").agg(F.first(_block(F.col("turn"))).alias("block"))
-    sizes = once.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+def ranged_turns(turns: DataFrame) -> DataFrame:
+    """The distinct turns of (conv_id, turn, c, size), dealt by range: the later of two turns of a
+    conversation is in the same ``range`` or a later one. Distinct keys make even ranges."""
+    once = turns.groupBy("conv_id", "turn", "c").agg(F.first("size").alias("size"))
+    dealt = once.repartitionByRange(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("c"))
+    return written(dealt.withColumn("range", F.spark_partition_id()), "chat-ranges")
+
+
+def numbered(ranged: DataFrame) -> DataFrame:
+    """(conv_id, turn, c, k, n, block): each turn is the ``k``-th of the ``n`` of its conversation, in the
+    ``block`` of ``BLOCK`` positions."""
+    sizes = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("conv_id")
-    starts = sizes.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
+    starts = sizes.select(F.col("conv_id").alias("_c"), F.col("range").alias("_r"),
                           F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(every).alias("n"))
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "c")
-    ranked = once.withColumn("rank", F.row_number().over(inside))
+    inside = Window.partitionBy("conv_id", "range").orderBy(F.col("turn").asc_nulls_first(), "c")
+    ranked = ranged.withColumn("rank", F.row_number().over(inside))
+    placed = ranked.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("range") == F.col("_r")))
+    k = F.col("start") + F.col("rank")
+    return placed.select("conv_id", "turn", "c", k.alias("k"), "n", F.floor((k - 1) / BLOCK).alias("block"))
+
+
+def prefix_hashes(placed: DataFrame) -> DataFrame:
+    """From :func:`numbered`: (conv_id, k, x, y, n): the hash (x, y) of the first ``k`` turns of each
+    conversation, for every k, and its number of turns."""
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))
-    placed = ranked.join(starts, at).select("conv_id", "block", (F.col("start") + F.col("rank")).alias("k"), "c", "n")
     hashed = written(placed.select("conv_id", "block", "k", "n", F.xxhash64("k", "c").alias("hx"),
                                    F.xxhash64(F.lit("y"), "c", "k").alias("hy")), "chat-turns")
     sums = hashed.groupBy("conv_id", "block").agg(F.bit_xor("hx").alias("bx"), F.bit_xor("hy").alias("by"))
@@ -61,10 +81,10 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
                                            F.col("ry").bitwiseXOR(F.col("py")).alias("y"))
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n, copies) of the conversations that are no proper prefix of another; ``copies`` counts
+def maximal(placed: DataFrame) -> DataFrame:
+    """From :func:`numbered`: (conv_id, n, copies) of the conversations that are no proper prefix of another; ``copies`` counts
     the conversations equal to it."""
-    hashes = written(prefix_hashes(turns), "chat-prefixes")
+    hashes = written(prefix_hashes(placed), "chat-prefixes")
     whole = hashes.filter(F.col("k") == F.col("n")).groupBy("n", "x", "y").agg(
         F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     proper = hashes.filter(F.col("k") < F.col("n")).select(F.col("k").alias("n"), "x", "y").distinct()
@@ -76,13 +96,28 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     """(conv_id, part, n_turns, copies, text) of every maximal conversation of ``df``."""
     pick = lambda c, name: F.col(f"`{c}`").alias(name)
     rows = df.select(pick(id_col, "conv_id"), pick(turn_col, "turn"), pick(role_col, "role"), pick(text_col, "text"))
-    rows = rows.withColumn("c", _content(F.col("role"), F.col("text")))
-    kept = maximal(rows.select("conv_id", "turn", "c")).select(F.col("conv_id").alias("_c"), "copies")
     plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
     shown = F.concat(F.lit(OPEN), plain(F.col("role")), F.lit("\n"), plain(F.col("text")), F.lit(CLOSE), F.lit("\n"))
-    turn = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "c", shown.alias("shown"))
-    chosen = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("_c"))).select(
-        "conv_id", "copies", _block(F.col("turn")).alias("part"), turn.alias("t"))
-    parts = chosen.groupBy("conv_id", "copies", "part").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    rows = rows.withColumn("c", _content(F.col("role"), F.col("text"))).withColumn("shown", shown)
+    ranged = ranged_turns(rows.select("conv_id", "turn", "c", F.octet_length("shown").cast("long").alias("size")))
+    kept = written(maximal(numbered(ranged)), "chat-kept").select(F.col("conv_id").alias("_c"), "copies")
+    chosen = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("_c"))).withColumn("part", _part(F.col("turn")))
+    # each of these holds more than ROW_BYTES, so they are few
+    long = written(ranged.groupBy("conv_id", _part(F.col("turn")).alias("part")).agg(F.count("*").alias("turns"), F.sum("size").alias("size"))
+                   .filter((F.col("turns") > BLOCK) & (F.col("size") > ROW_BYTES)).select(F.col("conv_id").alias("_l")).distinct(), "chat-long")
+    if long.isEmpty():
+        return _rendered(chosen)
+    is_long = F.col("conv_id").eqNullSafe(F.col("_l"))
+    blocks = numbered(ranged.join(F.broadcast(long), is_long, "left_semi")).select(
+        F.col("conv_id").alias("_i"), F.col("turn").alias("_t"), F.col("c").alias("_h"), "block")
+    same = F.col("conv_id").eqNullSafe(F.col("_i")) & F.col("turn").eqNullSafe(F.col("_t")) & (F.col("c") == F.col("_h"))
+    cut = chosen.join(F.broadcast(long), is_long, "left_semi").join(blocks, same).withColumn("part", F.col("block"))
+    whole = chosen.join(F.broadcast(long), is_long, "left_anti")
+    return _rendered(whole).unionByName(_rendered(cut))
+
+
+def _rendered(chosen: DataFrame) -> DataFrame:
+    turn = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "c", "shown")
+    parts = chosen.groupBy("conv_id", "copies", "part").agg(F.sort_array(F.collect_set(turn)).alias("ts"))
     text = F.array_join(F.transform("ts", lambda t: t["shown"]), "")
     return parts.select("conv_id", "part", F.size("ts").cast("long").alias("n_turns"), "copies", text.alias("text"))
