@@ -40,6 +40,8 @@ SEGMENT_IDS = 1 << 16
 PERCENTILE = 0.9
 #: Words in one generation of a worker's memory, and texts encoded together.
 MEMORY, TEXTS_AT_ONCE = 600_000, 500
+#: Start of the names of special tokens, which the tokenizer looks for before it lowers letters.
+SPECIAL = b"<|"
 
 SEGMENT = ("shard int, first long, n_ids int, doc_ids array<long>, doc_lens array<int>, cut boolean, doc_first long, "
            "starts binary, blocks binary")
@@ -104,7 +106,6 @@ class _Words:
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True   # their names in a text are ordinary text
         self.kind, self.young, self.old = kind, {}, {}
         self.plain, self.piece = re.compile(rb"[a-z]+").fullmatch, self.tokenizer.model.tokenize
 
@@ -129,6 +130,12 @@ class _Words:
         return self.young
 
 
+def _split(raw: bytes) -> list[bytes]:
+    if SPECIAL not in raw:
+        return raw.lower().split()
+    return [w if SPECIAL in w else w.lower() for w in raw.split()]
+
+
 @lru_cache(maxsize=2)
 def _words(path: str, kind: str) -> _Words:
     return _Words(path, kind)
@@ -145,13 +152,14 @@ def encode_column(text: Column, path: str, end_id: int, kind: str) -> Column:
 
     The tokenizer drops white space, never looks across it and lowers all letters, so a text has the
     ids of its words one after another, A-Z in lower case or not; each word is given to the library
-    once as long as it is remembered."""
+    once as long as it is remembered. Names of special tokens have ids of their own, in their own case
+    only, so words with ``SPECIAL`` in them keep their case."""
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, end, out = _words(path, kind), array(kind, [end_id]).tobytes(), []
         for b in batches:
             for lo in range(0, len(b), TEXTS_AT_ONCE):
-                texts = [raw.lower().split() if raw else [] for raw in b.slice(lo, TEXTS_AT_ONCE).to_pylist()]
+                texts = [_split(raw) if raw else [] for raw in b.slice(lo, TEXTS_AT_ONCE).to_pylist()]
                 table = known.of(texts)
                 out += [b"".join(map(table.__getitem__, t)) + end for t in texts]
             yield pa.array(out, pa.binary())
