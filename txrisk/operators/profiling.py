@@ -186,8 +186,10 @@ def one_hot_dummies(df: DataFrame, cols, keep=None, max_levels: int = 1000) -> D
 def correlation_matrix(df: DataFrame, cols, digits: int = 9) -> DataFrame:
     """Pearson correlation of every pair of ``cols`` (long form), one aggregate."""
     pairs = [(a, b) for a in cols for b in cols]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                   for i, (a, b) in enumerate(pairs)])
+    # columns by place: names made of levels may hold any character, or differ in case only
+    num = {c: F.col(f"_{i}").cast("double") for i, c in enumerate(df.columns)}
+    df = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    agg = df.agg(*[F.corr(num[a], num[b]).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     long = agg.unpivot([], [F.col(str(i)) for i in range(len(pairs))], "_i", "corr")
     names_a = F.array(*[F.lit(a) for a, _ in pairs])
     names_b = F.array(*[F.lit(b) for _, b in pairs])

@@ -361,7 +361,7 @@ WITH d AS (SELECT amount, is_anomaly, {", ".join(f"CAST({c} = '{v}' AS INTEGER)
 def q_correlation(spark, sf):
     t = txn(spark, sf)
     d = PR.one_hot_dummies(t, ["merchant_category", "device_type"], keep=["amount", "is_anomaly"])
-    return PR.correlation_matrix(d, CORR_COLS)
+    return PR.correlation_matrix(d, d.columns)      # whatever levels the data has
 
 
 @register("anomaly_rate_by_device", sql=f"""
