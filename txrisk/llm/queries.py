@@ -144,10 +144,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written to an archive and put back from it."""
     path = shared_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    back = warc.verified(warc.read_records(spark, path))
+    back = warc.rebuilt(warc.read_records(spark, path))
+    told = warc.parsed(F.col("record"))
     size = F.octet_length("payload").cast("long")
-    return back.select("page_id", size.alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-                       "record_type", "refers_to")
+    return back.select("page_id", size.alias("payload_bytes"), F.substring_index(told["digest"], ":", -1).alias("payload_digest"),
+                       told["record_type"].alias("record_type"), "refers_to")
 
 
 @query()

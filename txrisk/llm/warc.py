@@ -33,8 +33,8 @@ END = "\r\n\r\n"                 # after the payload of a record
 def _uri(page_id: Column) -> Column:
     """A record id that follows from the page id, so that a second run writes the same bytes."""
     h = F.sha2(F.concat(F.lit("page:"), page_id.cast("string")), 256)
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
-                                                     F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
+    dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return F.when(page_id.isNotNull(), F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">")))
 
 
 def _header(r: dict[str, Column]) -> Column:
@@ -103,3 +103,30 @@ def verified(records: DataFrame) -> DataFrame:
     good = (F.sha2("payload", 256) == F.col("digest")) & (F.octet_length("payload") == F.col("size"))
     return records.withColumn("payload", F.when(F.coalesce(good, F.lit(False)), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("payload differs from its address "), F.col("digest"))).cast("binary")))
+
+
+def _head(record: Column) -> Column:
+    """The header in the bytes of a record: up to the first blank line; urls have no line ends to make one."""
+    return F.substring_index(record.cast("string"), END, 1)
+
+
+def parsed(record: Column) -> dict[str, Column]:
+    """What the header in the bytes of a record says; null where no line says it."""
+    head = _head(record)
+    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1), F.lit(""))
+    return {"version": F.substring_index(head, "\r\n", 1), "record_type": field("WARC-Type"), "record_uri": field("WARC-Record-ID"),
+            "refers_to_uri": field("WARC-Refers-To"), "digest": field("WARC-Payload-Digest"), "length": field("Content-Length")}
+
+
+def rebuilt(records: DataFrame) -> DataFrame:
+    """:func:`verified` records with the bytes of each (``record``), whose header is held against the
+    side columns and the payload: version, type, ids, digest, lengths. Fails on the first that differs."""
+    whole = verified(records).withColumn("record", record_bytes(F.col("record_type"), F.col("header"), F.col("payload")))
+    block = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.octet_length("payload"))
+    told = parsed(F.col("record"))
+    good = ((told["version"] == "WARC/1.1") & told["record_type"].eqNullSafe(F.col("record_type"))
+            & told["record_uri"].eqNullSafe(_uri(F.col("page_id"))) & told["refers_to_uri"].eqNullSafe(_uri(F.col("refers_to")))
+            & told["digest"].eqNullSafe(F.concat(F.lit("sha1:"), F.sha1("payload"))) & told["length"].eqNullSafe(block.cast("string"))
+            & (F.octet_length("record") == F.octet_length(_head(F.col("record"))) + block + 2 * len(END)))
+    return whole.withColumn("record", F.when(F.coalesce(good, F.lit(False)), F.col("record")).otherwise(
+        F.raise_error(F.lit("a record's header differs from its page or payload")).cast("binary")))
