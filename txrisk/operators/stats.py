@@ -7,7 +7,8 @@ in a narrow value band, rows are then counted per distinct value inside the
 band only, and the exact order statistic is read off a running count.  The
 band holds about ``4 / accuracy`` of the group's rows (all ties of one value
 collapse into one counted row).  Whether the band holds the target ranks is
-checked on the counts; a band that does not is an error, never a wrong value.
+checked on the counts; a band that does not is opened on the side that missed
+and counted again, which always holds them.
 
 ``modes`` returns the most frequent value with ties going to the smallest,
 from a partial-aggregated value count.
@@ -32,6 +33,34 @@ def join_groups(big: DataFrame, small: DataFrame, by, value_col: str, salts: int
     return dealt.join(spread, [*by, "_salt"]).drop("_salt")
 
 
+def _in_bands(joined: DataFrame, by, probs) -> DataFrame:
+    """The two order statistics of each (group, prob) from rows joined to its band (``_blo``, ``_bhi``), and
+    whether the band starts and reaches far enough to hold them."""
+    # Per (group, prob): rows below the band, and value counts inside the band.
+    tagged = joined.where(F.col("_v") <= F.col("_bhi")).select(
+        *by, "_pi", "_n",
+        F.when(F.col("_v") >= F.col("_blo"), F.col("_v")).alias("_key"))
+    counts = tagged.groupBy(*by, "_pi", "_n", "_key").agg(F.count(F.lit(1)).alias("_c"))
+    below = (counts.where(F.col("_key").isNull())
+             .select(*by, "_pi", F.col("_c").alias("_below")))
+    inband = counts.where(F.col("_key").isNotNull())
+    w = Window.partitionBy(*by, "_pi").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (inband.join(below, by + ["_pi"], "left")
+              .withColumn("_cum", F.coalesce("_below", F.lit(0)) + F.sum("_c").over(w)))
+    probs_arr = F.array(*[F.lit(p) for p in probs])
+    ranked = ranked.withColumn("_h", (F.col("_n") - 1).cast("double") * F.element_at(probs_arr, F.col("_pi") + 1))
+    ranked = (ranked.withColumn("_k0", F.floor("_h")).withColumn("_frac", F.col("_h") - F.floor("_h"))
+                    .withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1)))
+    # value at 0-based rank r = smallest key with running count >= r + 1
+    return ranked.groupBy(*by, "_pi").agg(
+        F.min(F.when(F.col("_cum") >= F.col("_k0") + 1, F.col("_key"))).alias("_v0"),
+        F.min(F.when(F.col("_cum") >= F.col("_k1") + 1, F.col("_key"))).alias("_v1"),
+        F.first("_frac").alias("_frac"),
+        # the band starts at or below the first rank and reaches the second
+        F.bool_and((F.coalesce("_below", F.lit(0)) <= F.col("_k0"))).alias("_starts"),
+        (F.max("_cum") > F.first("_k1")).alias("_reaches"))
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs, by=None,
                     accuracy: int = DEFAULT_ACCURACY, prefix: str = "q") -> DataFrame:
     """One row per group: ``n`` and ``{prefix}_{i}`` = exact quantile ``probs[i]``.
@@ -68,33 +97,15 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, by=None,
                          F.when(wide_enough, F.col("_b.lo")).otherwise(F.lit(float("-inf"))).alias("_blo"),
                          F.when(wide_enough, F.col("_b.hi")).otherwise(F.lit(float("inf"))).alias("_bhi"))
     # Ungrouped: bands has len(probs) rows, a proven bound, so it is broadcast.
-    joined = join_groups(base, bands, by, "_v") if grouped else base.join(F.broadcast(bands), by)
-    # Per (group, prob): rows below the band, and value counts inside the band.
-    tagged = joined.where(F.col("_v") <= F.col("_bhi")).select(
-        *by, "_pi", "_n",
-        F.when(F.col("_v") >= F.col("_blo"), F.col("_v")).alias("_key"))
-    counts = tagged.groupBy(*by, "_pi", "_n", "_key").agg(F.count(F.lit(1)).alias("_c"))
-    below = (counts.where(F.col("_key").isNull())
-             .select(*by, "_pi", F.col("_c").alias("_below")))
-    inband = counts.where(F.col("_key").isNotNull())
-    w = Window.partitionBy(*by, "_pi").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inband.join(below, by + ["_pi"], "left")
-              .withColumn("_cum", F.coalesce("_below", F.lit(0)) + F.sum("_c").over(w)))
-    probs_arr = F.array(*[F.lit(p) for p in probs])
-    ranked = ranked.withColumn("_h", (F.col("_n") - 1).cast("double") * F.element_at(probs_arr, F.col("_pi") + 1))
-    ranked = (ranked.withColumn("_k0", F.floor("_h")).withColumn("_frac", F.col("_h") - F.floor("_h"))
-                    .withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1)))
-    # value at 0-based rank r = smallest key with running count >= r + 1
-    picked = ranked.groupBy(*by, "_pi").agg(
-        F.min(F.when(F.col("_cum") >= F.col("_k0") + 1, F.col("_key"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") >= F.col("_k1") + 1, F.col("_key"))).alias("_v1"),
-        F.first("_frac").alias("_frac"),
-        # the band starts at or below the first rank and reaches the second
-        F.bool_and((F.coalesce("_below", F.lit(0)) <= F.col("_k0"))).alias("_starts"),
-        (F.max("_cum") > F.first("_k1")).alias("_reaches"))
-    value = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")
-    q = picked.withColumn("_q", F.when(F.col("_starts") & F.col("_reaches"), value).otherwise(
-        F.raise_error(F.lit("the sketch missed a target rank; raise the accuracy")).cast("double")))
+    first = _in_bands(join_groups(base, bands, by, "_v") if grouped else base.join(F.broadcast(bands), by), by, probs)
+    held = F.col("_starts") & F.col("_reaches")
+    # Only groups of 3 * accuracy rows and more, or with NaNs, can miss, so missed bands are few and mostly none.
+    # NaN is the greatest value.
+    missed = first.where(~held).join(bands, [*by, "_pi"]).select(
+        *by, "_n", "_pi", F.when(F.col("_starts"), F.col("_blo")).otherwise(F.lit(float("-inf"))).alias("_blo"),
+        F.when(F.col("_reaches"), F.col("_bhi")).otherwise(F.lit(float("nan"))).alias("_bhi"))
+    again = _in_bands(base.join(F.broadcast(missed), by), by, probs)
+    q = first.where(held).unionByName(again).withColumn("_q", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac"))
     wide = q.groupBy(*by).pivot("_pi", list(range(len(probs)))).agg(F.first("_q"))
     for i in range(len(probs)):
         wide = wide.withColumnRenamed(str(i), f"{prefix}_{i}")
