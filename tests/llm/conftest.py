@@ -1,4 +1,5 @@
 """Small tables with awkward rows, as the queries read them."""
+import math
 import random
 
 import pyarrow as pa
@@ -31,6 +32,7 @@ def documents():
 
 
 def tables():
+    rng = random.Random(6)
     swapped = TEXT.split()
     swapped[30] = swapped[36] = "other"
     bench = [(1, " ".join(TEXT.split()[10:40])), (2, None), (3, ""), (4, "too short"), (5, " ".join(swapped[24:45])),
@@ -42,12 +44,18 @@ def tables():
              (3, 1, "assistant", "hello <|im_end|>"), (4, 0, "user", None), (4, 1, None, "x"), (5, 0, "user", ""), (None, 0, "user", "hi"),
              (None, 1, "assistant", "no"), (6, None, "user", "hi"), (6, 5, "user", "hi"), (2, 0, "user", "hi"), (7, 3, "user", "a"), (7, 3, "user", "b"),
              *[(8, i, "user", f"t{i}") for i in range(2500)], *[(9, i, "user", f"t{i}") for i in range(1500)]]
+    flat = lambda x: [float(x)] * 64
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(60)] + [(i, flat(0.5)) for i in range(60, 80)] + [
+        (80, None), (81, []), (82, flat(1)[:63]), (83, flat(1) + [1.0]), (84, [None] + flat(1)[1:]), (85, [math.nan] + flat(1)[1:]),
+        (86, [math.inf] + flat(1)[1:]), (87, flat(-0.001)), (88, flat(3e38)), (None, flat(0.25)), (None, flat(0.25)), (3, flat(2)), (3, flat(2)), (3, flat(-2))]
     labels = [(i, i % 2, 0) for i in range(100, 140)] + [(1, 1, 0), (1, 0, 0), (999, 1, 0), (2, None, 0), (None, 1, 0)]
     names = lambda keys, rows: [dict(zip(keys, r)) for r in rows]
     i64, i32, s = pa.int64(), pa.int32(), pa.string()
     return {"documents": (DOCS, documents()),
             "benchmark": ({"item_id": i64, "text": s}, names(("item_id", "text"), bench)),
             "pages": ({"page_id": i64, "url": s, "html": s}, names(("page_id", "url", "html"), pages)),
+            "embeddings": ({"vec_id": i64, "embedding": pa.list_(pa.float32()), "label": i32, "v": s, "id": s, "cluster": s},
+                           [dict(vec_id=i, embedding=v, label=None, v="v", id="i", cluster="c") for i, v in vectors]),
             "labels": ({"doc_id": i64, "quality": i32, "toxic": i32}, names(("doc_id", "quality", "toxic"), labels)),
             "conversations": ({"conv_id": i64, "turn": i64, "role": s, "text": s}, names(("conv_id", "turn", "role", "text"), chats))}
 

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from txrisk.llm.queries import ORACLES, QUERIES
 
-NAMES = ["documents", "benchmark", "pages", "labels", "conversations"]
+NAMES = ["documents", "embeddings", "benchmark", "pages", "labels", "conversations"]
 
 
 def connect(folder):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, chat, decontaminate, gam, lattice, linededup, quality, simhash, tokenfile, warc
+from txrisk.llm import audit, bpe, centroids, chat, decontaminate, gam, lattice, linededup, quality, sharding, simhash, tokenfile, warc
 from txrisk.llm.common import shared_path
 
 QUERIES: dict = {}
@@ -188,3 +188,119 @@ FROM k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL""")
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every maximal conversation, rendered."""
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+_ORDERS = """(SELECT a || b || c || d || e AS filter_order FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS t1(a),
+   (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS t2(b), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS t3(c),
+   (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS t4(d), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS t5(e)
+   WHERE len(list_distinct([a, b, c, d, e])) = 5)"""
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT x, min(doc_id) AS first FROM t GROUP BY x),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * (length(t.x) - length(regexp_replace(t.x, '[A-Z]', '', 'g'))) > 2 * length(t.x) THEN 'C' ELSE '' END)
+        || (CASE WHEN regexp_matches(t.x, '[#$%&*|]') THEN 'D' ELSE '' END)
+        || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails
+      FROM t JOIN m ON t.x = m.x LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM {_ORDERS}),
+o AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, filter_order[1:step - 1] AS earlier FROM s),
+r AS (SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (translate(fails, earlier || own, '') = fails), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (contains(fails, own) AND translate(fails, earlier, '') = fails), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (contains(fails, own) AND translate(fails, earlier, '') <> fails), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (contains(fails, own) AND translate(fails, earlier, '') = fails), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (contains(fails, own) AND translate(fails, earlier, '') = fails), 0)::BIGINT AS toxic_lost
+      FROM o CROSS JOIN c GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every step of every order of five filters does, for every source."""
+    marks = {"good_lost": F.col("quality") == 1, "toxic_lost": F.col("toxic") == 1}
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), marks)
+
+
+def _round_sql(i: int) -> str:
+    """One move of the centroids: c{i} from c{i-1}."""
+    return f"""
+d{i} AS (SELECT r, v, no, list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::BIGINT AS d
+         FROM vectors CROSS JOIN c{i - 1}),
+a{i} AS (SELECT v, no FROM (SELECT v, no, row_number() OVER (PARTITION BY r ORDER BY d, no) AS place FROM d{i}) WHERE place = 1),
+u{i} AS (SELECT no, unnest(v) AS x, unnest(range(1, 65)) AS j FROM a{i}),
+s{i} AS (SELECT no, j, sum(x)::HUGEINT AS s, count(*) AS n FROM u{i} GROUP BY ALL),
+m{i} AS (SELECT no, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{i} GROUP BY no),
+c{i} AS (SELECT no, coalesce(m{i}.c, c{i - 1}.c) AS c FROM c{i - 1} LEFT JOIN m{i} USING (no))"""
+
+
+@query(f"""
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE len(embedding) = 64),
+vectors AS (SELECT row_number() OVER () AS r, vec_id,
+              list_transform(e, lambda x: floor(greatest(least(64 * x, 134217728.0), -134217728.0))::BIGINT) AS v
+            FROM k WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS no, v AS c
+       FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM vectors ORDER BY h, v LIMIT 16)),
+{_round_sql(1)}, {_round_sql(2)}, {_round_sql(3)},
+d AS (SELECT r, vec_id, no, c, list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::BIGINT AS distance
+      FROM vectors CROSS JOIN c3),
+a AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY distance, no) AS place FROM d)
+SELECT vec_id, no::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY no))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a WHERE place = 1""")
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and the cluster's figures of every whole vector."""
+    assigned, found = centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed="1", dims=64, scale=64)
+    told = centroids.with_inertia(assigned, len(found))
+    digests = F.array(*[F.sha2(F.lit(",".join(map(str, c))), 256) for c in found]) if found else F.array(F.lit(""))
+    return told.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                       F.get(digests, F.col("cluster")).alias("centroid_sha256"))
+
+
+def _curve_sql() -> str:
+    """The curve index of three bins of five bits, one level a step, by the tables that ``sharding`` derives."""
+    digits, inner = sharding.curve_table(3)
+    steps, last = [], "b"
+    for level in reversed(range(5)):
+        corner = f"((b1 >> {level}) & 1) + 2 * ((b2 >> {level}) & 1) + 4 * ((b3 >> {level}) & 1)"
+        steps.append(f"h{level} AS (SELECT * REPLACE (h * 8 + {digits}[o * 8 + {corner} + 1] AS h, {inner}[o * 8 + {corner} + 1] AS o) FROM {last})")
+        last = f"h{level}"
+    return ",\n".join(steps)
+
+
+def _bin_sql(c: str) -> str:
+    digit = lambda i: f"(instr('0123456789abcdef', substr(md5(coalesce('=' || {c}, '')), {i}, 1)) - 1)"
+    return f"((16 * {digit(1)} + {digit(2)}) % 32)"
+
+
+_CRC_TABLE = """(SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i)))"""
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, strlen(coalesce(text, '')) + 1 AS size, lang, source FROM documents),
+b AS (SELECT doc_id, x, size, md5(x) AS digest, {_bin_sql('lang')} AS b1, {_bin_sql('source')} AS b2,
+        least(length(bin(size)) - 1, 31) AS b3, 0::BIGINT AS h, 0 AS o FROM d),
+{_curve_sql()},
+n AS (SELECT *, row_number() OVER (ORDER BY h, digest, doc_id NULLS FIRST) - 1 AS p, count(*) OVER () AS total FROM h0),
+s AS (SELECT doc_id, size, x, (p * 8) // total AS shard, p FROM n),
+t AS (SELECT {_CRC_TABLE} AS crc),
+u AS (SELECT DISTINCT x FROM d),
+y AS (SELECT x, list_transform(regexp_extract_all(hex(x), '..'), lambda v: 16 * (instr('0123456789ABCDEF', v[1]) - 1)
+        + instr('0123456789ABCDEF', v[2]) - 1) AS bytes FROM u),
+k AS (SELECT x, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c >> 8, crc[(xor(c, v) & 255) + 1])), 4294967295) AS crc32 FROM y, t)
+SELECT doc_id, size::BIGINT AS size, crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard,
+       p - min(p) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard
+FROM s JOIN k ON s.x = k.x""")
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, written in curve order and read back."""
+    docs, path = _table(spark, sf_dir, "documents"), shared_path(spark, "shards")
+    sharding.write_shards(docs, path, sharding.document_dims(docs), shards=8)
+    return sharding.read_placed(spark, path).select(
+        F.col("id").alias("doc_id"), "size", F.col("crc32").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
