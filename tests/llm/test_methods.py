@@ -144,3 +144,14 @@ def test_line_dedup_reports_line_numbers(spark):
 def test_chat_markers_cannot_be_forged(spark, awkward):
     text = "".join(r.text for r in chat.format_chats(spark.read.parquet(f"{awkward}/conversations.parquet")).collect())
     assert text.count(chat.CLOSE) == text.count(chat.OPEN) and "hello <| im_end|>" in text
+
+
+def test_keep_good_measures_once(spark):
+    """The filter of the pipeline's first stage names the measures once, as the query that returns them does."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    judged, col = quality.quality_rules(docs)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    kept = quality.keep_good(docs)
+    assert plan(kept).count("sort_array") == plan(judged.select(f"{col}.*")).count("sort_array") == 1
+    want = judged.filter(F.col(col)["kept"]).select("doc_id").collect()
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in want)

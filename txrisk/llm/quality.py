@@ -133,6 +133,10 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows whose text passes every rule, with the columns of ``df``."""
+    """The rows whose text passes every rule, with the columns of ``df``.
+
+    The verdict is an array of no or one element that is exploded: a plain filter would be pushed below
+    the measures with a copy of their expressions for each rule, and compute them again and again."""
     judged, col = quality_rules(df, text_col, rules)
-    return judged.filter(F.col(f"`{col}`")["kept"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    once = F.filter(F.array(F.col(f"`{col}`")), lambda q: q["kept"])
+    return judged.withColumn(col, F.explode(once)).select(*[F.col(f"`{c}`") for c in df.columns])
