@@ -56,8 +56,8 @@ def test_random_search_candidates_and_ranks(spark, encoded):
     folds = {r.fold: r["count"] for r in train.groupBy("fold").count().collect()}
     assert set(folds) == {0, 1, 2} and max(folds.values()) - min(folds.values()) <= 2
     small = [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 5, "maxDepth": 5}]
-    cvm, _ = MD.tune_forest(train, small, keep_fold_models=True, num_folds=3)
-    res = MD.cv_results(spark, cvm, small, folds_data=train).collect()
+    found, _ = MD.tune_forest(train, small, num_folds=3)
+    res = MD.cv_results(spark, found).collect()
     assert sorted(r.rank_test_score for r in res)[0] == 1 and len(res) == 2
     for r in res:   # per-fold scores reproduce the search's mean
         assert len(r.split_test_scores) == 3
@@ -143,7 +143,24 @@ def test_metric_store_lookup_and_fallback(spark, tmp_path):
     pick = lambda name: {r.model for r in IO.load_model_metrics(spark, path, name).collect()}
     assert pick("random_forest") == {"random_forest"}                 # exact name
     assert pick("models/random_forest_tuned.joblib") == {"random_forest_tuned"}   # longest contained name
-    assert pick("something_else") == {"random_forest_tuned"}          # fallback order starts with tuned
+    assert pick("Models/Random_Forest_TUNED.pkl") == {"random_forest_tuned"}      # in any case
+    assert pick("RF_2024") == {"random_forest"}
+    assert pick("something_else") == {"baseline"}                     # a name that speaks of no forest
+    only = str(tmp_path / "only")
+    IO.save_metrics(spark.createDataFrame(rows[1:], "model string, metric string, value double"), only)
+    assert {r.model for r in IO.load_model_metrics(spark, only, "something_else").collect()} == {"random_forest_tuned"}
+
+
+def test_metric_store_keeps_runs_apart(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    frame = lambda rows: spark.createDataFrame(rows, "model string, metric string, value double")
+    old = frame([("baseline", "f1_score", 0.1), ("random_forest", "f1_score", 0.2)])
+    old.write.parquet(path)                                           # stored before runs had names
+    IO.save_metrics(frame([("baseline", "f1_score", 0.5), ("baseline", "recall", 0.4)]), path)
+    IO.save_metrics(frame([("baseline", "f1_score", 0.7)]), path)
+    now = {(r.model, r.metric, r.value) for r in IO.current_metrics(spark, path).collect()}
+    assert now == {("baseline", "f1_score", 0.7), ("random_forest", "f1_score", 0.2)}
+    assert [tuple(r) for r in IO.load_model_metrics(spark, path, "baseline").collect()] == [("baseline", "f1_score", 0.7)]
 
 
 def test_csv_sink_round_trip(spark, tmp_path):

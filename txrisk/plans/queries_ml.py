@@ -181,27 +181,25 @@ def q_forest_repeatable(spark, sf):
     return a.join(b, "transaction_id").agg(F.count_if(F.col("a") != F.col("b")).cast("long").alias("differing_predictions"))
 
 
-def search(spark, sf, space=MD.SEARCH_SPACE, n_iter=MD.N_ITER, keep_fold_models=False):
+def search(spark, sf, space=MD.SEARCH_SPACE, n_iter=MD.N_ITER):
     enc, _ = encoded(spark, sf)
     train = MD.stratified_folds(enc.where(F.col("split") == "train").select("transaction_id", "features",
                                                                           "is_anomaly"))
     cands = MD.sample_candidates(space, n_iter)
-    cvm, cands = MD.tune_forest(train, cands, keep_fold_models=keep_fold_models)
-    return cvm, cands, enc, train
+    return MD.tune_forest(train, cands)[0], enc
 
 
 @register("tune_forest")
 def q_tune_forest(spark, sf, **settings):
-    cvm, _, enc, _ = search(spark, sf, **settings)
-    test = MD.score(cvm.bestModel, enc.where(F.col("split") == "test").select("transaction_id", "features",
+    found, enc = search(spark, sf, **settings)
+    test = MD.score(found.bestModel, enc.where(F.col("split") == "test").select("transaction_id", "features",
                                                                               "is_anomaly"))
     return EV.classification_metrics(test, label_col="is_anomaly")
 
 
 @register("cv_results")
 def q_cv_results(spark, sf):
-    cvm, cands, _, folds = search(spark, sf, keep_fold_models=True)
-    return MD.cv_results(spark, cvm, cands, folds_data=folds)
+    return MD.cv_results(spark, search(spark, sf)[0])
 
 
 MODEL_ORDER = ["amount_only", "amount_geo", "amount_geo_coarse"]

@@ -7,6 +7,9 @@ Parquet (optionally partitioned, e.g. by day) or CSV with a header.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ METRIC_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("metric", T.StringType()),
     T.StructField("value", T.DoubleType()),
+    T.StructField("run", T.StringType()),
 ])
 
 
@@ -115,23 +119,36 @@ MODEL_FALLBACK = ["random_forest_tuned", "random_forest", "baseline"]
 
 
 def save_metrics(df_long: DataFrame, path: str, mode: str = "append") -> str:
-    """S4 (write): append ``model, metric, value`` rows to the metric table."""
+    """S4 (write): add a run of ``model, metric, value`` rows to the metric table.
+
+    A run is named by the time of its writing, so that names sort as runs do; what was stored
+    before stays readable, and the newest run of a model is its current set."""
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     df_long.select(F.col("model").cast("string"), F.col("metric").cast("string"),
-                   F.col("value").cast("double")).write.mode(mode).parquet(path)
+                   F.col("value").cast("double"), F.lit(run).alias("run")).write.mode(mode).parquet(path)
     return path
 
 
+def current_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """``model, metric, value, run`` of the newest run of every model; rows stored without a run are the oldest.
+
+    One aggregate finds the newest run (one row a model, combined before the shuffle), so the history is read, not moved."""
+    m = spark.read.schema(METRIC_SCHEMA).parquet(path).withColumn("run", F.coalesce("run", F.lit("")))
+    newest = m.groupBy("model").agg(F.max("run").alias("run"))
+    return m.join(newest, ["model", "run"]).select("model", "metric", "value", "run")
+
+
 def load_model_metrics(spark: SparkSession, path: str, model_name: str | None = None,
                        fallback=MODEL_FALLBACK) -> DataFrame:
-    """S4 (lookup): metrics of the stored model named ``model_name``; else of the model its name
-    speaks of ("tuned": the tuned forest; "rf" or "random_forest": the forest; anything else: the
+    """S4 (lookup): current metrics of the stored model named ``model_name``; else of the model its name
+    speaks of, in any case ("tuned": the tuned forest; "rf" or "random_forest": the forest; anything else: the
     baseline); else, where that is not stored, of the first stored one in the fallback order."""
-    m = spark.read.schema(METRIC_SCHEMA).parquet(path)
+    m = current_metrics(spark, path).drop("run")
     prio = F.create_map(*[x for i, n in enumerate(fallback) for x in (F.lit(n), F.lit(i))])
-    name = model_name or ""
+    name = (model_name or "").lower()
     meant = ("random_forest_tuned" if "tuned" in name else
              "random_forest" if "rf" in name or "random_forest" in name else "baseline" if name else "")
-    rank = (F.when(F.col("model") == name, F.lit(0)).when(F.col("model") == meant, F.lit(1))
+    rank = (F.when(F.col("model") == (model_name or ""), F.lit(0)).when(F.col("model") == meant, F.lit(1))
              .otherwise(F.lit(2) + F.coalesce(prio[F.col("model")], F.lit(len(fallback)))))
     best = m.select(F.min(rank)).scalar()
     return m.where(rank == best)
