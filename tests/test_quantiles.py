@@ -1,4 +1,4 @@
-"""Exact quantiles where the sketch narrows the band at its default accuracy, and where groups are uneven."""
+"""Exact quantiles of a large group and of uneven groups."""
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from txrisk.operators import stats
 
 
-def test_band_of_a_large_group(spark):
-    n = 400_000          # beyond 300,000 rows the band is narrower than the group
+def test_large_and_uneven_groups(spark):
+    n = 400_000
     df = spark.range(n).select((F.col("id") * 7919 % 1_000_003 / 7.0).alias("v"), (F.col("id") % 50 == 0).cast("int").alias("g"))
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     values = np.arange(n) * 7919 % 1_000_003 / 7.0

@@ -34,10 +34,13 @@ def clean_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def median_fill(df: DataFrame, c: str):
-    """Exact median of the parseable values of ``c`` as a scalar subquery."""
-    med = stats.exact_median(df.select(F.col(c).try_cast("double").alias("_x")), "_x")
-    return med.agg(F.max("median")).scalar()      # global aggregate: exactly one row
+def median_fills(df: DataFrame, cols) -> dict:
+    """Exact medians of the parseable values of several columns, as scalar subqueries over one selection."""
+    if not cols:
+        return {}
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).try_cast("double").alias("_x")) for c in cols])
+    med = stats.exact_median(df.select(F.inline(values)), "_x", by=["column"])
+    return {c: med.where(F.col("column") == c).agg(F.max("median")).scalar() for c in cols}   # exactly one row each
 
 
 def _fill(df: DataFrame, fills: dict) -> DataFrame:
@@ -52,7 +55,7 @@ def impute_median(df: DataFrame, cols=None) -> DataFrame:
     type coercion, as in the reference order of steps.
     """
     cols = _present(df, NUMERIC_COLUMNS if cols is None else cols)
-    return _fill(df, {c: median_fill(df, c) for c in cols})
+    return _fill(df, median_fills(df, cols))
 
 
 def mode_fills(df: DataFrame, cols, fallback=None) -> dict:
@@ -179,7 +182,7 @@ def preprocess_transactions(raw: DataFrame, ts_col: str = "timestamp", mode: str
     if materialize:   # one de-duplication shuffle; the statistics then scan single columns
         from txrisk.session import materialize as _materialize
         d = _materialize(d, "dedup")
-    fills = {c: median_fill(d, c) for c in _present(d, NUMERIC_COLUMNS)}
+    fills = median_fills(d, _present(d, NUMERIC_COLUMNS))
     fills.update(mode_fills(d, _present(d, CATEGORICAL_COLUMNS)))
     return (_fill(d, fills)
             .transform(lambda x: drop_null_critical(x, ts_col))

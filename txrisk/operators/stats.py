@@ -1,14 +1,13 @@
 """Distributed exact statistics shared by several operators.
 
 ``exact_quantiles`` returns exact linear-interpolation quantiles (the pandas /
-DuckDB ``quantile_cont`` definition) without gathering a group's values in one
-task: an approximate sketch (``percentile_approx``) brackets each target rank
-in a narrow value band, rows are then counted per distinct value inside the
-band only, and the exact order statistic is read off a running count.  The
-band holds about ``4 / accuracy`` of the group's rows (all ties of one value
-collapse into one counted row).  Whether the band holds the target ranks is
-checked on the counts; a band that does not is opened on the side that missed
-and counted again, which always holds them.
+DuckDB ``quantile_cont`` definition) by selection digit by digit, in the same way at every size.  A
+round counts the rows of each group per digit (one of at most 65,536 places that never
+fall as values grow) with their least and greatest value, a running count finds the places that hold the wanted
+ranks, and the next round looks only inside those.  The first digit is a sixteenth of an octave, two more split
+that span into equal steps, and the last round counts the values themselves; a span of one value is done before. What
+is gathered for a group is at most 65,536 counted places (2^17 or so values in the last round), whatever
+the number of rows, ties or the shape of the distribution; only among numbers below 2^-1000 can there be more.
 
 ``modes`` returns the most frequent value with ties going to the smallest,
 from a partial-aggregated value count.
@@ -19,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
-
+from txrisk.session import materialize
 
 #: Tasks over which one group's rows are dealt where small per-group facts are joined to them.
 SALTS = 32
@@ -33,88 +31,90 @@ def join_groups(big: DataFrame, small: DataFrame, by, value_col: str, salts: int
     return dealt.join(spread, [*by, "_salt"]).drop("_salt")
 
 
-def _in_bands(joined: DataFrame, by, probs) -> DataFrame:
-    """The two order statistics of each (group, prob) from rows joined to its band (``_blo``, ``_bhi``), and
-    whether the band starts and reaches far enough to hold them."""
-    # Per (group, prob): rows below the band, and value counts inside the band.
-    tagged = joined.where(F.col("_v") <= F.col("_bhi")).select(
-        *by, "_pi", "_n",
-        F.when(F.col("_v") >= F.col("_blo"), F.col("_v")).alias("_key"))
-    counts = tagged.groupBy(*by, "_pi", "_n", "_key").agg(F.count(F.lit(1)).alias("_c"))
-    below = (counts.where(F.col("_key").isNull())
-             .select(*by, "_pi", F.col("_c").alias("_below")))
-    inband = counts.where(F.col("_key").isNotNull())
-    w = Window.partitionBy(*by, "_pi").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inband.join(below, by + ["_pi"], "left")
-              .withColumn("_cum", F.coalesce("_below", F.lit(0)) + F.sum("_c").over(w)))
-    probs_arr = F.array(*[F.lit(p) for p in probs])
-    ranked = ranked.withColumn("_h", (F.col("_n") - 1).cast("double") * F.element_at(probs_arr, F.col("_pi") + 1))
-    ranked = (ranked.withColumn("_k0", F.floor("_h")).withColumn("_frac", F.col("_h") - F.floor("_h"))
-                    .withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1)))
-    # value at 0-based rank r = smallest key with running count >= r + 1
-    return ranked.groupBy(*by, "_pi").agg(
-        F.min(F.when(F.col("_cum") >= F.col("_k0") + 1, F.col("_key"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") >= F.col("_k1") + 1, F.col("_key"))).alias("_v1"),
-        F.first("_frac").alias("_frac"),
-        # the band starts at or below the first rank and reaches the second
-        F.bool_and((F.coalesce("_below", F.lit(0)) <= F.col("_k0"))).alias("_starts"),
-        (F.max("_cum") > F.first("_k1")).alias("_reaches"))
-
-
-def exact_quantiles(df: DataFrame, value_col: str, probs, by=None,
-                    accuracy: int = DEFAULT_ACCURACY, prefix: str = "q") -> DataFrame:
+#: Digits of a value: the first is a step of 1/16 octave (and the sign), each further one 1/65,536 of the span before.
+DIGIT = 65_536
+#: Rows that may be broadcast; the caller counts them, and more are joined by salted keys.
+BROADCAST_ROWS = 100_000
+
+
+def _first_digit(v):
+    """A place on a logarithmic scale that never falls as ``v`` grows: at most 65,536 places for all doubles.
+
+    Only order matters, so rounding does no harm. Infinities and NaN, the greatest value, have places of their own."""
+    size, tiny = F.abs(v), 2.0 ** -1000
+    octave = F.when(size < tiny, size / tiny).otherwise(F.greatest(F.lit(1.0), F.least(F.log2(size) + 1001.0, F.lit(2040.0))))
+    place = F.floor(octave * 16)
+    return F.when(F.isnan(v), F.lit(DIGIT)).when(v < 0, -place).otherwise(place)
+
+
+def _next_digit(v, lo, hi):
+    """A place in ``DIGIT`` equal steps from ``lo`` to ``hi`` that never falls as ``v`` grows."""
+    return F.when(lo == hi, F.lit(0)).otherwise(F.least(F.floor((v - lo) / (hi - lo) * DIGIT), F.lit(DIGIT - 1)))
+
+
+def _holding(counts: DataFrame, by, place, before) -> DataFrame:
+    """Of value spans (``lo``, ``hi``, ``c`` rows, in order of ``place`` within ``by``), those that hold a wanted rank."""
+    w = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.withColumn("_before", before + F.sum("_c").over(w) - F.col("_c"))
+    mine = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))
+    return at.withColumn("_ranks", mine).where(F.size("_ranks") > 0)
+
+
+def _rows_of(base: DataFrame, spans: DataFrame, by) -> DataFrame:
+    """The rows of ``base`` that lie in one of their group's open spans."""
+    few = spans.count() <= BROADCAST_ROWS
+    met = base.join(F.broadcast(spans), by) if few else join_groups(base, spans, by, "_v")
+    return met.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs, by=None, prefix: str = "q") -> DataFrame:
     """One row per group: ``n`` and ``{prefix}_{i}`` = exact quantile ``probs[i]``.
 
-    NULLs are ignored.  Groups with no values are absent.  ``accuracy`` sizes
-    the per-group sketch (memory ~ accuracy entries per group) against the band
-    width (~4 / accuracy of a group's rows): lower it when grouping by many
-    keys; the result stays exact either way.
+    NULLs are ignored, NaN is the greatest value, groups without values are absent.  The values are written once,
+    narrow; then every round is one counting aggregate (see the module's text).
     """
-    by = list(by or [])
-    grouped = bool(by)
-    if not grouped:               # one global group: a constant key, bands broadcast below
-        df = df.withColumn("_g", F.lit(0))
-        by = ["_g"]
-    probs = [float(p) for p in probs]
-    v = F.col(value_col).cast("double")
-    base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-    margin = 2.0 / accuracy
-    lo_p = [max(0.0, p - margin) for p in probs]
-    hi_p = [min(1.0, p + margin) for p in probs]
-    stats = base.groupBy(*by).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", lo_p, accuracy).alias("_lo"),
-        F.percentile_approx("_v", hi_p, accuracy).alias("_hi"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # One band per (group, prob).  Stats has one row per group.
-    bands = stats.select(*by, "_n", F.posexplode(F.arrays_zip(F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
-                         .alias("_pi", "_b"))
-    # The sketch brackets the target ranks only when the margin spans a few
-    # rows (n * margin >= 6); smaller groups take the whole group as the band,
-    # which then holds fewer than 3 * accuracy rows.
-    wide_enough = F.col("_n") * F.lit(margin) >= 6
-    bands = bands.select(*by, "_n", "_pi",
-                         F.when(wide_enough, F.col("_b.lo")).otherwise(F.lit(float("-inf"))).alias("_blo"),
-                         F.when(wide_enough, F.col("_b.hi")).otherwise(F.lit(float("inf"))).alias("_bhi"))
-    # Ungrouped: bands has len(probs) rows, a proven bound, so it is broadcast.
-    first = _in_bands(join_groups(base, bands, by, "_v") if grouped else base.join(F.broadcast(bands), by), by, probs)
-    held = F.col("_starts") & F.col("_reaches")
-    # Only groups of 3 * accuracy rows and more, or with NaNs, can miss, so missed bands are few and mostly none.
-    # NaN is the greatest value.
-    missed = first.where(~held).join(bands, [*by, "_pi"]).select(
-        *by, "_n", "_pi", F.when(F.col("_starts"), F.col("_blo")).otherwise(F.lit(float("-inf"))).alias("_blo"),
-        F.when(F.col("_reaches"), F.col("_bhi")).otherwise(F.lit(float("nan"))).alias("_bhi"))
-    again = _in_bands(base.join(F.broadcast(missed), by), by, probs)
-    q = first.where(held).unionByName(again).withColumn("_q", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac"))
-    wide = q.groupBy(*by).pivot("_pi", list(range(len(probs)))).agg(F.first("_q"))
-    for i in range(len(probs)):
-        wide = wide.withColumnRenamed(str(i), f"{prefix}_{i}")
-    out = stats.select(*by, F.col("_n").alias("n")).join(wide, by)
-    return out if grouped else out.drop("_g")
-
-
-def exact_median(df: DataFrame, value_col: str, by=None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    q = exact_quantiles(df, value_col, [0.5], by=by, accuracy=accuracy)
+    groups, probs, by = list(by or []), [float(p) for p in probs], ["_g"]
+    # the group as one struct, in which nulls are equal
+    base = df.select(F.struct(*(groups or [F.lit(0).alias("_none")])).alias("_g"), F.col(value_col).cast("double").alias("_v"))
+    base = materialize(base.where(F.col("_v").isNotNull()), "quantile-values")
+    spans = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_c")]
+    # round 1: octaves; the ranks follow from the group's number of rows
+    counts = base.groupBy(*by, _first_digit(F.col("_v")).alias("_p")).agg(*spans)
+    counts = counts.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    last = F.col("_n") - 1
+    ranks = [r for p in probs for r in (F.floor(last * F.lit(p)), F.least(F.floor(last * F.lit(p)) + 1, last))]
+    counts = counts.withColumn("_ranks", F.array_distinct(F.array(*ranks)))
+    found, keep = None, [*by, "_lo", "_hi", "_n", "_before", "_ranks"]
+    state = materialize(_holding(counts, by, "_p", F.lit(0)).select(*keep), "quantile-spans")
+    for turn in range(3):
+        done = state.where(F.col("_lo") == F.col("_hi"))
+        found = done if found is None else found.unionByName(done)
+        state = state.where(F.col("_lo") != F.col("_hi"))
+        if state.isEmpty():
+            break
+        rows = _rows_of(base, state, by)
+        # rounds 2 and 3: steps of the span; round 4: the values themselves, at most some 2^17 a span by then
+        digit = _next_digit(F.col("_v"), F.col("_lo"), F.col("_hi")) if turn < 2 else F.col("_v")
+        key = [*by, "_lo"]
+        inside = rows.groupBy(*key, "_n", "_before", "_ranks", digit.alias("_p")).agg(
+            F.min("_v").alias("_l"), F.max("_v").alias("_h"), F.count(F.lit(1)).alias("_c"))
+        held = _holding(inside.withColumnRenamed("_before", "_b"), key, "_p", F.col("_b"))
+        state = materialize(held.drop("_lo", "_hi").withColumnsRenamed({"_l": "_lo", "_h": "_hi"}).select(*keep), "quantile-spans")
+    else:
+        found = found.unionByName(state)
+    values = found.groupBy(*by, "_n").agg(F.map_from_entries(F.flatten(F.collect_list(
+        F.transform("_ranks", lambda r: F.struct(r.alias("r"), F.col("_lo").alias("v")))))).alias("_at"))
+    out = [F.col("_n").alias("n")]
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1).cast("double") * F.lit(p)
+        low = F.try_element_at("_at", F.floor(h))
+        high = F.try_element_at("_at", F.least(F.floor(h) + 1, F.col("_n") - 1))
+        out.append((low + (high - low) * (h - F.floor(h))).alias(f"{prefix}_{i}"))
+    return values.select(*[F.col("_g")[g].alias(g) for g in groups], *out)
+
+
+def exact_median(df: DataFrame, value_col: str, by=None) -> DataFrame:
+    q = exact_quantiles(df, value_col, [0.5], by=by)
     return q.withColumnRenamed("q_0", "median")
 
 
