@@ -70,13 +70,25 @@ def test_strict_timestamp_raises(spark):
     assert CL.coerce_types(raw, mode="permissive").collect()[0].timestamp is None
 
 
-def test_density_prebin_close_to_exact(spark):
+@pytest.mark.parametrize("shape", ["normal", "heavy tail", "far apart", "two values"])
+def test_density_is_the_kernel_sum(spark, shape):
     from txrisk.operators import profiling as PR
     rng = np.random.default_rng(3)
-    df = spark.createDataFrame([(float(v),) for v in rng.normal(0, 1, 3000)], "x double")
-    exact = [r.density for r in PR.density_curve(df, "x").orderBy("point").collect()]
-    approx = [r.density for r in PR.density_curve(df, "x", prebin=2000).orderBy("point").collect()]
-    assert np.allclose(exact, approx, atol=1e-3)
+    x = {"normal": rng.normal(0, 1, 3000), "heavy tail": rng.standard_cauchy(2000), "two values": np.array([1.0, 2.0]),
+         "far apart": np.concatenate([rng.normal(0, 1e-3, 500), rng.normal(1e4, 1.0, 20)])}[shape]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    got = sorted(tuple(r) for r in PR.density_curve(df, "x", digits=15).collect())
+    bw = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min() - 3 * bw, x.max() + 3 * bw, 200)
+    want = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / bw) ** 2).sum(1) / (len(x) * bw * np.sqrt(2 * np.pi))
+    assert [g[0] for g in got] == list(range(200))
+    assert np.allclose([g[2] for g in got], want, rtol=0, atol=1e-13 * want.max() + 1e-15)     # the last digit kept
+
+
+def test_density_without_a_bandwidth(spark):
+    from txrisk.operators import profiling as PR
+    for rows in ([], [(1.0,)], [(2.0,), (2.0,)], [(None,)]):
+        assert PR.density_curve(spark.createDataFrame(rows, "x double"), "x").count() == 0
 
 
 def test_mode_unknown_for_all_missing_column(spark):

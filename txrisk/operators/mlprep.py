@@ -21,6 +21,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.operators import stats
 from txrisk.operators.features import ENGINEERED_CATEGORICAL, ENGINEERED_NUMERIC
 
 TARGET = "is_anomaly"
@@ -136,6 +137,30 @@ def one_hot_encode(df: DataFrame, levels: dict, keep=None) -> DataFrame:
     return df.select(*keep, *exprs)
 
 
+def level_table(train: DataFrame, cols=ENGINEERED_CATEGORICAL) -> DataFrame:
+    """M4 without a bound: ``column, value, slot`` for every training level, slots gapless in order of (column
+    place, value) as the wide form has them. The levels stay a table: no list on the driver, no column a level."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)])
+    each = train.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+    names = F.array(*[F.lit(c) for c in cols])
+    return stats.numbered(each, ["i", "value"], "slot").select(F.get(names, F.col("i")).alias("column"), "value", "slot")
+
+
+def one_hot_sparse(df: DataFrame, levels: DataFrame, cols=ENGINEERED_CATEGORICAL, keep=None, slots: str = "slots") -> DataFrame:
+    """M4 (apply): ``keep`` and the sorted slots of the ones, the sparse form of the 0/1 vector; unseen and missing values have none.
+
+    Levels are broadcast where a count shows at most ``stats.BROADCAST_ROWS`` of them; more are joined by value, where
+    adaptive execution splits the values that hold many rows."""
+    keep = list(keep if keep is not None else [c for c in df.columns if c not in cols])
+    few = levels.count() <= stats.BROADCAST_ROWS
+    out = df.select(*keep, *[F.col(c).cast("string").alias(f"_v{i}") for i, c in enumerate(cols)])
+    for i, c in enumerate(cols):
+        own = levels.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("slot").alias(f"_s{i}"))
+        out = out.join(F.broadcast(own) if few else own, f"_v{i}", "left")
+    ones = F.filter(F.array(*[F.col(f"_s{i}") for i in range(len(cols))]), lambda x: x.isNotNull())
+    return out.select(*keep, F.array_sort(ones).alias(slots))
+
+
 def feature_pipeline(train: DataFrame, numeric=ENGINEERED_NUMERIC, categorical=ENGINEERED_CATEGORICAL,
                      output_col: str = "features"):
     """M5: fitted Spark ML pipeline -> ``features`` vector (numeric z-scores + one-hot).

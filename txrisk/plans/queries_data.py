@@ -350,14 +350,16 @@ def q_one_hot(spark, sf):
     return PR.one_hot_dummies(txn(spark, sf), ["merchant_category", "device_type"], keep=["transaction_id"])
 
 
-CORR_COLS = ["amount", "is_anomaly"] + [f"{c}_{v}" for c, v in DUMMIES]
-
-
 @register("correlation_matrix", sql=f"""
-WITH d AS (SELECT amount, is_anomaly, {", ".join(f"CAST({c} = '{v}' AS INTEGER) AS {c}_{v}" for c, v in DUMMIES)}
-           FROM ({T_SQL}))
-{" UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round_even(corr({a}, {b}), 9) AS corr FROM d"
-                    for a in CORR_COLS for b in CORR_COLS)}""")
+WITH t AS ({T_SQL}),
+v AS (SELECT DISTINCT 'merchant_category' AS c, merchant_category AS v FROM t WHERE merchant_category IS NOT NULL
+      UNION ALL SELECT DISTINCT 'device_type', device_type FROM t WHERE device_type IS NOT NULL),
+d AS (SELECT transaction_id, 'amount' AS col, CAST(amount AS DOUBLE) AS x FROM t
+      UNION ALL SELECT transaction_id, 'is_anomaly', CAST(is_anomaly AS DOUBLE) FROM t
+      UNION ALL SELECT transaction_id, c || '_' || v, CAST(CASE c WHEN 'device_type' THEN device_type ELSE merchant_category END = v AS DOUBLE)
+                FROM t CROSS JOIN v)
+SELECT a.col AS col_a, b.col AS col_b, round_even(corr(a.x, b.x), 9) AS corr
+FROM d AS a JOIN d AS b USING (transaction_id) GROUP BY a.col, b.col""")
 def q_correlation(spark, sf):
     t = txn(spark, sf)
     d = PR.one_hot_dummies(t, ["merchant_category", "device_type"], keep=["amount", "is_anomaly"])

@@ -101,11 +101,9 @@ def _onehot_sql():
 @register("one_hot_encode", sql=_onehot_sql())
 def q_one_hot(spark, sf):
     sp = split_table(spark, sf)
-    levels = MP.category_levels(sp.where(F.col("split") == "train"))
-    enc = MP.one_hot_encode(sp, levels, keep=["transaction_id"])
-    names = [c for c in enc.columns if c != "transaction_id"]
-    long = enc.unpivot(["transaction_id"], [enc[n] for n in names], "feature", "value")
-    return long.where(F.col("value") == 1).select("transaction_id", "feature")
+    levels = MP.level_table(sp.where(F.col("split") == "train"))
+    ones = MP.one_hot_sparse(sp, levels, keep=["transaction_id"]).select("transaction_id", F.explode("slots").alias("slot"))
+    return ones.join(levels, "slot").select("transaction_id", F.concat("column", F.lit("_"), "value").alias("feature"))
 
 
 @register("split_report", sql=f"""
@@ -115,8 +113,7 @@ SELECT split, count(*) AS n_rows, avg(is_anomaly) AS anomaly_rate, CAST(max(n_fe
 FROM sp, w GROUP BY split""")
 def q_split_report(spark, sf):
     sp = split_table(spark, sf)
-    levels = MP.category_levels(sp.where(F.col("split") == "train"))
-    width = len(NUMERIC) + sum(len(v) for v in levels.values())
+    width = len(NUMERIC) + MP.level_table(sp.where(F.col("split") == "train")).count()
     return MP.split_report(sp, n_features=width)
 
 
