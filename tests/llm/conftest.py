@@ -24,7 +24,8 @@ def documents():
              (12, "#$% " * 80), (13, (TEXT + "\n") * 6), (14, "A\nA\n\nA\nb"), (15, "日本語 テキスト " * 30),
              (16, "w" * 20_000), (17, prose(30_000)), (18, "=" * 3000 + " " + "-" * 77), (9, "another text under an old number"),
              (19, "a b c d e f g h i j\nline"), (20, "a b c d e f g h i J\nline"), (21, "a b c d e f g h i j k"), (22, "a b c d e f g h j"),
-             (23, "one two three   four\r\nfive"), (24, "it's we'll 12345 \U0001F600 don't́")]
+             (23, "one two three   four\r\nfive"), (24, "it's we'll 12345 \U0001F600 don't́"),
+             (25, "A <|endoftext|> in<|startoftext|>side <|ENDOFTEXT|>"), (26, " \x0b\x1f Odd\x0cblanks \u2003 and\u00a0more\x85 ")]
     texts += [(100 + i, prose(rng.randint(1, 120)) + "\n" + prose(9)) for i in range(40)]
     texts += [(200 + i, f"{prose(20)} {TEXT[60:200]} {prose(20)}") for i in range(5)]
     return [dict(doc_id=i, text=t, lang=None if k % 7 == 0 else "en", source="s", n_chars=len(t) if t is not None else None,

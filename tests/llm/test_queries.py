@@ -96,7 +96,6 @@ def test_simhash_as_brute_force(spark, awkward):
 
 def test_token_files_as_the_library(spark, awkward):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     coded = []
     for d in docs_of(awkward):
         ids = np.array([*t.encode(d["text"] or "", add_special_tokens=False).ids, 1], "<u4")

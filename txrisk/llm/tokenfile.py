@@ -16,8 +16,9 @@ bits each (little-endian bit order; exceptions keep their low bits here), then t
 exceptions (u8 each) and their values less the minimum (u32 each). The width is at least that of
 the ``PERCENTILE`` value, and from there the one that makes the block shortest.
 
-Null and empty texts have just the end id. Rows with the same id stand side by side, shortest first;
-equal ones are interchangeable; null ids come first. Other columns play no part.
+Null and empty texts have just the end id. Rows with the same id stand side by side (shortest first in each
+range); equal ones are interchangeable; null ids come first. An empty table gives no rows. Other columns play no part. Very long
+texts are encoded in their own task, in memory a few times their length.
 """
 
 from __future__ import annotations
@@ -26,20 +27,20 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import written
-
 BLOCK = 256
 SEGMENT_IDS = 1 << 16
 PERCENTILE = 0.9
 #: Words in one generation of a worker's memory, and texts encoded together.
-MEMORY, TEXTS_AT_ONCE = 600_000, 500
+MEMORY, TEXTS_AT_ONCE = 600_000, 2_000
+#: Stands for a null id among the bounds of ranges.
+LEAST = -(1 << 63)
 #: Start of the names of special tokens, which the tokenizer looks for before it lowers letters.
 SPECIAL = b"<|"
 
@@ -109,12 +110,12 @@ class _Words:
         self.kind, self.young, self.old = kind, {}, {}
         self.plain, self.piece = re.compile(rb"[a-z]+").fullmatch, self.tokenizer.model.tokenize
 
-    def of(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """A table that has at least the words of ``texts``."""
-        new = set(chain.from_iterable(texts)).difference(self.young)
+    def of(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """A table that has at least the distinct ``words``."""
+        new = set(words).difference(self.young)
         if len(self.young) + len(new) > MEMORY:
             self.old, self.young = self.young, {}
-            new = set(chain.from_iterable(texts))
+            new = set(words)
         if self.old:
             self.young.update((w, i) for w in new if (i := self.old.get(w)) is not None)
             new.difference_update(self.old)
@@ -130,12 +131,6 @@ class _Words:
         return self.young
 
 
-def _split(raw: bytes) -> list[bytes]:
-    if SPECIAL not in raw:
-        return raw.lower().split()
-    return [w if SPECIAL in w else w.lower() for w in raw.split()]
-
-
 @lru_cache(maxsize=2)
 def _words(path: str, kind: str) -> _Words:
     return _Words(path, kind)
@@ -147,24 +142,66 @@ def id_kind(path: str, end_id: int) -> str:
     return "H" if max(Tokenizer.from_file(path).get_vocab_size() - 1, end_id) < 1 << 16 else "I"
 
 
-def encode_column(text: Column, path: str, end_id: int, kind: str) -> Column:
-    """Ids of a text with the end id behind, as little-endian unsigned numbers (array code ``kind``).
+def _plain_ids(texts: pa.Array, known: _Words, end: int) -> pa.Array:
+    """Ids of texts without names of special tokens, each with the end id behind.
+
+    The words of all texts are numbered by a dictionary, so that only distinct ones are looked up; the ids of
+    the words are then laid out by array arithmetic."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    distinct = [w.encode() for w in coded.dictionary.to_pylist()]
+    table = known.of([w for w in distinct if w])
+    pieces = [table[w] if w else b"" for w in distinct]                # blanks at a text's ends leave empty words
+    kind = np.dtype("<u2" if known.kind == "H" else "<u4")
+    sizes = np.array([len(p) for p in pieces], np.int64) // kind.itemsize
+    starts = np.cumsum(sizes) - sizes
+    word = coded.indices.to_numpy()
+    n = sizes[word]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    ids = np.frombuffer(b"".join(pieces), kind)[np.repeat(starts[word] - ends[:-1], n) + np.arange(ends[-1])]
+    offsets = split.offsets.to_numpy()
+    upto = ends[offsets - offsets[0]]                                  # ids before each text, and in all
+    laid = np.insert(ids, upto[1:], end).astype(kind)
+    bounds = ((upto + np.arange(len(upto))) * kind.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(laid)])
+
+
+def _special_ids(text: str, known: _Words, end: bytes) -> bytes:
+    """Ids of a text with names of special tokens: words that may hold one keep their case."""
+    words = [w if SPECIAL in w else w.lower() for w in text.encode().split()]
+    return b"".join(map(known.of(words).__getitem__, words)) + end
+
+
+def _encoded(texts: pa.Array, known: _Words, end_id: int) -> pa.Array:
+    texts = texts.fill_null("")
+    special = pc.match_substring(texts, SPECIAL.decode())
+    if not pc.any(special).as_py():
+        return _plain_ids(texts, known, end_id)
+    out = _plain_ids(pc.if_else(special, "", texts), known, end_id).to_pylist()
+    end = array(known.kind, [end_id]).tobytes()
+    for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+        out[i] = _special_ids(texts[i].as_py(), known, end)
+    return pa.array(out, pa.binary())
+
+
+def encode_column(text: Column, doc_id: Column, row: Column, path: str, end_id: int, kind: str, bounds: list[int]) -> Column:
+    """struct(shard, ids): a text's ids with the end id behind, as little-endian unsigned numbers (array code ``kind``),
+    and its place among the ranges that ``bounds`` part. An id that fills several ranges is dealt over them by ``row``.
 
     The tokenizer drops white space, never looks across it and lowers all letters, so a text has the
     ids of its words one after another, A-Z in lower case or not; each word is given to the library
     once as long as it is remembered. Names of special tokens have ids of their own, in their own case
     only, so words with ``SPECIAL`` in them keep their case."""
-    @F.arrow_udf("binary")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, end, out = _words(path, kind), array(kind, [end_id]).tobytes(), []
-        for b in batches:
-            for lo in range(0, len(b), TEXTS_AT_ONCE):
-                texts = [_split(raw) if raw else [] for raw in b.slice(lo, TEXTS_AT_ONCE).to_pylist()]
-                table = known.of(texts)
-                out += [b"".join(map(table.__getitem__, t)) + end for t in texts]
-            yield pa.array(out, pa.binary())
-            out = []
-    return encode(text.cast("binary"))
+    @F.arrow_udf("shard int, ids binary")
+    def encode(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known, cuts = _words(path, kind), np.array(bounds, np.int64)
+        for texts, docs, rows in batches:
+            at = docs.fill_null(LEAST).to_numpy()
+            low, high = np.searchsorted(cuts, at, "left"), np.searchsorted(cuts, at, "right")
+            shard = pa.array((low + rows.to_numpy() % (high - low + 1)).astype(np.int32))
+            ids = [_encoded(texts.slice(lo, TEXTS_AT_ONCE), known, end_id) for lo in range(0, len(texts), TEXTS_AT_ONCE)]
+            yield pa.StructArray.from_arrays([shard, pa.concat_arrays(ids)], ["shard", "ids"])
+    return encode(text, doc_id, row)
 
 
 def _segments(kind: str):
@@ -203,18 +240,21 @@ def write_tokens(df: DataFrame, out_path: str, tokenizer_path: str, end_id: int,
                  text_col: str = "text", shards: int | None = None) -> None:
     """Encode ``df`` and write its ids in ascending order of ``id_col`` to the folder ``out_path``.
 
-    Texts are encoded where they are read; only ids are dealt out by range of (id, length, row), so
-    rows that share an id can be split too. ``shards``: ranges, by default the shuffle partitions."""
+    A first pass over the ids alone finds the bounds of the ranges (one number a range); texts are then encoded where they
+    are read and only their token ids move, once. ``shards``: ranges, by default the shuffle partitions. Rows that share
+    an id stand side by side, shortest first within a range; an id with more rows than a range holds
+    has several. ``df`` is to give its rows in the same order when a task runs again, as a stored table does."""
     spark = df.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = id_kind(tokenizer_path, end_id)
-    coded = written(df.select(F.col(f"`{id_col}`").alias("doc_id"),
-                              encode_column(F.col(f"`{text_col}`"), tokenizer_path, end_id, kind).alias("ids"))
-                    .select("*", F.octet_length("ids").alias("size"), F.monotonically_increasing_id().alias("row")), "token-ids")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("row")]
-    ranged = coded.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    shard = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
-    shard.mapInArrow(_segments(kind), SEGMENT).write.parquet(out_path)
+    doc_id = F.col(f"`{id_col}`").cast("long")
+    bounds = df.agg(F.percentile_approx(F.coalesce(doc_id, F.lit(LEAST)), [k / n for k in range(1, n)] or [1.0], max(10_000, 20 * n))).first()[0]
+    rows = df.select(doc_id.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    coded = rows.select("doc_id", "row", encode_column(F.col("text"), F.col("doc_id"), F.col("row"), tokenizer_path, end_id, kind,
+                                                       bounds if bounds and n > 1 else []).alias("e"))
+    shard = coded.select("e.shard", "doc_id", "e.ids", "row").repartitionById(n, "shard").sortWithinPartitions(
+        "shard", F.col("doc_id").asc_nulls_first(), F.octet_length("ids"), "row")
+    shard.select("shard", "doc_id", "ids").mapInArrow(_segments(kind), SEGMENT).write.parquet(out_path)
 
 
 def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
