@@ -42,9 +42,11 @@ ROWS_AT_ONCE = 200_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, no, w) of each line with a word."""
+    """(doc_id, th, no, w) of each line with a word. Blank lines are told by the line alone: a filter on its words
+    would be pushed below them with a copy of the split."""
     at = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return at.select("doc_id", "th", "no", words(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    parts = F.split("line", r"[\x20\x09-\x0D]+")
+    return at.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "th", "no", F.array_remove(parts, "").alias("w"))
 
 
 def _half_keys(w: Column) -> Column:
@@ -53,7 +55,7 @@ def _half_keys(w: Column) -> Column:
 
     def halves(size: Column) -> list[Column]:
         first = (size / 2).cast("int")
-        return [F.xxhash64(size, F.lit(side), F.array_join(part, " ")) for side, part in (
+        return [F.xxhash64(size, F.lit(side), part) for side, part in (
             (0, F.slice(w, 1, first)), (1, F.slice(w, n - (size - first) + 1, size - first)))]
 
     return F.array(*halves(n), *halves(n - 1))
@@ -168,9 +170,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = fresh(df, "dropped_lines")
     inside = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     docs = inside.select("doc_id", "text", wide_hash(F.col("text")).alias("th"))
-    text = F.array_join("w", " ")
     lines = written(_lines(docs).select(
-        "doc_id", "th", "no", wide_hash(text).alias("h"), F.xxhash64(text).alias("h64"), F.size("w").alias("n"),
+        "doc_id", "th", "no", wide_hash(F.array_join("w", " ")).alias("h"), F.xxhash64("w").alias("h64"), F.size("w").alias("n"),
         F.when(F.size("w") >= min_near_words, _half_keys(F.col("w"))).alias("halves")), "lines")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "th", "no")).alias("at"), F.count("*").alias("rows"))
     near = _near(lines, docs, min_near_words).select("h", F.lit(True).alias("near"))
