@@ -155,3 +155,22 @@ def test_keep_good_measures_once(spark):
     assert plan(kept).count("sort_array") == plan(judged.select(f"{col}.*")).count("sort_array") == 1
     want = judged.filter(F.col(col)["kept"]).select("doc_id").collect()
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in want)
+
+
+def test_equal_rows_of_a_hot_key_are_dealt(spark):
+    """A third of all rows with one key and one value is not one task."""
+    same = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.lit("x").alias("v"))
+    path = shared_path(spark, "equal-rows")
+    same.write.parquet(path)
+    big = spark.read.parquet(path)
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.lit(True).alias("met"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # so small a table would not be shuffled
+    try:
+        joined = join_hot(big, small, "k", 3000, "n").withColumn("task", F.spark_partition_id()).cache()
+        assert joined.filter("met").count() == 3000
+        hot = joined.filter("k = 0").groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(hot) > 4 and max(r["count"] for r in hot) < 500
