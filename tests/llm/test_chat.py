@@ -22,7 +22,7 @@ def crowded(awkward, tmp_path_factory):
     keys = ("conv_id", "turn", "role", "text")
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
     pq.write_table(pa.Table.from_pylist([dict(zip(keys, r)) for r in chats], schema=schema), f"{folder}/conversations.parquet")
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "embeddings", "benchmark", "pages", "labels"):
         pq.write_table(pq.read_table(f"{awkward}/{t}.parquet"), f"{folder}/{t}.parquet")
     return str(folder)
 
@@ -41,15 +41,23 @@ def test_no_block_beyond_its_positions(spark, crowded):
     assert ks == list(range(1, 6001))
 
 
-def test_parts_too_large_for_a_row_are_cut_by_position(spark, crowded, monkeypatch):
-    monkeypatch.setattr(chat, "ROW_BYTES", 1000)
-    got = QUERIES["op10_chat"](spark, crowded).collect()
-    assert max(r.n_turns for r in got) <= chat.BLOCK
-    of = {}
-    for r in sorted(got, key=lambda r: r.part):
-        of.setdefault(r.conv_id, []).append(r)
-    assert [r.part for r in of[None]] == list(range(6)) and sum(r.n_turns for r in of[None]) == 6000
-    want = {}
+def test_parts_end_at_the_row_bound(spark, crowded):
+    """One rule for every conversation, with long texts above a small bound."""
+    table = spark.read.parquet(f"{crowded}/conversations.parquet")
+    big = spark.createDataFrame([(50, t, "user", "é" * 300) for t in range(20)], table.schema)
+    bound, got = 1000, {}
+    for r in chat.format_chats(table.union(big), row_bytes=1000).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    whole = {}
     for i, text in connect(crowded).execute(f"SELECT conv_id, text FROM ({ORACLES['op10_chat']}) ORDER BY conv_id, part").fetchall():
-        want[i] = want.get(i, "") + text
-    assert {i: "".join(r.text for r in rs) for i, rs in of.items()} == want
+        whole[i] = whole.get(i, "") + text
+    whole[50] = "".join("<|im_start|>user\n" + "é" * 300 + "<|im_end|>\n" for _ in range(20))
+    assert set(got) == set(whole)
+    for i, parts in got.items():
+        parts.sort(key=lambda r: r.part)
+        assert "".join(r.text for r in parts) == whole[i]
+        assert [r.part for r in parts] == [sum(p.n_turns for p in parts[:j]) for j in range(len(parts))]
+        sizes = [len(r.text.encode()) for r in parts]
+        assert max(r.n_turns for r in parts) <= chat.BLOCK
+        assert all(n <= bound + 640 for n in sizes)
+    assert len(got[50]) >= 10

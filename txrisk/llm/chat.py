@@ -6,18 +6,16 @@ of (position, role, text), so prefixes can be summed in parts. A conversation go
 and length are those of a proper prefix of another one (anti-join); of equal conversations the one
 with the least id stays. The others, the maximal ones, are rendered.
 
-Long conversations are never gathered. For the hashes, turns are numbered by a range partitioning of the
-distinct turns with the counts of earlier ranges, and summed in blocks of ``BLOCK`` positions, so rows
-that share an id or a turn number (null ids are one conversation) are spread like others. A conversation
-is rendered as parts of ``BLOCK`` turn numbers (``part`` counts them, null turn numbers are one of their
-own), each of which is one row, as the SQL beside the query has it. If a part holds more than ``BLOCK``
-turns and more than ``ROW_BYTES`` bytes, which one row or task may not hold, its conversation is cut by
-position instead: ``part`` is then the block of positions, from 0. Only hashes are sorted and summed;
-texts move for conversations that stay.
+Long conversations are never gathered. Turns are numbered by a range partitioning of the distinct turns with the
+counts of earlier ranges, and summed in blocks of ``BLOCK`` positions, so rows
+that share an id or a turn number (null ids are one conversation) are spread like others. Every conversation
+is rendered in parts by one rule: a part ends where a block of ``BLOCK`` positions ends, or where the bytes before a turn
+pass a multiple of ``ROW_BYTES``, so a part holds at most ``BLOCK`` turns and ``ROW_BYTES`` bytes beside its last turn. ``part`` is
+the number of the conversation's turns before it. Only hashes are sorted and summed; texts move for conversations that stay.
 
 Turns are in order of (turn, hash of role and text), null turn numbers first. A repeated row (equal id,
 turn, role and text) counts once. Rows with a null conversation id are one conversation with a null
-id, which is the greatest id. Null role and text differ from empty ones but are rendered as empty.
+id, which is the greatest id. An empty table gives no rows; other columns are not read. Null role and text differ from empty ones but are rendered as empty.
 Markers inside a text are broken up, so a text cannot end its own turn.
 """
 
@@ -38,10 +36,6 @@ def _content(role: Column, text: Column) -> Column:
     return wide_hash(F.concat(F.octet_length(mark(role)).cast("string"), mark(role), mark(text)))
 
 
-def _part(turn: Column) -> Column:
-    return F.coalesce(F.floor(turn / BLOCK), F.lit(-(1 << 62)))
-
-
 def ranged_turns(turns: DataFrame) -> DataFrame:
     """The distinct turns of (conv_id, turn, c, size), dealt by range: the later of two turns of a
     conversation is in the same ``range`` or a later one. Distinct keys make even ranges."""
@@ -51,18 +45,20 @@ def ranged_turns(turns: DataFrame) -> DataFrame:
 
 
 def numbered(ranged: DataFrame) -> DataFrame:
-    """(conv_id, turn, c, k, n, block): each turn is the ``k``-th of the ``n`` of its conversation, in the
-    ``block`` of ``BLOCK`` positions."""
-    sizes = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("size"))
+    """(conv_id, turn, c, k, n, block, bytes): each turn is the ``k``-th of the ``n`` of its conversation, in the
+    ``block`` of ``BLOCK`` positions, after so many ``bytes``."""
+    sizes = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("turns"), F.sum("size").alias("bytes"))
     before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("conv_id")
-    starts = sizes.select(F.col("conv_id").alias("_c"), F.col("range").alias("_r"),
-                          F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(every).alias("n"))
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = sizes.select(F.col("conv_id").alias("_c"), F.col("range").alias("_r"), earlier("turns").alias("start"),
+                          earlier("bytes").alias("first"), F.sum("turns").over(Window.partitionBy("conv_id")).alias("n"))
     inside = Window.partitionBy("conv_id", "range").orderBy(F.col("turn").asc_nulls_first(), "c")
-    ranked = ranged.withColumn("rank", F.row_number().over(inside))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.withColumn("rank", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(upto) - F.col("size"))
     placed = ranked.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("range") == F.col("_r")))
     k = F.col("start") + F.col("rank")
-    return placed.select("conv_id", "turn", "c", k.alias("k"), "n", F.floor((k - 1) / BLOCK).alias("block"))
+    return placed.select("conv_id", "turn", "c", k.alias("k"), "n", F.floor((k - 1) / BLOCK).alias("block"),
+                         (F.col("first") + F.col("upto")).alias("bytes"))
 
 
 def prefix_hashes(placed: DataFrame) -> DataFrame:
@@ -92,32 +88,22 @@ def maximal(placed: DataFrame) -> DataFrame:
 
 
 def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", row_bytes: int = ROW_BYTES) -> DataFrame:
     """(conv_id, part, n_turns, copies, text) of every maximal conversation of ``df``."""
     pick = lambda c, name: F.col(f"`{c}`").alias(name)
     rows = df.select(pick(id_col, "conv_id"), pick(turn_col, "turn"), pick(role_col, "role"), pick(text_col, "text"))
     plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
     shown = F.concat(F.lit(OPEN), plain(F.col("role")), F.lit("\n"), plain(F.col("text")), F.lit(CLOSE), F.lit("\n"))
     rows = rows.withColumn("c", _content(F.col("role"), F.col("text"))).withColumn("shown", shown)
-    ranged = ranged_turns(rows.select("conv_id", "turn", "c", F.octet_length("shown").cast("long").alias("size")))
-    kept = written(maximal(numbered(ranged)), "chat-kept").select(F.col("conv_id").alias("_c"), "copies")
-    chosen = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("_c"))).withColumn("part", _part(F.col("turn")))
-    # each of these holds more than ROW_BYTES, so they are few
-    long = written(ranged.groupBy("conv_id", _part(F.col("turn")).alias("part")).agg(F.count("*").alias("turns"), F.sum("size").alias("size"))
-                   .filter((F.col("turns") > BLOCK) & (F.col("size") > ROW_BYTES)).select(F.col("conv_id").alias("_l")).distinct(), "chat-long")
-    if long.isEmpty():
-        return _rendered(chosen)
-    is_long = F.col("conv_id").eqNullSafe(F.col("_l"))
-    blocks = numbered(ranged.join(F.broadcast(long), is_long, "left_semi")).select(
-        F.col("conv_id").alias("_i"), F.col("turn").alias("_t"), F.col("c").alias("_h"), "block")
+    placed = written(numbered(ranged_turns(rows.select("conv_id", "turn", "c", F.octet_length("shown").cast("long").alias("size")))), "chat-placed")
+    kept = written(maximal(placed), "chat-kept").select(F.col("conv_id").alias("_c"), "copies")
+    # where the turns of the conversations that stay belong; the texts then meet them by turn, not by conversation
+    to = placed.join(kept, F.col("conv_id").eqNullSafe(F.col("_c"))).select(
+        F.col("conv_id").alias("_i"), F.col("turn").alias("_t"), F.col("c").alias("_h"), "k", "copies", "block",
+        F.floor(F.col("bytes") / row_bytes).alias("piece"))
     same = F.col("conv_id").eqNullSafe(F.col("_i")) & F.col("turn").eqNullSafe(F.col("_t")) & (F.col("c") == F.col("_h"))
-    cut = chosen.join(F.broadcast(long), is_long, "left_semi").join(blocks, same).withColumn("part", F.col("block"))
-    whole = chosen.join(F.broadcast(long), is_long, "left_anti")
-    return _rendered(whole).unionByName(_rendered(cut))
-
-
-def _rendered(chosen: DataFrame) -> DataFrame:
-    turn = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "c", "shown")
-    parts = chosen.groupBy("conv_id", "copies", "part").agg(F.sort_array(F.collect_set(turn)).alias("ts"))
+    parts = rows.join(to, same).groupBy("conv_id", "copies", "block", "piece").agg(
+        F.sort_array(F.collect_set(F.struct("k", "shown"))).alias("ts"))
     text = F.array_join(F.transform("ts", lambda t: t["shown"]), "")
-    return parts.select("conv_id", "part", F.size("ts").cast("long").alias("n_turns"), "copies", text.alias("text"))
+    return parts.select("conv_id", (F.get("ts", F.lit(0))["k"] - 1).alias("part"), F.size("ts").cast("long").alias("n_turns"), "copies",
+                        text.alias("text"))

@@ -180,11 +180,14 @@ WITH t AS (SELECT DISTINCT conv_id, turn, role, text,
 l AS (SELECT conv_id, list(c ORDER BY turn NULLS FIRST, c) AS l FROM t GROUP BY conv_id),
 e AS (SELECT l, count(*) AS copies, min(conv_id) AS conv_id FROM l GROUP BY l),
 k AS (SELECT a.conv_id, a.copies FROM e AS a WHERE NOT EXISTS (
-        SELECT 1 FROM e AS b WHERE b.l[1] = a.l[1] AND len(b.l) > len(a.l) AND b.l[1:len(a.l)] = a.l))
-SELECT k.conv_id, coalesce(floor(t.turn / 1024)::BIGINT, -4611686018427387904) AS part, count(*) AS n_turns, any_value(k.copies) AS copies,
-       string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<| im_') || chr(10)
-                  || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY t.turn NULLS FIRST, t.c) AS text
-FROM k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL""")
+        SELECT 1 FROM e AS b WHERE b.l[1] = a.l[1] AND len(b.l) > len(a.l) AND b.l[1:len(a.l)] = a.l)),
+r AS (SELECT k.conv_id, k.copies, '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<| im_') || chr(10)
+             || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS shown,
+             row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn NULLS FIRST, t.c) - 1 AS p, t.turn, t.c
+      FROM k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id),
+s AS (SELECT *, (sum(strlen(shown)) OVER (PARTITION BY conv_id ORDER BY p) - strlen(shown)) // 134217728 AS piece FROM r)
+SELECT conv_id, min(p) AS part, count(*) AS n_turns, any_value(copies) AS copies, string_agg(shown, '' ORDER BY p) AS text
+FROM s GROUP BY conv_id, p // 1024, piece""")
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every maximal conversation, rendered."""
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
