@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 BLOCK = 256
 SEGMENT_IDS = 1 << 16
 PERCENTILE = 0.9
-#: Words in one generation of a worker's memory, and texts encoded together.
-MEMORY, TEXTS_AT_ONCE = 600_000, 2_000
+#: Words in one generation of a worker's memory, and bytes of text encoded together.
+MEMORY, BYTES_AT_ONCE = 600_000, 1 << 24
 #: Stands for a null id among the bounds of ranges.
 LEAST = -(1 << 63)
 #: Start of the names of special tokens, which the tokenizer looks for before it lowers letters.
@@ -110,25 +110,31 @@ class _Words:
         self.kind, self.young, self.old = kind, {}, {}
         self.plain, self.piece = re.compile(rb"[a-z]+").fullmatch, self.tokenizer.model.tokenize
 
-    def of(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """A table that has at least the distinct ``words``."""
-        new = set(words).difference(self.young)
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the distinct ``words``."""
+        found = list(map(self.young.get, words))
+        if None not in found:
+            return found
+        new = [w for w, ids in zip(words, found) if ids is None]
         if len(self.young) + len(new) > MEMORY:
-            self.old, self.young = self.young, {}
-            new = set(words)
+            self.old, self.young, new = self.young, {}, words
+        known = self.young
         if self.old:
-            self.young.update((w, i) for w in new if (i := self.old.get(w)) is not None)
-            new.difference_update(self.old)
+            before = list(map(self.old.get, new))
+            known.update((w, ids) for w, ids in zip(new, before) if ids is not None)
+            new = [w for w, ids in zip(new, before) if ids is None]
         # letters a to z pass the normalizer and the splitter as they are: the model can be asked directly
-        plain = [w for w in new if self.plain(w)]
-        self.young.update((w, array(self.kind, [t.id for t in self.piece(w.decode())]).tobytes()) for w in plain)
-        new.difference_update(plain)
-        fresh = list(new)
-        for lo in range(0, len(fresh), 10_000):
-            part = fresh[lo:lo + 10_000]
+        plain, piece, kind, rest = self.plain, self.piece, self.kind, []
+        for w in new:
+            if plain(w):
+                known[w] = array(kind, [t.id for t in piece(w.decode())]).tobytes()
+            else:
+                rest.append(w)
+        for lo in range(0, len(rest), 10_000):
+            part = rest[lo:lo + 10_000]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.young.update((w, array(self.kind, c.ids).tobytes()) for w, c in zip(part, coded))
-        return self.young
+            known.update((w, array(kind, c.ids).tobytes()) for w, c in zip(part, coded))
+        return list(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -149,31 +155,35 @@ def _plain_ids(texts: pa.Array, known: _Words, end: int) -> pa.Array:
     the words are then laid out by array arithmetic."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = split.flatten().dictionary_encode()
-    distinct = [w.encode() for w in coded.dictionary.to_pylist()]
-    table = known.of([w for w in distinct if w])
-    pieces = [table[w] if w else b"" for w in distinct]                # blanks at a text's ends leave empty words
+    pieces = known.of(coded.dictionary.cast(pa.binary()).to_pylist())  # blanks at a text's ends leave empty words: no ids
     kind = np.dtype("<u2" if known.kind == "H" else "<u4")
-    sizes = np.array([len(p) for p in pieces], np.int64) // kind.itemsize
-    starts = np.cumsum(sizes) - sizes
+    sizes = np.fromiter(map(len, pieces), np.int32, len(pieces)) // kind.itemsize
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
     word = coded.indices.to_numpy()
     n = sizes[word]
-    ends = np.concatenate(([0], np.cumsum(n)))
-    ids = np.frombuffer(b"".join(pieces), kind)[np.repeat(starts[word] - ends[:-1], n) + np.arange(ends[-1])]
+    ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)))
     offsets = split.offsets.to_numpy()
-    upto = ends[offsets - offsets[0]]                                  # ids before each text, and in all
-    laid = np.insert(ids, upto[1:], end).astype(kind)
-    bounds = ((upto + np.arange(len(upto))) * kind.itemsize).astype(np.int32)
+    upto = ends[offsets - offsets[0]] + np.arange(len(offsets), dtype=np.int32)    # ids before each text, and in all
+    # word after word, each text's end id left free
+    shift = starts[word] - ends[:-1]
+    at = np.repeat(shift, n)
+    at += np.arange(len(at), dtype=np.int32)
+    laid = np.empty(int(upto[-1]), kind)
+    free = np.ones(len(laid), bool)
+    free[upto[1:] - 1] = False
+    laid[free] = np.frombuffer(b"".join(pieces), kind)[at]
+    laid[upto[1:] - 1] = end
+    bounds = (upto * kind.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(laid)])
 
 
 def _special_ids(text: str, known: _Words, end: bytes) -> bytes:
     """Ids of a text with names of special tokens: words that may hold one keep their case."""
     words = [w if SPECIAL in w else w.lower() for w in text.encode().split()]
-    return b"".join(map(known.of(words).__getitem__, words)) + end
+    return b"".join(known.of(words)) + end
 
 
 def _encoded(texts: pa.Array, known: _Words, end_id: int) -> pa.Array:
-    texts = texts.fill_null("")
     special = pc.match_substring(texts, SPECIAL.decode())
     if not pc.any(special).as_py():
         return _plain_ids(texts, known, end_id)
@@ -184,6 +194,17 @@ def _encoded(texts: pa.Array, known: _Words, end_id: int) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of some ``BYTES_AT_ONCE`` bytes, one text at least."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        before = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + BYTES_AT_ONCE, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def encode_column(text: Column, doc_id: Column, row: Column, path: str, end_id: int, kind: str, bounds: list[int]) -> Column:
     """struct(shard, ids): a text's ids with the end id behind, as little-endian unsigned numbers (array code ``kind``),
     and its place among the ranges that ``bounds`` part. An id that fills several ranges is dealt over them by ``row``.
@@ -199,8 +220,8 @@ def encode_column(text: Column, doc_id: Column, row: Column, path: str, end_id:
             at = docs.fill_null(LEAST).to_numpy()
             low, high = np.searchsorted(cuts, at, "left"), np.searchsorted(cuts, at, "right")
             shard = pa.array((low + rows.to_numpy() % (high - low + 1)).astype(np.int32))
-            ids = [_encoded(texts.slice(lo, TEXTS_AT_ONCE), known, end_id) for lo in range(0, len(texts), TEXTS_AT_ONCE)]
-            yield pa.StructArray.from_arrays([shard, pa.concat_arrays(ids)], ["shard", "ids"])
+            ids = [_encoded(part, known, end_id) for part in _slices(texts.fill_null(""))]
+            yield pa.StructArray.from_arrays([shard, pa.concat_arrays([pa.array([], pa.binary()), *ids])], ["shard", "ids"])
     return encode(text, doc_id, row)
 
 
