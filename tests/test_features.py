@@ -15,15 +15,14 @@ def _edge(spark, amounts):
                                        "amount double, location string")
 
 
-@pytest.mark.parametrize("method", ["events", "sliced", "split", "range"])
+@pytest.mark.parametrize("method", ["events", "sliced", "ranges", "range"])
 def test_rolling_edge(spark, method):
-    out = FE.velocity_features(_edge(spark, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), method=method,
-                               slice_seconds=86400 * 3).orderBy("transaction_id").collect()
+    out = FE.velocity_features(_edge(spark, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), method=method).orderBy("transaction_id").collect()
     assert [r.customer_txn_count_30d for r in out] == [1, 1, 2, 3, 1, 2]
     assert [r.customer_avg_amount_30d for r in out] == [1, 2, 2.5, 3, 5, 5.5]
 
 
-@pytest.mark.parametrize("method", ["events", "sliced", "split", "range"])
+@pytest.mark.parametrize("method", ["events", "sliced", "ranges", "range"])
 def test_rolling_missing_amount(spark, method):
     df = _edge(spark, [1.0, None, 3.0, 4.0, 5.0, 6.0])
     out = FE.engineer_features(df, method=method).orderBy("transaction_id").collect()
@@ -67,8 +66,8 @@ def test_threat_signatures(spark):
     assert out[1].signatures == ["high_value", "geographic"]
 
 
-def test_hot_customer_split_by_slices_equals_range(spark):
-    """One customer holds a third of the rows: the count finds it and it is spread over time slices."""
+def test_hot_customer_dealt_by_ranges_equals_range_frame(spark):
+    """One customer holds a third of the rows: the count finds it and it is dealt over ranges."""
     from pyspark.sql import functions as F
     n = 30000
     base = spark.range(n).select(
@@ -79,12 +78,40 @@ def test_hot_customer_split_by_slices_equals_range(spark):
         F.timestamp_seconds(F.lit(1704067200) + (F.col("id") * 7919 % (90 * 86400 // 60)) * 60).alias("timestamp"),
         F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise((F.col("id") % 1000) / 10.0).alias("amount"),
         F.lit("x, us").alias("location"))
-    ev = FE.velocity_features(base, method="events", slice_seconds=86400, hot_rows=5000)
+    ev = FE.velocity_features(base, method="events", hot_rows=5000)
     rg = FE.velocity_features(base, method="range")
     cols = ["transaction_id", "customer_txn_count_30d", "customer_avg_amount_30d"]
     assert ev.select(*cols).exceptAll(rg.select(*cols)).count() == 0
     plan = ev._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_cust" in plan and "_slice" in plan and "Union" in plan
+    assert "hashpartitioning(_cust" in plan and "_part" in plan and "Union" in plan
+
+
+def test_one_minute_of_a_customer_is_spread(spark, monkeypatch):
+    """A third of all rows is one customer in one microsecond, some of them with one id: no range holds more than its share."""
+    from pyspark.sql import functions as F
+    n, parts = 12000, 8
+    id_ = F.when(F.col("id") % 3 == 0, F.when(F.col("id") < n // 2, F.lit("same")).otherwise(F.format_string("T%07d", "id")))
+    base = spark.range(n).select(
+        F.coalesce(id_, F.format_string("T%07d", "id")).alias("transaction_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(F.lit("cold")).alias("customer_id"),
+        F.when(F.col("id") % 3 == 0, F.timestamp_seconds(F.lit(1704067200))).when(F.col("id") % 100 == 2, F.lit(None))
+         .otherwise(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 900)).alias("timestamp"),
+        (F.col("id") % 100 / 4).alias("amount"))
+    written = []
+    keep = FE.materialize
+    monkeypatch.setattr(FE, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    got = FE.velocity_features(base, method="ranges", range_parts=parts)
+    sizes = [r["count"] for r in written[0].groupBy("_part").count().collect()]
+    assert len(sizes) == parts and max(sizes) < 2 * sum(sizes) / parts
+    assert written[0].where("_cust = 'HOT'").select("_part").distinct().count() >= 2
+    # rows that share id and time may take each other's place, so the values are held without the id
+    values = lambda d: d.select("customer_id", "customer_txn_count_30d")
+    want = FE.velocity_features(base, method="sliced")
+    assert values(got).exceptAll(values(want)).isEmpty() and values(want).exceptAll(values(got)).isEmpty()
+    others = lambda d: d.where("transaction_id <> 'same' AND NOT customer_id <=> 'HOT'").select(*base.columns, "customer_avg_amount_30d")
+    assert others(got).exceptAll(others(want)).isEmpty()
+    hot = got.where("customer_id = 'HOT'").agg(F.max("customer_txn_count_30d"), F.countDistinct("customer_txn_count_30d")).first()
+    assert tuple(hot) == (n // 3, n // 3)
 
 
 def test_velocity_plan_has_one_exchange_and_one_scan(spark, sf_small):

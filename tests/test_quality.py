@@ -52,3 +52,17 @@ def test_null_key_reports_first_rows(spark):
 def test_valid_passes(spark):
     QA.validate_transactions(_df(spark, [_good(i) for i in range(20)]))
     assert all(r.passed for r in QA.dq_report(_df(spark, [_good(i) for i in range(20)])).collect())
+
+
+def test_rows_without_an_id_are_named_by_position(spark):
+    rows = [(*_good(1), 0), (None, *_good(2)[1:], 1), (*_good(3), 2), (None, *_good(4)[1:], 3)]
+    df = spark.createDataFrame(rows, SCHEMA + ", pos long")
+    with pytest.raises(QA.ValidationError, match="first rows: row 1,row 3"):
+        QA.validate_transactions(df, order_col="pos")
+
+
+def test_quoted_line_ends(spark, tmp_path):
+    from txrisk.sources import io as IO
+    p = tmp_path / "t.csv"
+    p.write_text("transaction_id,location\n1,\"Paris,\nFR\"\n2,Oslo\n")
+    assert [tuple(r) for r in IO.scan_transactions(spark, str(p), multi_line=True).collect()] == [("1", "Paris,\nFR"), ("2", "Oslo")]

@@ -36,8 +36,7 @@ def test_velocity_matches_pandas_rolling(spark, seed):
         [(r.transaction_id, r.customer_id, r.timestamp.to_pydatetime(), None if np.isnan(r.amount) else float(r.amount))
          for r in pdf.itertuples()], "transaction_id string, customer_id string, timestamp timestamp, amount double")
     expect = _pandas_velocity(pdf)
-    odd = {"slice_seconds": 7000, "coarse_seconds": day}      # coarse not a multiple of fine
-    for method, kw in [("split", {"slice_seconds": int(rng.choice([3600, day, 7 * day]))}), ("split", odd),
+    for method, kw in [("ranges", {}), ("ranges", {"range_parts": int(rng.integers(1, 60))}),
                        ("sliced", {}), ("sliced", {"slice_days": 30}), ("events", {"hot_rows": 40}), ("range", {})]:
         got = {r.transaction_id: (r.customer_txn_count_30d, r.customer_avg_amount_30d)
                for r in FE.velocity_features(sdf, method=method, **kw).collect()}

@@ -12,11 +12,12 @@ give the same rows:
 * ``method="sliced"``: running sums inside (customer, slice of ``slice_days``).  Each row goes to its
   own slice; those of the last 30 days of a slice go to the next one too, as context.  One exchange
   and one scan.
-* ``method="split"``: running sums inside (customer, minute), plus the totals of the customer's
-  earlier minutes of the day and of earlier days, from partial aggregates.  No task holds more than
-  a minute of one customer, at the price of more exchanges.
+* ``method="ranges"``: all arrivals and expiries in one order (customer, time, id, row), cut into
+  ranges of about equal length; running sums inside (customer, range), plus the totals of the
+  customer's earlier ranges.  No task holds more than a range, even if all rows are those of one
+  customer in one microsecond, at the price of two exchanges and a written table.
 * ``method="events"`` (default): a count per customer first; customers with more than ``hot_rows``
-  rows are computed ``split``, all others ``sliced``.
+  rows are computed by ``ranges``, all others ``sliced``.
 * ``method="range"``: a RANGE frame on microseconds minus a tie-correction window.  One partition per
   customer; kept as the simple reference form.
 """
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions import expressions as X
-from txrisk.session import persist_shared
+from txrisk.session import materialize
 
 DAY_US = 86_400 * 1_000_000
 AMOUNT_DECIMAL = "decimal(28,8)"
-#: Rows of one customer that one task may sort; customers with more are split by the minute.
+#: Rows of one customer that one task may sort; customers with more are dealt by ranges.
 HOT_ROWS = 1_000_000
 
 ENGINEERED_NUMERIC = ["amount", "customer_txn_count_30d", "customer_avg_amount_30d",
@@ -99,109 +100,67 @@ def _velocity_sliced(df, cust, ts, tid, amount, window_days, slice_days):
     return out.where(F.col("_kind") == 1).select(*df.columns, "_vc", "_vs", "_vn")
 
 
-def _velocity_counted(df, cust, hot_rows, sliced, split):
-    """``split(...)`` for customers with more than ``hot_rows`` rows, ``sliced(...)`` for the others."""
+def _velocity_counted(df, cust, hot_rows, sliced, ranges):
+    """``ranges(...)`` for customers with more than ``hot_rows`` rows, ``sliced(...)`` for the others."""
     hot = df.where(F.col(cust).isNotNull()).groupBy(cust).count().where(F.col("count") > hot_rows).select(cust)
     if hot.isEmpty():
         return sliced(df)
     return sliced(df.join(hot, cust, "left_anti").select(*df.columns)).unionByName(
-        split(df.join(hot, cust, "left_semi").select(*df.columns)))
+        ranges(df.join(hot, cust, "left_semi").select(*df.columns)))
 
 
-def _velocity_split(df, cust, ts, tid, amount, window_days, slice_seconds, coarse_seconds):
-    W = window_days * DAY_US
-    fine_us = int(slice_seconds) * 1_000_000
-    # Coarse slices must be whole multiples of fine ones, so every fine slice nests in one coarse slice.
-    coarse_us = fine_us * max(1, -(-int(coarse_seconds) // int(slice_seconds)))
-    payload = df.columns
+def _velocity_ranges(df, cust, ts, tid, amount, window_days, parts):
     us = F.unix_micros(F.col(ts))
     valid = F.col(cust).isNotNull() & F.col(ts).isNotNull()
-    # One scan: every row yields its arrival and (when it has a customer and a
-    # time) its expiry 30 days later; expiry rows carry no payload.
-    arrival = F.struct(us.alias("t"), F.lit(1).alias("kind"), F.lit(1).alias("sgn"))
-    expiry = F.when(valid, F.struct((us + F.lit(W)).alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("sgn")))
-    ev = df.select(
-        *payload,
-        F.col(tid).cast("string").alias("_id"),
-        F.col(cust).alias("_cust"),
+    # One scan: every row yields its arrival and, if it has a customer and a time, its expiry; expiries carry
+    # no payload. Rows without a customer or time add nothing to any sum.
+    arrival = F.struct(us.alias("t"), F.lit(1).alias("kind"), F.when(valid, 1).otherwise(0).alias("sgn"))
+    expiry = F.when(valid, F.struct((us + F.lit(window_days * DAY_US)).alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("sgn")))
+    ev = df.withColumn("_row", F.monotonically_increasing_id()).select(
+        *df.columns, F.col(tid).cast("string").alias("_id"), F.col(cust).alias("_cust"), "_row",
         F.when(F.col(tid).isNotNull(), 1).otherwise(0).cast("long").alias("_c1"),
         F.when(F.col(amount).isNotNull(), 1).otherwise(0).cast("long").alias("_n1"),
         F.coalesce(F.col(amount).cast(AMOUNT_DECIMAL), F.lit(0).cast(AMOUNT_DECIMAL)).alias("_s1"),
         F.explode(F.filter(F.array(arrival, expiry), lambda e: e.isNotNull())).alias("_e"))
-    is_arrival = F.col("_e.kind") == 1
-    ev = ev.select(
-        *[F.when(is_arrival, F.col(c)).alias(c) for c in payload],
-        "_id", "_cust",
-        F.col("_e.t").alias("_t"), F.col("_e.kind").alias("_kind"),
-        (F.col("_c1") * F.col("_e.sgn")).alias("_dc"),
-        (F.col("_n1") * F.col("_e.sgn")).alias("_dn"),
-        (F.col("_s1") * F.col("_e.sgn")).cast("decimal(29,8)").alias("_ds"))
-    # Fine slice (window tasks) inside a coarse slice (offset tasks); rows without
-    # a usable time are spread by a hash salt instead.
-    salt = -1 - F.pmod(F.xxhash64("_id"), F.lit(1024))
-    has_t = F.col("_t").isNotNull()
-    ev = (ev.withColumn("_slice", F.when(has_t, F.floor(F.col("_t") / F.lit(fine_us))).otherwise(salt))
-            .withColumn("_coarse", F.when(has_t, F.floor(F.col("_t") / F.lit(coarse_us))).otherwise(salt)))
-    # Level 0: totals per (customer, fine slice), a partial (map-side) aggregate.
-    fine = ev.groupBy("_cust", "_coarse", "_slice").agg(
-        F.sum("_dc").alias("_tc"), F.sum("_dn").alias("_tn"), F.sum("_ds").alias("_ts"))
-    # Level 1: offsets of fine slices inside their coarse slice (<= coarse/fine rows per window).
-    inside = Window.partitionBy("_cust", "_coarse").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    fine = fine.select(
-        "_cust", "_coarse", "_slice", "_tc", "_tn", "_ts",
-        F.coalesce(F.sum("_tc").over(inside), F.lit(0)).alias("_fc"),
-        F.coalesce(F.sum("_tn").over(inside), F.lit(0)).alias("_fn"),
-        F.coalesce(F.sum("_ts").over(inside), F.lit(0).cast("decimal(38,8)")).alias("_fs"))
-    # Read twice below (day totals, offset join): persisted so the source is not scanned again.
-    fine = persist_shared(fine)
-    # Level 2: offsets of coarse slices per customer (one row per active coarse slice).
-    coarse = fine.groupBy("_cust", "_coarse").agg(
-        F.sum("_tc").alias("_kc"), F.sum("_tn").alias("_kn"), F.sum("_ts").alias("_ks"))
-    before = Window.partitionBy("_cust").orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(
-        "_cust", "_coarse",
-        F.coalesce(F.sum("_kc").over(before), F.lit(0)).alias("_cc"),
-        F.coalesce(F.sum("_kn").over(before), F.lit(0)).alias("_cn"),
-        F.coalesce(F.sum("_ks").over(before), F.lit(0).cast("decimal(38,8)")).alias("_cs"))
-    offsets = fine.join(coarse, ["_cust", "_coarse"]).select(
-        "_cust", "_slice",
-        (F.col("_fc") + F.col("_cc")).alias("_oc"), (F.col("_fn") + F.col("_cn")).alias("_on"),
-        (F.col("_fs") + F.col("_cs")).alias("_os"))
-    # Row level: running sums inside (customer, fine slice).
-    order = Window.partitionBy("_cust", "_slice").orderBy("_t", "_kind", "_id")
-    within = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    arrivals = (ev.select("*", F.sum("_dc").over(within).alias("_rc"), F.sum("_dn").over(within).alias("_rn"),
-                          F.sum("_ds").over(within).alias("_rs"))
-                  .where(F.col("_kind") == 1))
-    j = arrivals.join(offsets, ["_cust", "_slice"], "left")
-    return j.select(
-        *[F.col(c) for c in payload],
-        (F.col("_rc") + F.coalesce("_oc", F.lit(0))).alias("_vc"),
-        (F.col("_rs") + F.coalesce("_os", F.lit(0))).alias("_vs"),
-        (F.col("_rn") + F.coalesce("_on", F.lit(0))).alias("_vn"),
-    )
+    ev = ev.select(*[F.when(F.col("_e.kind") == 1, F.col(c)).alias(c) for c in df.columns], "_cust", "_id", "_row",
+                   F.col("_e.t").alias("_t"), F.col("_e.kind").alias("_kind"),
+                   (F.col("_c1") * F.col("_e.sgn")).alias("_dc"), (F.col("_n1") * F.col("_e.sgn")).alias("_dn"),
+                   (F.col("_s1") * F.col("_e.sgn")).cast("decimal(29,8)").alias("_ds"))
+    # Ranges of the whole order, down to the single row: neither a customer nor a minute of one is kept together.
+    # Written once, so that the sums and the totals below see the same ranges.
+    order = ["_t", "_kind", "_id", "_row"]
+    dealt = ev.repartitionByRange(*([parts] if parts else []), "_cust", *order)
+    ev = materialize(dealt.withColumn("_part", F.spark_partition_id()), "velocity-ranges")
+    # What the earlier ranges of a customer add up to: one row for each range that a customer reaches into.
+    totals = ev.where(F.col("_cust").isNotNull()).groupBy("_cust", "_part").agg(*[F.sum(f"_d{x}").alias(f"_t{x}") for x in "cns"])
+    before = Window.partitionBy("_cust").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_cust", "_part", *[F.sum(f"_t{x}").over(before).alias(f"_o{x}") for x in "cns"])
+    within = Window.partitionBy("_cust", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ev.select("*", *[F.sum(f"_d{x}").over(within).alias(f"_r{x}") for x in "cns"]).where(F.col("_kind") == 1)
+    return sums.join(offsets, ["_cust", "_part"], "left").select(
+        *df.columns, *[(F.col(f"_r{x}") + F.coalesce(f"_o{x}", F.lit(0))).alias(f"_v{x}") for x in "cns"])
 
 
 def velocity_features(df: DataFrame, customer_col: str = "customer_id", ts_col: str = "timestamp",
                       id_col: str = "transaction_id", amount_col: str = "amount",
                       window_days: int = 30, method: str = "events",
-                      slice_seconds: int = 60, coarse_seconds: int = 86_400, slice_days: int = 90,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+                      slice_days: int = 90, hot_rows: int = HOT_ROWS, range_parts: int | None = None) -> DataFrame:
     """F3 + F4: customer_txn_count_30d and customer_avg_amount_30d.
 
     Count is over non-missing transaction ids; the mean skips missing amounts
     and is NULL when none remain.  Rows without a customer (or time) keep the
     defaults count 1 and mean = own amount, as a per-customer group-by would.
+    ``range_parts``: ranges of the ``ranges`` form (default: the shuffle partitions).
     """
     cols = (customer_col, ts_col, id_col, amount_col, window_days)
     forms = {"sliced": lambda d: _velocity_sliced(d, *cols, slice_days),
-             "split": lambda d: _velocity_split(d, *cols, slice_seconds, coarse_seconds)}
+             "ranges": lambda d: _velocity_ranges(d, *cols, range_parts)}
     if method == "range":
         v = _velocity_range(df, customer_col, ts_col, id_col, amount_col, window_days)
     elif method in forms:
         v = forms[method](df)
     elif method == "events":
-        v = _velocity_counted(df, customer_col, hot_rows, forms["sliced"], forms["split"])
+        v = _velocity_counted(df, customer_col, hot_rows, forms["sliced"], forms["ranges"])
     else:
         raise ValueError(f"unknown velocity method {method!r}")
     grouped = F.col(customer_col).isNotNull() & F.col(ts_col).isNotNull()
@@ -223,11 +182,11 @@ def amount_ratio(df: DataFrame, amount_col: str = "amount") -> DataFrame:
 def engineer_features(df: DataFrame, ts_col: str = "timestamp", customer_col: str = "customer_id",
                       id_col: str = "transaction_id", amount_col: str = "amount",
                       location_col: str = "location", method: str = "events",
-                      slice_seconds: int = 60, order_by_time: bool = False) -> DataFrame:
+                      order_by_time: bool = False) -> DataFrame:
     """F1-F5 composed.  Ordering by time is only applied when asked for."""
     # Row-local features are added after the velocity shuffle so they are not carried through it.
     out = (df.transform(lambda d: velocity_features(d, customer_col, ts_col, id_col, amount_col,
-                                                    method=method, slice_seconds=slice_seconds))
+                                                    method=method))
              .transform(lambda d: temporal_features(d, ts_col))
              .transform(lambda d: international_flag(d, location_col))
              .transform(lambda d: amount_ratio(d, amount_col)))

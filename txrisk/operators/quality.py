@@ -106,7 +106,8 @@ def dq_report(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transa
     the schema; checks on absent columns are left out.  One scan of the input
     emits a narrow (check, order key, id) row per failed check; that set is
     persisted and every count and first-5 sample is taken from it, so the
-    input is read once however many checks there are.
+    input is read once however many checks there are. Rows are named by id, and where ``order_col`` is
+    another column, those without an id by ``row <order_col>``.
     """
     spark = df.sparkSession
     required = _rename(REQUIRED_COLUMNS, ts_col)
@@ -131,13 +132,16 @@ def dq_report(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transa
         if "amount" in df.columns:
             checks.append((6, "non_positive_amount", 0, "amount", _num("amount") <= 0))
         hits = F.array(*[F.when(cond, F.struct(F.lit(i).alias("k"))) for i, (_, _, _, _, cond) in enumerate(checks)])
-        failing = (df.select(F.col(order_col).alias("_o"), F.col(id_col).cast("string").alias("_s"),
+        name = F.col(id_col).cast("string")
+        if order_col != id_col:
+            name = F.coalesce(name, F.concat(F.lit("row "), F.col(order_col).cast("string")))
+        failing = (df.select(F.col(order_col).alias("_o"), name.alias("_s"),
                              F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_h"))
                      .select(F.col("_h.k").alias("_k"), "_o", "_s"))
         failing = persist_shared(failing)
-        for i, (no, name, pos, col, _) in enumerate(checks):
+        for i, (no, check, pos, col, _) in enumerate(checks):
             mine = F.col("_k") == i
-            rows.append(_row(spark, check_no=no, check_name=name, col_pos=pos, column_name=col,
+            rows.append(_row(spark, check_no=no, check_name=check, col_pos=pos, column_name=col,
                              n_bad=failing.agg(F.count_if(mine)).scalar(),
                              first_rows=_sample(failing, mine, F.col("_s"), "_o")))
     out = reduce(DataFrame.unionByName, rows)

@@ -47,16 +47,19 @@ def all_string_schema(columns=RAW_COLUMNS) -> T.StructType:
 
 
 def scan_transactions(spark: SparkSession, path: str, fmt: str = "csv", columns=None,
-                      missing=tuple(MISSING_TEXTS), order_col: str | None = None) -> DataFrame:
+                      missing=tuple(MISSING_TEXTS), order_col: str | None = None,
+                      multi_line: bool = False) -> DataFrame:
     """Read a transaction file with a header, every column as text.
 
     A missing path raises ``AnalysisException`` (PATH_NOT_FOUND).  For CSV the
     header decides the columns; pass ``columns`` to pin them.  Texts that stand for
     a missing value become NULL (``missing=()`` keeps them).  ``order_col`` adds the
     position of each row in the input, by which results can be put back in order.
+    ``multi_line``: quoted values may hold line ends; a file is then one task, so the
+    default takes every line end as the end of a row and splits files.
     """
     if fmt == "csv":
-        reader = spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE")
+        reader = spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE").option("multiLine", multi_line)
         names = columns if columns is not None else reader.csv(path).columns  # header only, no inference
         df = reader.schema(all_string_schema(names)).csv(path)
     else:
