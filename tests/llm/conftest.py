@@ -37,7 +37,9 @@ def tables():
     swapped = TEXT.split()
     swapped[30] = swapped[36] = "other"
     bench = [(1, " ".join(TEXT.split()[10:40])), (2, None), (3, ""), (4, "too short"), (5, " ".join(swapped[24:45])),
-             (6, "the old mill by the river and it was"), (6, "the old mill by the river and it was"), (7, "nothing of this is found in any of the texts here at all")]
+             (6, "the old mill by the river and it was"), (6, "the old mill by the river and it was"), (8, "the noise that the Wheel!"),
+             (9, "the wheel should be so LOUD or what he should do about"), (10, "by the river and"), (11, "at night and everybody"),
+             (12, "why the wheel should be quite so loud or what he could"), (7, "nothing of this is found in any of the texts here at all")]
     pages = [(i, f"http://a/{i}", "<p>" + "é" * 600 + "</p>") for i in range(5)] + [
         (10, None, None), (11, "u\r\nX: y", ""), (12, "u", ""), (None, "u", "z" * 1000), (None, "u", "z" * 1000), (13, "u", "y" * 999),
         (14, "u", "y" * 999), (15, "u", "x" * 1000), (15, "u", "x" * 1000), (16, "u", "x" * 1000), (None, "u", "x" * 1000)]

@@ -27,6 +27,28 @@ def test_masks_miss_no_two_replaced_words():
                    for s in range(decontaminate.WINDOW - decontaminate.SPAN + 1))
 
 
+def test_masks_miss_no_replaced_word_of_short_items():
+    for n in (10, 11, 12):
+        for gone in range(n):
+            assert any(gone - s not in mask for mask in decontaminate.MASKS for s in range(n - decontaminate.SPAN + 1))
+
+
+def test_short_items(spark):
+    """Whole items of four words on; one replaced word from ten on; never less."""
+    words = [f"w{i}" for i in range(40)]
+    text = " ".join(words)
+    items = {}
+    for n in range(1, 13):
+        items[n] = words[5:5 + n]                                   # as it stands
+        items[100 + n] = [*words[5:4 + n], "other"]                 # last word replaced
+        items[200 + n] = [*words[5:5 + n // 2], "other", *words[6 + n // 2:5 + n]]   # a word in the middle
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words[5:9])), (3, None), (4, "w5 w6")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.equal_words, r.first_word) for r in decontaminate.overlaps(docs, bench).collect()}
+    want = {(1, n): (n, 5) for n in range(4, 13)} | {(1, k + n): (n - 1, 5) for k in (100, 200) for n in (10, 11, 12)} | {(2, 4): (4, 0)}
+    assert got == want
+
+
 def test_index_too_large_to_broadcast(spark, awkward, monkeypatch):
     docs, bench = (spark.read.parquet(f"{awkward}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()), key=repr)

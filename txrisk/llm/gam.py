@@ -9,7 +9,8 @@ most on what the single features leave. A score is the logistic of a sum of look
 found for whole batches by bin searches and additions.
 
 The fit uses at most ``SAMPLE`` labelled rows, those with the least hash of their id, so the driver
-never holds more than that many rows of a dozen numbers; below the bound it uses them all. The texts
+never holds more than that many rows of a dozen numbers; below the bound it uses them all. Very long
+texts cost time in their task; of them too only a dozen numbers remain. The texts
 are read once: features go to the shared folder, and both the fit and the scores start there.
 
 Null and empty texts have zero features and a score like any text. Labels that are null or belong to
@@ -31,6 +32,8 @@ from txrisk.llm.common import let, words, written
 from txrisk.llm.quality import with_measures
 
 SAMPLE = 20_000
+#: Ranges of the id's hash that are counted to find where the sample ends, as a power of two.
+CUT_BITS = 12
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -192,7 +195,16 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = written(features(docs, "text", ["doc_id"]).withColumn("held_out", fold(F.col("doc_id"))), "gam-features")
     marks = labels.select(F.col(f"`{label_id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = table.filter(~F.col("held_out")).join(marks.filter(F.col("y").isin(0, 1)), "doc_id")
-    rows = known.select("doc_id", "y", "x").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).toArrow()
+    # The sample is the head of the order of a hash. Counts of ranges of that hash tell where it ends, so that only
+    # rows near the head are sorted and sent, however many are labelled.
+    place = F.shiftright(F.xxhash64("doc_id"), 64 - CUT_BITS)
+    total, cut = 0, None
+    for r in known.groupBy(place.alias("p")).count().orderBy("p").collect():   # 2^CUT_BITS rows at most
+        total, cut = total + r["count"], r["p"]
+        if total >= sample:
+            break
+    head = known.filter(place <= cut) if cut is not None else known
+    rows = head.select("doc_id", "y", "x").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     model = fit(x, rows["y"].to_numpy().astype(float))
     scored = table.select("doc_id", "held_out", score_column(F.col("x"), model).alias("score"))

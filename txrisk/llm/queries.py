@@ -114,7 +114,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(co
 b AS (SELECT row_number() OVER () AS j, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w
       FROM benchmark),
 dw AS (SELECT r, unnest(w) AS w, unnest(generate_series(1, len(w))) AS p FROM d),
-bw AS (SELECT j, len(w) AS n, unnest(w) AS w, unnest(generate_series(1, len(w))) AS q FROM b WHERE len(w) >= 8),
+bw AS (SELECT j, len(w) AS n, unnest(w) AS w, unnest(generate_series(1, len(w))) AS q FROM b WHERE len(w) >= 4),
 dg AS (SELECT r, p, w, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4 FROM dw
        WINDOW x AS (PARTITION BY r ORDER BY p)),
 bg AS (SELECT j, q, w, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4 FROM bw
@@ -126,7 +126,7 @@ win AS (SELECT r, j, o, q, n, sum(e) OVER x AS s, count(*) OVER x AS c FROM eq
         WINDOW x AS (PARTITION BY r, j, o ORDER BY q ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING))
 SELECT doc_id, item_id, max(s)::BIGINT AS equal_words, min(q + o - 1)::BIGINT AS first_word
 FROM win JOIN d USING (r) JOIN b USING (j)
-WHERE c = least(13, n) AND s >= CASE WHEN n >= 13 THEN 11 ELSE n END
+WHERE c = least(13, n) AND s >= CASE WHEN n >= 13 THEN 11 WHEN n >= 10 THEN n - 1 ELSE n END
 GROUP BY doc_id, item_id""")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of a benchmark item, with the item."""
