@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, chat, decontaminate, gam, lattice, linededup, quality, simhash, tokenfile, warc
+from txrisk.llm import bpe, chat, common, components, decontaminate, gam, lattice, linededup, quality, simhash, tokenfile, warc
 from txrisk.llm.common import join_hot, shared_path
 from txrisk.llm.components import star_components
 
@@ -70,6 +70,41 @@ def test_anchors_meet(spark):
         assert all(top(a) == top(b) for a, b in pairs)
 
 
+def test_cuts_of_a_crowd_lose_no_link(spark):
+    """Many values at a few anchors, cut into 4, 20 and 56 lists by the size of the crowd, against all pairs."""
+    rng = random.Random(5)
+    low = [rng.getrandbits(32) for _ in range(3)]
+    values = [rng.choice(low) | rng.getrandbits(32) << 32 for _ in range(500)]
+    values += [v ^ sum(1 << k for k in rng.sample(range(64), 3)) for v in values[::2]]
+    values = np.array(sorted(set(values)), np.uint64)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
+    group = np.arange(len(values))
+    for _ in values:
+        least = np.array([group[n].min() for n in near])
+        if (least == group).all():
+            break
+        group = least
+    prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    for crowd in (simhash.CROWD, 100, 10, 1):                   # not cut; 4 lists; 4 and 20; all three
+        root = {r.node: r.root for r in star_components(simhash.links(prints, crowd=crowd)).collect()}
+        named = [root.get(v, v) for v in values.view(np.int64).tolist()]
+        assert len(set(zip(named, group.tolist()))) == len(set(named)) == len(set(group.tolist()))
+
+
+def test_components_of_stars_with_a_hot_centre(spark, monkeypatch):
+    """Two stars of 3,000 leaves joined by a leaf: the centres are dealt over salts, and no link is lost."""
+    seen, plain = [], components.join_hot
+
+    def spy(big, small, key, rows, count, deal):
+        seen.append(small.agg(F.max(count)).first()[0] / max(rows // common.HOT_SHARE, 1))
+        return plain(big, small, key, rows, count, deal)
+
+    monkeypatch.setattr(components, "join_hot", spy)
+    links = [(0, i) for i in range(2, 3002)] + [(1, i) for i in range(3001, 6001)]
+    got = {r.node: r.root for r in star_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1, 6001), 0) and max(seen) >= 1000
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (7, 7)]
     random.Random(1).shuffle(chain)

@@ -75,7 +75,7 @@ def sift(big: DataFrame, hash_of: Column, small: DataFrame, small_hash: Column)
     return met.filter(F.col("_m").bitwiseAND(bit(F.col("_p"))) != 0).select(*big.columns)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, rows: int, count: str) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, rows: int, count: str, deal: list[str] | None = None) -> DataFrame:
     """Left join of ``big`` to ``small`` (one row a key) where a few keys may hold most rows.
 
     ``small[count]`` is the number of rows of ``big`` with that key and ``rows`` the number of rows
@@ -83,14 +83,15 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, rows: int, count: str)
     shares; its row in ``small`` is repeated for each, which makes fewer than ``HOT_SHARE`` repeats
     in all. Only keys and numbers of salts are broadcast, for fewer than ``HOT_SHARE`` keys by
     arithmetic. The salt follows from the row and its place in the input, so that equal rows are dealt too; ``big`` is to
-    be a stored table, or made from one row by row, so that a task that runs again deals alike. Null keys have
-    no partner. Returns the columns of ``big`` and those of ``small`` but for key and count.
+    be a stored table, or made from one row by row, so that a task that runs again deals alike. Where ``deal``
+    names columns that tell the rows of a key apart, the salt follows from those alone and ``big`` may come from
+    a shuffle. Null keys have no partner. Returns the columns of ``big`` and those of ``small`` but for key and count.
     """
     least = max(rows // HOT_SHARE, 1)
     rest = [c for c in small.columns if c not in (key, count)]
     salts = F.ceil(F.col(count) / F.lit(least)).cast("int")
     hot = small.filter(F.col(count) > least).select(key, salts.alias("_salts"))
-    mark = F.xxhash64(F.monotonically_increasing_id(), *[F.col(c) for c in big.columns])
+    mark = F.xxhash64(*deal) if deal else F.xxhash64(F.monotonically_increasing_id(), *[F.col(c) for c in big.columns])
     dealt = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(mark, F.when(
         F.col(key).isNull(), F.lit(HOT_SHARE)).otherwise(F.coalesce("_salts", F.lit(1)))).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))

@@ -11,8 +11,9 @@ anchor within radius plus one bit, so that two values one bit apart always meet
 either. At each anchor the members are compared by all 64 bits.
 
 Equal fingerprints are one member from the start. An anchor with more members than ``CROWD`` is cut
-further: 3 differing bits leave one of four bytes of the other half alone, so members go to four
-lists each, by the value of a byte, and links within the list are the same links. A list is read
+further: the other half falls into p pieces, 3 differing bits leave p - 3 of them alone, so members go to
+one list for each choice of p - 3 pieces, by their values, and links within the lists are the same links.
+More members take more pieces (``CUTS``): 8, 16 or 20 bits name a list. A list is read
 as a stream of sorted rows and only holds its own members (16 bytes each); the search marks what
 it has reached and compares only with the rest, so a dense crowd costs about one comparison a
 member. A list yields one link a member at most, not the pairs. Links are then reduced to
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,10 @@ from txrisk.llm.components import star_components
 
 MAX_BITS = 3
 SHINGLE = 3
-#: Members beyond which an anchor is cut into byte lists.
+#: Members beyond which an anchor is cut into lists.
 CROWD = 4096
+#: (multiple of ``CROWD`` beyond which it applies, pieces of the other half).
+CUTS = ((1, 4), (16, 6), (256, 8))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -172,19 +176,27 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
     yield from done()
 
 
+def _lists(anchor: Column, other: Column, pieces: int) -> Column:
+    """One list for each choice of all but ``MAX_BITS`` of the pieces of ``other`` (its low 32 bits), named by their bits."""
+    edges = [32 * i // pieces for i in range(pieces + 1)]
+    piece = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    masks = F.lit(np.array([sum(c) for c in combinations(piece, pieces - MAX_BITS)], "int64"))
+    return F.transform(masks, lambda m: F.xxhash64(anchor, m, other.bitwiseAND(m)))
+
+
 def links(prints: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
     """(a, b) links that connect what is linked among the distinct fingerprints ``prints.fp``."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves and one spare bit cover 3 differing bits at most")
     keys = _keys(prints)
     size = keys.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
-    busy = size.filter((F.col("n") > 1) & (F.col("h") > 0)).select("anchor", (F.col("n") > crowd).alias("cut"))
+    level = reduce(lambda a, c: F.when(F.col("n") > c[0] * crowd, F.lit(c[1])).otherwise(a), CUTS, F.lit(0))
+    busy = size.filter((F.col("n") > 1) & (F.col("h") > 0)).select("anchor", level.alias("pieces"))
     met = keys.join(busy, "anchor")
-    # 3 differing bits leave one of the four bytes of the other half as it is
     other = F.when(F.col("anchor") < F.lit(1 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.xxhash64(
-        "anchor", i, F.call_function("shiftright", other, i * 8).bitwiseAND(F.lit(255))))
-    lists = F.when(F.col("cut"), cut).otherwise(F.array(F.xxhash64("anchor")))
+    lists = F.array(F.xxhash64("anchor"))
+    for _, pieces in CUTS:
+        lists = F.when(F.col("pieces") == pieces, _lists(F.col("anchor"), other, pieces)).otherwise(lists)
     rows = met.select("fp", "home", F.explode(lists).alias("list"))
     dealt = rows.repartition("list").sortWithinPartitions("list", "fp")
     found = dealt.mapInArrow(lambda it: _links(it, max_bits), "a long, b long")
@@ -202,6 +214,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = star_components(links(prints.select("fp"), max_bits, crowd))      # (node, root)
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select(
         "fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = named.join(least, "root").select("fp", "rows", "component_id")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    of_print = join_hot(named, least, "root", total, "prints", ["fp"]).select("fp", "rows", "component_id")
     return join_hot(docs, of_print, "fp", total, "rows").select("doc_id", "fp", "component_id")
