@@ -105,6 +105,18 @@ def test_components_of_stars_with_a_hot_centre(spark, monkeypatch):
     assert got == dict.fromkeys(range(1, 6001), 0) and max(seen) >= 1000
 
 
+def test_sift_keeps_every_partner(spark, monkeypatch):
+    """Rows with a partner stay, nearly all others go, null hashes too; a full map lets all pass."""
+    big = spark.range(20000).select(F.when(F.col("id") % 7 > 0, F.xxhash64("id")).alias("h"), "id")
+    small = spark.range(0, 20000, 50).select(F.xxhash64("id").alias("k"))
+    kept = {r.id for r in common.sift(big, F.col("h"), small, F.col("k")).collect()}
+    want = {i for i in range(0, 20000, 50) if i % 7}
+    assert want <= kept and len(kept) < len(want) + 20
+    assert common.sift(big, F.col("h"), small.limit(0), F.col("k")).count() == 0
+    monkeypatch.setattr(common, "SIFT_BITS", 8)
+    assert common.sift(big, F.col("h"), small, F.col("k")).count() == 20000
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (7, 7)]
     random.Random(1).shuffle(chain)
