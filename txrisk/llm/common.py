@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,21 +65,21 @@ def sift(big: DataFrame, hash_of: Column, small: DataFrame, small_hash: Column)
     """The rows of ``big`` whose hash may be among those of ``small``: all that are, and few others.
 
     The hashes of ``small``, a stored table, are laid into a bit map of 2^``SIFT_BITS`` places, so that rows
-    without a partner need not be shuffled. The map is broadcast as pages of 1,024 longs, 8 MB in all whatever the
-    size of ``small``. With more rows than places the map would let most pass, and ``big`` is returned as it
-    is; a join must follow either way."""
+    without a partner need not be shuffled. A row of the map holds eight longs of places; at most 2^17 such
+    rows, some 15 MB, are broadcast whatever the size of ``small``. With more rows than places the map would let most
+    pass, and ``big`` is returned as it is; a join must follow either way."""
     if small.count() > 1 << SIFT_BITS:
         return big
     place = lambda h: F.pmod(h, F.lit(1 << SIFT_BITS))
     bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))
-    at = small.select(place(small_hash).alias("p")).select(F.shiftright("p", 6).alias("w"), bit(F.col("p")).alias("m"))
-    every = big.sparkSession.range(1 << SIFT_BITS - 6).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("m"))
-    taken = at.unionByName(every).groupBy("w").agg(F.bit_or("m").alias("m"))
-    pages = taken.groupBy(F.shiftright("w", 10).alias("_page")).agg(F.sort_array(F.collect_list(F.struct("w", "m")))["m"].alias("_m"))
+    which = lambda p: F.shiftright(p, 6).bitwiseAND(7)
+    at = small.select(place(small_hash).alias("p"))
+    marks = at.groupBy(F.shiftright("p", 9).alias("_w")).agg(
+        *[F.bit_or(F.when(which(F.col("p")) == j, bit(F.col("p")))).alias(f"_m{j}") for j in range(8)])
     put = big.withColumn("_p", place(hash_of))
-    met = put.join(F.broadcast(pages), F.shiftright("_p", 16) == F.col("_page"))
-    long = F.get("_m", F.shiftright("_p", 6).bitwiseAND(1023).cast("int"))
-    return met.filter(long.bitwiseAND(bit(F.col("_p"))) != 0).select(*big.columns)
+    met = put.join(F.broadcast(marks), F.shiftright("_p", 9) == F.col("_w"))
+    mark = reduce(lambda c, j: c.when(which(F.col("_p")) == j, F.col(f"_m{j}")), range(8), F)
+    return met.filter(mark.bitwiseAND(bit(F.col("_p"))) != 0).select(*big.columns)
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str, rows: int, count: str, deal: list[str] | None = None) -> DataFrame:
