@@ -3,6 +3,7 @@ import duckdb
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from txrisk.operators import mlprep as MP
@@ -63,3 +64,18 @@ def test_results_are_read_off_the_score_table(spark, searched):
 def test_partitions_follow_the_rows():
     parts = [MD.fit_partitions(n) for n in (0, 1, 8_000, 80_000, 10**6, 10**8, 10**10)]
     assert parts == [1, 1, 8, 80, 1000, 10_000, 100_000]
+
+
+def test_forests_take_few_partitions():
+    """Every partition sends the statistics of all open nodes, so a forest's input of 480,000 rows is not cut into 480."""
+    parts = [MD.forest_partitions(n) for n in (0, 1, 8_000, 80_000, 480_000, 4_800_000, 28_800_000)]
+    assert parts == [1, 1, 8, 12, 12, 48, 288]
+
+
+def test_forest_keeps_node_ids_and_its_model(spark):
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("transaction_id"), ((F.col("id") * 37) % 101).cast("double").alias("x"),
+                                    ((F.col("id") * 53) % 89).cast("double").alias("y"))
+    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows).withColumn(
+        "is_anomaly", ((F.col("x") * F.col("y")) % 7 < 2).cast("int"))
+    a, b = (MD.train_forest(rows, num_trees=4, max_depth=9, **kw) for kw in ({}, {"cacheNodeIds": False}))
+    assert a.getCacheNodeIds() and a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:] and a.totalNumNodes > 100
