@@ -86,6 +86,28 @@ def test_score_batch_keeps_rows_and_order(spark, encoded):
     assert sum(r["count"] for r in counts) == len(rows)
 
 
+def test_score_batch_returns_invalid_rows_without_a_score(spark, encoded):
+    """One bad row must not cost the batch: every row comes back, the bad ones unscored and no context of others."""
+    from txrisk.operators import quality as QA
+    enc, pipe = encoded
+    model = MD.train_logistic(enc.where(F.col("split") == "train"), max_iter=5)
+    good = A.transactions(spark, "/root/testdata/sf0.001").limit(200).cache()
+    first = good.limit(1)
+    bad = first.withColumn("amount", F.lit(0.0)).withColumn("transaction_id", F.lit("ZERO")).unionByName(
+        first.withColumn("customer_id", F.lit(None).cast("string")).withColumn("transaction_id", F.lit("NOBODY"))).unionByName(
+        first.withColumn("amount", F.lit(None).cast("double")).withColumn("transaction_id", F.lit("EMPTY")))
+    batch = good.unionByName(bad)
+    with pytest.raises(QA.ValidationError):
+        MD.score_batch(batch, pipe, model, ts_col="ts")
+    out = MD.score_batch(batch, pipe, model, ts_col="ts", keep_invalid=True)
+    assert out.columns == batch.columns + ["prediction", "probability_score", "risk_score", "risk_level"]
+    unscored = out.where(F.col("prediction").isNull())
+    assert {r.transaction_id for r in unscored.collect()} == {"ZERO", "NOBODY", "EMPTY"}
+    assert unscored.where(F.coalesce("probability_score", "risk_score", F.col("risk_level").isNotNull().cast("int")) > 0).isEmpty()
+    alone = MD.score_batch(good, pipe, model, ts_col="ts")
+    assert out.where(F.col("prediction").isNotNull()).exceptAll(alone).isEmpty() and out.count() == 203
+
+
 def test_model_store_round_trip(spark, encoded):
     enc, pipe = encoded
     model = MD.train_logistic(enc.where(F.col("split") == "train"))

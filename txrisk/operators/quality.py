@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.session import persist_shared
@@ -97,6 +97,26 @@ def dq_non_positive(df: DataFrame, amount_col: str = "amount", order_col: str =
                 first_rows=_sample(df, bad, F.col(id_col), order_col))
 
 
+def row_checks(df: DataFrame, ts_col: str = "timestamp") -> list:
+    """V3-V6 row by row: (check_no, check_name, col_pos, column_name, condition that a failing row meets), in
+    reference order; checks on absent columns are left out."""
+    checks = [(3, "null_keys", i, c, F.col(c).isNull())
+              for i, c in enumerate(c for c in _rename(CRITICAL_COLUMNS, ts_col) if c in df.columns)]
+    if "amount" in df.columns:
+        checks.append((4, "non_numeric_amount", 0, "amount",
+                       F.col("amount").isNotNull() & _num("amount").isNull()))
+    if ts_col in df.columns:
+        checks.append((5, "bad_timestamp", 0, ts_col, F.col(ts_col).isNotNull() & _ts(ts_col).isNull()))
+    if "amount" in df.columns:
+        checks.append((6, "non_positive_amount", 0, "amount", _num("amount") <= 0))
+    return checks
+
+
+def fails_a_check(df: DataFrame, ts_col: str = "timestamp") -> Column:
+    """Whether a row of ``df`` fails one of V3-V6 (never null)."""
+    return reduce(lambda a, b: a | b, [F.coalesce(c[-1], F.lit(False)) for c in row_checks(df, ts_col)], F.lit(False))
+
+
 def dq_report(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transaction_id",
               id_col: str = "transaction_id") -> DataFrame:
     """V7: all checks in reference order: ``check_no, check_name, col_pos, column_name, n_bad,
@@ -122,15 +142,7 @@ def dq_report(df: DataFrame, ts_col: str = "timestamp", order_col: str = "transa
              n_bad=F.lit(len(missing)).cast("long"), first_rows=null_str),
     ]
     if order_col in df.columns and id_col in df.columns:
-        checks = [(3, "null_keys", i, c, F.col(c).isNull())
-                  for i, c in enumerate(c for c in _rename(CRITICAL_COLUMNS, ts_col) if c in df.columns)]
-        if "amount" in df.columns:
-            checks.append((4, "non_numeric_amount", 0, "amount",
-                           F.col("amount").isNotNull() & _num("amount").isNull()))
-        if ts_col in df.columns:
-            checks.append((5, "bad_timestamp", 0, ts_col, F.col(ts_col).isNotNull() & _ts(ts_col).isNull()))
-        if "amount" in df.columns:
-            checks.append((6, "non_positive_amount", 0, "amount", _num("amount") <= 0))
+        checks = row_checks(df, ts_col)
         hits = F.array(*[F.when(cond, F.struct(F.lit(i).alias("k"))) for i, (_, _, _, _, cond) in enumerate(checks)])
         name = F.col(id_col).cast("string")
         if order_col != id_col:
