@@ -243,3 +243,12 @@ def test_equal_rows_of_a_hot_key_are_dealt(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(hot) > 4 and max(r["count"] for r in hot) < 500
+
+
+def test_keys_of_few_prints_are_not_broadcast(spark):
+    """Thirty keys a fingerprint look as small as the fingerprints to the planner: they are met by a merge join."""
+    prints = common.written(spark.range(3000).select(F.xxhash64("id").alias("fp")), "test-prints")
+    links = simhash.links(prints)
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

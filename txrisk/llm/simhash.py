@@ -185,14 +185,18 @@ def _lists(anchor: Column, other: Column, pieces: int) -> Column:
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
-    """(a, b) links that connect what is linked among the distinct fingerprints ``prints.fp``."""
+    """(a, b) links that connect what is linked among the distinct fingerprints ``prints.fp``.
+
+    Some 30 keys come from each fingerprint, which Spark's estimate of ``prints`` does not tell: taken for as small as
+    ``prints``, they would be broadcast. So keys are written once, and met by a merge join of two stored tables, whose skewed
+    partitions Spark can split."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves and one spare bit cover 3 differing bits at most")
-    keys = _keys(prints)
+    keys = written(_keys(prints), "simhash-keys")
     size = keys.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
     level = reduce(lambda a, c: F.when(F.col("n") > c[0] * crowd, F.lit(c[1])).otherwise(a), CUTS, F.lit(0))
-    busy = size.filter((F.col("n") > 1) & (F.col("h") > 0)).select("anchor", level.alias("pieces"))
-    met = keys.join(busy, "anchor")
+    busy = written(size.filter((F.col("n") > 1) & (F.col("h") > 0)).select("anchor", level.alias("pieces")), "simhash-busy")
+    met = keys.join(busy.hint("merge"), "anchor")
     other = F.when(F.col("anchor") < F.lit(1 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
     lists = F.array(F.xxhash64("anchor"))
     for _, pieces in CUTS:
