@@ -33,3 +33,18 @@ def test_tier_counts_stream_plan(spark, sf_small):
     t = A.closed_form_score(A.transactions(spark, sf_small)).withColumn("risk_level", F.lit("Low Risk"))
     df = tier_counts_stream(t, ts_col="ts")
     assert set(df.columns) == {"window", "risk_level", "count"}
+
+
+def test_expiries_after_the_last_wanted_row_are_left_out(spark):
+    """Rows up to ``until`` get the same values, ties of an expiry with it included, and no later event is made."""
+    day = 86_400
+    rows = [(f"t{i:03}", f"c{i % 3}", 1_700_000_000 + (i * 7919 % 100) * day, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "transaction_id string, customer_id string, s long, amount double").select(
+        "*", F.timestamp_seconds("s").alias("timestamp")).drop("s")
+    last = 1_700_000_000 + 70 * day          # 30 days before it there are rows: their expiries fall on it
+    wanted = F.unix_seconds("timestamp") <= last
+    cols = ["transaction_id", "customer_txn_count_30d", "customer_avg_amount_30d"]
+    want = sorted(map(tuple, FE.velocity_features(df, method="range").where(wanted).select(*cols).collect()))
+    for form in ("sliced", "ranges", "events"):
+        got = FE.velocity_features(df, method=form, slice_days=40, hot_rows=60, until=last * 1_000_000)
+        assert sorted(map(tuple, got.where(wanted).select(*cols).collect())) == want

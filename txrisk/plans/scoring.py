@@ -63,8 +63,9 @@ def history_context_features(new: DataFrame, history: DataFrame | None = None, t
     else:
         hist = None
         combined = batch
-    # One pass over the batch tells its earliest time and whether a mode is needed at all.
-    seen = batch.agg(F.unix_micros(F.min(F.col(ts_col).cast("timestamp"))).alias("us"),
+    # One pass over the batch tells its earliest and latest time and whether a mode is needed at all.
+    at = F.col(ts_col).cast("timestamp")
+    seen = batch.agg(F.unix_micros(F.min(at)).alias("us"), F.unix_micros(F.max(at)).alias("until"),
                      *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cats)]).first()
     missing = [c for i, c in enumerate(cats) if seen[f"n{i}"]]
     if history is not None and history_counts is not None:
@@ -93,5 +94,6 @@ def history_context_features(new: DataFrame, history: DataFrame | None = None, t
         work = batch
     for c in cats:
         work = work.withColumn(c, X.strip_lower(F.coalesce(F.col(c), *([modes[c]] if c in modes else []), F.lit("unknown"))))
-    feats = FE.engineer_features(work, ts_col=ts_col, customer_col=customer_col, id_col=id_col, method=method)
+    feats = FE.engineer_features(work, ts_col=ts_col, customer_col=customer_col, id_col=id_col, method=method,
+                                until=seen["until"])      # what expires after the batch's last row changes none of its rows
     return feats.where(F.col(NEW_FLAG)).drop(NEW_FLAG)
