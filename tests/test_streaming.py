@@ -36,7 +36,7 @@ def test_tier_counts_stream_plan(spark, sf_small):
 
 
 def test_expiries_after_the_last_wanted_row_are_left_out(spark):
-    """Rows up to ``until`` get the same values, ties of an expiry with it included, and no later event is made."""
+    """Rows up to ``until`` get the same values, ties of an expiry with it included."""
     day = 86_400
     rows = [(f"t{i:03}", f"c{i % 3}", 1_700_000_000 + (i * 7919 % 100) * day, float(i)) for i in range(200)]
     df = spark.createDataFrame(rows, "transaction_id string, customer_id string, s long, amount double").select(
