@@ -79,3 +79,21 @@ def test_forest_keeps_node_ids_and_its_model(spark):
         "is_anomaly", ((F.col("x") * F.col("y")) % 7 < 2).cast("int"))
     a, b = (MD.train_forest(rows, num_trees=4, max_depth=9, **kw) for kw in ({}, {"cacheNodeIds": False}))
     assert a.getCacheNodeIds() and a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:] and a.totalNumNodes > 100
+
+
+def test_every_fold_keeps_the_rows_it_trains_on(spark, monkeypatch):
+    """Fits of few partitions read from one kept copy would all wait for the executors that hold it."""
+    rows = spark.range(600).select(F.col("id").cast("string").alias("transaction_id"), (F.col("id") % 7).cast("double").alias("x"),
+                                   (F.col("id") % 2).cast("int").alias("is_anomaly"), (F.col("id") % 3).cast("int").alias("fold"))
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    seen = []
+
+    def look(rf, rest, added, train, valid, seed):
+        seen.append((train, train.storageLevel.useMemory, train.rdd.getNumPartitions(), train.count(), train.columns))
+        return valid.drop("features").select("*", F.lit(0).alias("candidate"), F.lit(0.0).alias("prediction"))
+    monkeypatch.setattr(MD, "_grown", look)
+    scores = MD.search_scores(rows, CANDIDATES, num_folds=3, partitions=2)
+    assert len(seen) == 6 and len({id(train) for train, *_ in seen}) == 3
+    assert [got[1:] for got in seen] == [(True, 2, 400, ["features", "is_anomaly"])] * 6
+    assert not any(train.storageLevel.useMemory for train, *_ in seen)
+    assert sorted(scores.columns) == ["candidate", "fold", "is_anomaly", "prediction", "transaction_id"] and scores.count() == 1200
